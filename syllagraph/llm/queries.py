@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as dedup
 from .common import documents
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .quality_rules import apply_quality_rules
 from .token_count import count_tokens
@@ -24,6 +25,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
@@ -32,6 +37,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
 
