@@ -9,6 +9,7 @@ from . import exact_dedup as dedup
 from .common import documents
 from .license_scan import scan_licenses
 from .packing import pack_documents
+from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
 from .token_count import count_tokens
 
@@ -25,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
