@@ -6,14 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as dedup
+from . import near_join
 from .common import documents
 from .license_scan import scan_licenses
 from .packing import pack_documents
+from .pii import find_personal_data
 from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
+from .secrets import scan_secrets
 from .token_count import count_tokens
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.jaccard_join(documents(spark, sf_dir), n=5, threshold=0.8)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -34,19 +45,27 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_license_scan": op8_license_scan,
+    "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
+    "op2_jaccard_join": near_join.SQL,
     "op4_exact_dedup": dedup.SQL,
 }
