@@ -10,6 +10,7 @@ from . import near_join
 from .common import documents
 from .license_scan import scan_licenses
 from .packing import pack_documents
+from .piece_fst import encode_pieces
 from .pii import find_personal_data
 from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
@@ -41,6 +42,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_piece_encoding": op7_piece_encoding,
     "op8_license_scan": op8_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
