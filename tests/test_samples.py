@@ -1,0 +1,54 @@
+"""Golden batches: plan files with known metrics and schedules, in the folder that CURRICULUM_SAMPLES names (plans,
+correct, reports)."""
+
+import glob
+import os
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from syllagraph.operators import report
+from syllagraph.plans.batch import Batch
+from syllagraph.sources import files
+
+SAMPLES = os.environ.get("CURRICULUM_SAMPLES", "")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SAMPLES), reason="no samples")
+
+
+@pytest.fixture(scope="module")
+def batch(spark):
+    return Batch.of_files(spark, f"{SAMPLES}/plans/*.csv")
+
+
+def test_metrics_equal_the_known_ones(spark, batch):
+    expected = files.read_expected_metrics(spark, f"{SAMPLES}/correct/*.csv").withColumn("curriculum_id", F.regexp_replace("curriculum_id", "_w_metrics$", ""))
+    quarter = batch.curriculum.select("curriculum_id", F.contains(F.lower("system_type"), F.lit("quarter")).alias("q"))
+    found = batch.plan.join(quarter, "curriculum_id").withColumn("complexity", F.round(F.col("complexity") * F.when(F.col("q"), 2.0 / 3.0).otherwise(1.0), 1))
+    assert expected.count() == 339
+    assert report.compare_metrics(expected, found).collect() == []
+    assert batch.errors.collect() == []
+
+
+def test_schedules_equal_the_known_ones(batch):
+    found = {}
+    for r in batch.schedule.join(batch.courses.select("curriculum_id", "course_key", "name"), ["curriculum_id", "course_key"]).orderBy("curriculum_id", "term", "pos").collect():
+        found.setdefault(r["curriculum_id"], {}).setdefault(r["term"], []).append(f"{r['course_key']} - {r['name']}")
+    paths = glob.glob(f"{SAMPLES}/reports/*_report.md")
+    assert paths
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            body = f.read().split("## Term-by-Term Schedule")[1].split("---\n\n##")[0]
+        known = {int(m[1]): m[2] for m in re.finditer(r"^\| (\d+) \| (.*) \| [\d.]+ \|$", body, re.M)}
+        mine = {t: ", ".join(c) for t, c in found[os.path.basename(path)[: -len("_report.md")]].items()}
+        assert mine == known, path
+
+
+def test_untied_paths_equal_the_known_ones(batch):
+    steps = {r["curriculum_id"]: " → ".join(r["steps"]) for r in batch.steps.collect()}
+    same = 0
+    for path in glob.glob(f"{SAMPLES}/reports/*_report.md"):
+        with open(path, encoding="utf-8") as f:
+            known = re.search(r"### Longest Delay Path.*?\n\n(.*?)\n", f.read())[1]
+        same += steps[os.path.basename(path)[: -len("_report.md")]] == known
+    assert same >= 5
