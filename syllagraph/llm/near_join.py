@@ -27,12 +27,15 @@ from .components import connected_components
 #: Most bands; the chance that a pair at the threshold shares none of them is at most 1 - RECALL.
 MOST_BANDS = 24
 RECALL = 0.9999
-#: Bounds of a block: nodes, and n-grams in all of them.
+#: Bounds of a block: nodes, and n-grams in all of them. A group is cut into up to MANY_BLOCKS smaller blocks first, so
+#: that its pairs of blocks spread over as many tasks.
 BLOCK_NODES = 1200
+SMALL_BLOCK_NODES = 256
+MANY_BLOCKS = 24
 BLOCK_GRAMS = 1_500_000
 #: Parts of a bucket that find their smallest node apart.
 BUCKET_PARTS = 16
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -253,7 +256,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     nodes = common.saved(some.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "near-nodes")
     groups = candidate_groups(nodes.select("key", "bands")).withColumnRenamed("node", "key").withColumnRenamed("root", "part")
     members = common.saved(nodes.select("key", "first", "copies", "grams").join(groups, "key"), "near-members")
-    blocks = F.ceil(F.greatest(F.count("*") / block_nodes, F.sum("grams") / block_grams)).cast("int")
+    bounded = F.ceil(F.greatest(F.count("*") / block_nodes, F.sum("grams") / block_grams))
+    spread = F.least(F.ceil(F.count("*") / SMALL_BLOCK_NODES), F.lit(MANY_BLOCKS))
+    blocks = F.greatest(bounded, spread).cast("int")
     sizes = members.groupBy("part").agg(blocks.alias("blocks"))
     placed = members.join(sizes, "part").select("part", "key", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
     own = common.texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
@@ -272,7 +277,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     classes = common.saved(of.join(heads, "root").select("key", "head", "links"), "near-classes")
 
     result = nodes.select("key", "first", "copies").join(classes, "key", "left").select("key", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = some.select("doc_id", "h", "key").join(result.filter("n_links > 0"), "key", "left")
+    # saved, so that both sides of the join are plain exchanges: one with very many copies of a set can then be split
+    result = common.saved(result.filter("n_links > 0"), "near-result")
+    linked = some.select("doc_id", "h", "key").join(result, "key", "left")
     own_head = F.struct("doc_id", "h")
     linked = linked.select("doc_id", "h", F.coalesce("head", own_head).alias("head"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     empty = signed.filter("key IS NULL").select("doc_id", "h", own_head.alias("head"), F.lit(0).cast("long").alias("n_links"))
