@@ -18,7 +18,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 REACH = 3
 OFFSETS = range(-REACH, REACH)
 LEXICON_WORDS = 400
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 

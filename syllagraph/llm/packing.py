@@ -23,7 +23,7 @@ from . import common
 #: Pieces that one group packs, on average.
 GROUP_PIECES = 8192
 #: Distinct words whose ids are remembered in one Python worker, and the longest of them.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
 
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
