@@ -52,7 +52,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], di
         handle = make()
         for ids, values in batches(stream):
             out = handle(ids, values)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return frame.mapInArrow(run, schema)
 

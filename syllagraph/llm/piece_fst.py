@@ -16,13 +16,15 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
 Rank = tuple[float, int]
 
@@ -50,8 +52,11 @@ class PieceTransducer:
         self.edges: tuple[dict, dict] = ({}, {})
         self.trees: dict[str, tuple[str, str] | None] = {}
         self.made = {p for p in self.ids if len(p) == 1 or self.tree(p)}
-        # states of the piece paths: each piece's first characters, and the longest piece from there
-        self.states = {p[:n] for p in self.made for n in range(1, len(p) + 1)}
+        # states of the piece paths: each piece's first characters, and whether a piece ends there
+        self.states = {p[:n]: False for p in self.made for n in range(1, len(p))}
+        self.states.update(dict.fromkeys(self.made, True))
+        # characters that stand side by side in no piece are never merged: a text can be cut between them
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.alone = {c for c in map(chr, [*range(33), 127, 0x85, 0xA0]) if c not in joined and c != " "}
         within = any(BLANK in p.lstrip(BLANK) for p in self.ids)
@@ -60,7 +65,8 @@ class PieceTransducer:
         apart = "".join(map(re.escape, sorted(self.alone)))
         self.unit = re.compile(f"[{apart}]|{BLANK}*[^{BLANK}{apart}]+|{BLANK}+")
         self.weights: dict[tuple[str, str], float] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.parts: dict[str, tuple[bytes, str]] = {}
 
     def tree(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes a piece of its own characters, or None if merging doesn't make it whole."""
@@ -113,83 +119,112 @@ class PieceTransducer:
     def arcs(self, text: str, i: int) -> list[str]:
         """Pieces that the composed transducer reads from place i. A character without a piece has its byte path, kept as
         one arc named after it."""
-        states, made, n, out, j = self.states, self.made, len(text), [], i + 1
-        while j <= n and (part := text[i:j]) in states:
-            if part in made:
+        state, out = self.states.get, []
+        for j in range(i + 1, len(text) + 1):
+            part = text[i:j]
+            ends = state(part)
+            if ends is None:
+                break
+            if ends:
                 out.append(part)
-            j += 1
         return out if text[i] in self.ids else [text[i], *out]
 
     def shortest_path(self, text: str) -> list[str]:
-        """Pieces of the path of least weight. A state is a place and the piece that led there; states beyond an infinite
-        arc are never entered, and every place is settled before any that follow it."""
-        weights, n = self.weights, len(text)
-        best: list[dict[str | None, tuple[float, str | None]]] = [{} for _ in range(n + 1)]
-        best[0][None] = (0.0, None)
-        for i in range(n):
-            here = best[i]
-            if not here:
-                continue
-            for piece in self.arcs(text, i):
-                there = best[i + len(piece)]
-                for before, (so_far, _) in here.items():
-                    if before is None:
-                        total = so_far
-                    else:
-                        w = weights.get((before, piece))
-                        total = so_far + (self.arc(before, piece) if w is None else w)
-                    if total < math.inf and (piece not in there or total < there[piece][0]):
-                        there[piece] = (total, before)
-        at, out = n, []
-        piece = min(best[n], key=lambda p: best[n][p][0])
-        while piece is not None:
-            out.append(piece)
-            before = best[at][piece][1]
-            at -= len(piece)
-            piece = before
-        return out[::-1]
-
-    def unit_ids(self, unit: str) -> tuple[int, ...]:
+        """Pieces of the path of least weight. Arcs weigh nothing or infinitely much, so the first path found without an
+        infinite arc is one of least weight: the search goes ahead along the longest piece, steps back where only infinite
+        arcs lead on, and never enters a state (a place and the piece that led there) twice."""
+        weights, n, at, before = self.weights, len(text), 0, None
+        path: list[str] = []
+        options = [self.arcs(text, 0)] if n else []
+        dead: set[tuple[int, str]] = set()
+        while at < n:
+            if options[-1]:
+                piece = options[-1].pop()
+                if before is not None:
+                    w = weights.get((before, piece))
+                    if (self.arc(before, piece) if w is None else w) or (dead and (at + len(piece), piece) in dead):
+                        continue
+                path.append(piece)
+                before = piece
+                at += len(piece)
+                if at < n:
+                    options.append(self.arcs(text, at))
+            else:
+                options.pop()
+                dead.add((at, path[-1]))
+                at -= len(path.pop())
+                before = path[-1] if path else None
+        return path
+
+    def cut(self, unit: str) -> list[str]:
+        out, lo, neighbours = [], 0, self.neighbours
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in neighbours:
+                out.append(unit[lo:i])
+                lo = i
+        return [*out, unit[lo:]]
+
+    def part_ids(self, part: str) -> list[int]:
         out: list[int] = []
-        for piece in self.shortest_path(unit):
+        for piece in self.shortest_path(part):
             own = self.ids.get(piece)
             out += [own] if own is not None else [self.byte_ids[b] for b in piece.encode()]
-        ids = tuple(out)
-        if len(unit) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[unit] = ids
-        return ids
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        """Identifiers of a text. No piece holds a blank mark after another character, nor joins one of the characters
-        that stand alone, so the text is composed unit by unit and equal units once."""
+    def memo(self, known: dict, key: str, ids: bytes, text: str) -> tuple[bytes, str]:
+        if len(key) <= CACHE_CHARS:
+            if len(known) >= CACHE_ENTRIES:
+                known.clear()
+            known[key] = (ids, text)
+        return ids, text
+
+    def unit_path(self, unit: str) -> tuple[bytes, str]:
+        """Identifiers of a unit as 32-bit integers, and their text."""
+        found = []
+        for part in self.cut(unit):
+            one = self.parts.get(part)
+            if one is None:
+                ids = self.part_ids(part)
+                one = self.memo(self.parts, part, np.array(ids, dtype=np.int32).tobytes(), self.spell(ids))
+            found.append(one)
+        return self.memo(self.known, unit, b"".join([x for x, _ in found]), "".join([x for _, x in found]))
+
+    def paths(self, text: str) -> tuple[bytes, str]:
+        """Identifiers of a text as 32-bit integers, and the text of these. No piece holds a blank mark after another
+        character, nor joins one of the characters that stand alone, so the text is composed unit by unit and equal units
+        once; a character's bytes all lie in one unit."""
         if not text:
-            return []
+            return b"", ""
         text = ((" " if self.prefix else "") + text).replace(" ", BLANK)
-        known, out = self.known, []
-        for unit in self.unit.findall(text):
-            out += known.get(unit) or self.unit_ids(unit)
-        return out
+        known = self.known
+        found = [one if (one := known.get(unit)) is not None else self.unit_path(unit) for unit in self.unit.findall(text)]
+        spelt = "".join([x for _, x in found])
+        return b"".join([x for x, _ in found]), spelt[1:] if self.prefix else spelt
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of identifiers: surfaces in order, runs of byte pieces read as UTF-8, the added first blank left out."""
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.paths(text)[0], dtype=np.int32).tolist()
+
+    def spell(self, ids: list[int]) -> str:
+        """Surfaces in order, runs of byte pieces read as UTF-8."""
         surface, raw = self.surface, self.bytes_of
-        if not any(3 <= i <= 258 and i in raw for i in ids) if raw.keys() == set(range(3, 259)) else not any(i in raw for i in ids):
-            text = "".join([surface[i] for i in ids])
-        else:
-            out, held = [], b""
-            for i in ids:
-                b = raw.get(i)
-                if b is not None:
-                    held += b
-                    continue
-                if held:
-                    out.append(read_bytes(held))
-                    held = b""
-                out.append(surface[i])
-            text = "".join(out) + read_bytes(held)
-        first = next((i for i in ids if i in raw or surface[i]), None)
+        if not any(i in raw for i in ids):
+            return "".join([surface[i] for i in ids])
+        out, held = [], b""
+        for i in ids:
+            b = raw.get(i)
+            if b is not None:
+                held += b
+                continue
+            if held:
+                out.append(read_bytes(held))
+                held = b""
+            out.append(surface[i])
+        return "".join(out) + read_bytes(held)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of identifiers, the added first blank left out."""
+        text = self.spell(ids)
+        first = next((i for i in ids if i in self.bytes_of or self.surface[i]), None)
         return text[1:] if self.prefix and first in self.normal and text.startswith(" ") else text
 
 
@@ -224,8 +259,10 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         pieces = transducer(model)
 
         def handle(ids, values):
-            found = [pieces.encode(t) for t in values]
-            return {"doc_id": ids, "n_ids": list(map(len, found)), "ids": found, "decoded": [pieces.decode(x) for x in found]}
+            found = [pieces.paths(t) for t in values]
+            ends = np.cumsum([0, *(len(x) // 4 for x, _ in found)], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join([x for x, _ in found]), dtype=np.int32))
+            return {"doc_id": ids, "n_ids": np.diff(ends).tolist(), "ids": pa.ListArray.from_arrays(pa.array(ends), flat), "decoded": [x for _, x in found]}
 
         return handle
 
