@@ -14,9 +14,12 @@ from syllagraph.sources import files
 from .frames import Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same by shared frames.
+BUILDS: dict[str, Callable[[Frames], DataFrame]] = {}
 
 
 def query(build: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
+    BUILDS[build.__name__] = build
     QUERIES[build.__name__] = lambda spark, sf_dir: build(Frames(spark, sf_dir))
     return build
 

@@ -13,7 +13,8 @@ HEADER_LINES = 10
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """curriculum_id (the file's stem), source_file, value: one row per file."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    uri = F.col("_metadata.file_path")
+    rows = spark.read.text(paths, wholetext=True).select(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))).alias("source_file"), "value")
     return rows.select(F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("curriculum_id"), "source_file", "value")
 
 
