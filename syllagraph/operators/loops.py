@@ -62,7 +62,7 @@ def graph_levels(vertices: DataFrame, edges: DataFrame, reach: bool = True) -> D
     """Levels of path counts (tag null): from vertices nothing leads to forward, from vertices leading nowhere backward;
     with reach also of each vertex's own walk forward (tag: that vertex). vertices: (curriculum_id, vertex)."""
     ways = both_ways(edges)
-    ends = vertices.select("curriculum_id", "vertex").crossJoin(F.broadcast(vertices.sparkSession.createDataFrame([("f",), ("b",)], "dir string")))
+    ends = vertices.select("curriculum_id", "vertex", F.explode(F.array(F.lit("f"), F.lit("b"))).alias("dir"))
     entered = ways.select("curriculum_id", "dir", F.col("b").alias("vertex")).distinct()
     kind = vertices.schema["vertex"].dataType
     start = ends.join(entered, ["curriculum_id", "dir", "vertex"], "left_anti").select("curriculum_id", "dir", F.lit(None).cast(kind).alias("tag"), "vertex", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"))
