@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,17 +30,24 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def slices(lengths: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive rows of these lengths, within both bounds of a batch (a longer row stands alone)."""
+    lo = held = i = 0
+    for i, n in enumerate(lengths, 1):
+        held += n
+        if held >= BATCH_CHARS or i - lo >= BATCH_ROWS:
+            yield lo, i
+            lo, held = i, 0
+    if i > lo:
+        yield lo, i
+
+
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) in lists of bounded size, in the order of the rows."""
     for batch in stream:
         ids, values = batch.column(0).to_pylist(), batch.column(1)
-        lo = held = 0
-        lengths = pc.binary_length(values).to_pylist()
-        for i, n in enumerate(lengths):
-            held += n
-            if held >= BATCH_CHARS or i + 1 - lo >= BATCH_ROWS or i + 1 == len(ids):
-                yield ids[lo : i + 1], values.slice(lo, i + 1 - lo).to_pylist()
-                lo, held = i + 1, 0
+        for lo, hi in slices(pc.binary_length(values).to_pylist()):
+            yield ids[lo:hi], values.slice(lo, hi - lo).to_pylist()
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], dict[str, list]]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -228,8 +228,8 @@ def redact_personal_data(docs: DataFrame, model: crf.Field | None = None, id_col
     def clean(values):
         texts = values.tolist()
         out = []
-        for lo in range(0, len(texts), common.BATCH_ROWS):
-            part = texts[lo : lo + common.BATCH_ROWS]
+        for lo, hi in common.slices(len(t or "") for t in texts):
+            part = texts[lo:hi]
             known = [t or "" for t in part]
             out += [t if t is None else redacted(t, base + added) for t, (base, added) in zip(part, all_spans(field, known), strict=True)]
         return pd.Series(out, dtype=object)
