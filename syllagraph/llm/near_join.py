@@ -272,8 +272,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     merged = connected_components(across).select(F.col("node").alias("key"), F.col("root").alias("far"))
     roots = links.filter("split").select("key").distinct().join(merged, "key", "left").select("key", F.coalesce("far", "key").alias("root"))
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
-    of = members.select("key", "first").join(whole.union(roots), "key").join(counts, "key")
-    heads = of.groupBy("root").agg(F.min("first").alias("head"))
+    of = common.saved(members.select("key", "first").join(whole.union(roots), "key").join(counts, "key"), "near-classes")
+    heads = common.saved(of.groupBy("root").agg(F.min("first").alias("head")), "near-heads")
     classes = common.saved(of.join(heads, "root").select("key", "head", "links"), "near-classes")
 
     result = nodes.select("key", "first", "copies").join(classes, "key", "left").select("key", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
