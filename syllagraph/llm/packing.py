@@ -49,7 +49,7 @@ class WordIds:
         stems = {w: s.lower() if s.isascii() else s for w, s in stems.items()}
         ids = {s: b for s in {*stems.values(), ",", "."} if (b := self.known.get(s)) is not None}
         new = [s for s in dict.fromkeys([*stems.values(), ",", "."]) if s not in ids]
-        ids.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
+        ids.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
         out = {w: ids[s] if len(s) == len(w) else ids[s] + ids[w[-1]] for w, s in stems.items()}
         if len(self.known) + len(out) > CACHE_ENTRIES:
             self.known.clear()
