@@ -91,3 +91,8 @@ def test_files_and_documents(spark, tmp_path):
     assert text[0] == "Curriculum,Plan" and text[-1].startswith('1,,"MA","10",') and text[-1].endswith(",1.0,0,1,0")
     files.write_documents(b.reports(), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() > 10
+
+
+def test_no_texts(spark):
+    b = Batch(spark.createDataFrame([], "curriculum_id string, value string"))
+    assert b.plan.count() == 0 and b.errors.count() == 0 and b.reports().count() == 0
