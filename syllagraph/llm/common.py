@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts handled together inside one task; a batch ends when either bound is reached.
@@ -88,3 +88,12 @@ def sample_of(docs: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
         return docs
     span = 1 << 30
     return docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(span)) < int(span * rows / n)).limit(2 * rows)
+
+
+def fair_share(rows: DataFrame, most: int, shares: dict[int, int]) -> DataFrame:
+    """At most `most` of rows (hash, kind, ...), of equal hashes one; every kind has its share of them, in the order of the
+    hashes, and what a kind can't fill goes to the others by their shares."""
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("kind"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("hash"))
+    ranked = rows.dropDuplicates(["hash"]).withColumn("rank", rank).filter(F.col("rank") <= most)
+    return ranked.orderBy(F.ceil(F.col("rank") / share), "kind", "hash").limit(most)

@@ -7,6 +7,7 @@ look-ups. Label 0 is always "outside"; texts are taken to stand between two outs
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -309,6 +310,11 @@ def train(windows: list[tuple[list[str], list[int], int]], labels: int, rounds:
     return model
 
 
+def digest(*parts) -> int:
+    """64-bit hash of values by their printed form."""
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def window_bounds(marks: list[int], hard: list[int], seed: int, reach: int = 14, most: int = 6) -> list[tuple[int, int]]:
     """Token ranges to train on: around labelled tokens, around tokens that look alike, and one picked by the seed."""
     n = len(marks)

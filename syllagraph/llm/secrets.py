@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 
 from . import common, crf
 
-#: Documents of the sample that the field is fitted on, and most windows taken from them.
+#: Documents of the sample that the field is fitted on, and most windows taken from them: equal ones once, half of them with
+#: a find and half without (more of one where the other has too few), by a hash of the window.
 TRAIN_DOCUMENTS = 8000
 TRAIN_WINDOWS = 1500
+SHARES = {0: 1, 1: 1}
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 #: The patterns of the base, by kind, in the order of ties.
@@ -50,30 +52,32 @@ def overlaps(span: tuple[int, int], others: list[tuple[str, int, int]]) -> bool:
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[list[str], list[int], int]]:
-    """Token windows of a bounded sample of documents, labelled by the patterns."""
+    """Different token windows of a bounded sample of documents, labelled by the patterns: a fair share with and without
+    finds. Equal texts give equal windows."""
 
     def make():
         def handle(ids, values):
-            out: dict[str, list] = {"key": [], "tokens": [], "marks": [], "file": []}
-            for doc_id, text in zip(ids, values, strict=True):
+            out: dict[str, list] = {"hash": [], "kind": [], "tokens": [], "marks": [], "file": []}
+            for text in values:
                 found = [m.span() for m in crf.TOKEN.finditer(text)]
                 base = base_spans(text)
                 marks = crf.label_tokens([(a, b) for _, a, b in base], [BEGIN] * len(base), [INSIDE] * len(base), found)
                 tokens = [text[a:b] for a, b in found]
                 hard = [i for i, t in enumerate(tokens) if not marks[i] and len(t) >= 8 and not t.isalpha()]
-                key = zlib.crc32(str(doc_id).encode())
-                for a, b in crf.window_bounds(marks, hard, key):
-                    out["key"].append(-1 if any(marks[a:b]) else key)
-                    out["tokens"].append([t[:64] for t in tokens[a:b]])
-                    out["marks"].append(marks[a:b])
-                    out["file"].append(crf.file_class(text))
+                file = crf.file_class(text)
+                for a, b in crf.window_bounds(marks, hard, zlib.crc32(text.encode())):
+                    window = ([t[:64] for t in tokens[a:b]], marks[a:b], file)
+                    out["hash"].append(crf.digest(*window))
+                    out["kind"].append(int(any(marks[a:b])))
+                    for name, value in zip(("tokens", "marks", "file"), window, strict=True):
+                        out[name].append(value)
             return out
 
         return handle
 
     some = common.sample_of(docs, TRAIN_DOCUMENTS, id_col)
-    rows = common.map_texts(some, make, "key long, tokens array<string>, marks array<int>, file int", id_col, text_col)
-    return [(r["tokens"], r["marks"], r["file"]) for r in rows.orderBy("key", "tokens").limit(TRAIN_WINDOWS).collect()]
+    rows = common.map_texts(some, make, "hash long, kind int, tokens array<string>, marks array<int>, file int", id_col, text_col)
+    return [(r["tokens"], r["marks"], r["file"]) for r in common.fair_share(rows, TRAIN_WINDOWS, SHARES).collect()]
 
 
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> crf.Field:

@@ -123,6 +123,31 @@ def test_training_learns_marked_tokens():
     assert [text[a:b] for a, b in secrets.tagged_spans(model, [text])[0]] == ["token = 0123456789abcdef0123456789ab"]
 
 
+def crowd(find):
+    """Copies of one text with a find that sorts first, many texts with different finds, and clean texts."""
+    rows = [(i, f"aaa {find(0)} aaa") for i in range(300)]
+    rows += [(1000 + i, f"word{i} {find(i)} end{i}") for i in range(200)]
+    return rows + [(2000 + i, f"clean text x{i}x12345 of number {i}") for i in range(200)]
+
+
+def test_secret_windows_are_a_fair_sample(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_WINDOWS", 60)
+    rows = crowd(lambda i: f"token = abcdef{i:06d}")
+    got = secrets.training_windows(frame(spark, rows), "doc_id", "text")
+    assert len(got) == 60 and sum(any(marks) for _, marks, _ in got) == 30
+    assert len({(*t, *m) for t, m, _ in got}) == 60
+    few = secrets.training_windows(frame(spark, rows[:300] + rows[500:]), "doc_id", "text")
+    assert sum(any(marks) for _, marks, _ in few) == 1 and len(few) == 60
+
+
+def test_personal_windows_are_a_fair_sample_of_each_kind(spark):
+    rows = crowd(lambda i: f"user{i}@mail.example.org") + [(5000 + i, f"host{i} 10.0.{i}.1 up") for i in range(40)]
+    table = pii.training_rows(frame(spark, rows), "doc_id", "text")
+    got = [r["kind"] for r in pii.common.fair_share(table, 60, pii.SHARES).collect()]
+    assert len(got) == 60 and got.count(1) >= 8 and got.count(2) >= 8 and got.count(0) >= 30
+    assert table.dropDuplicates(["hash"]).filter("kind = 1").count() <= 201
+
+
 ODD = [(1, None), (2, ""), (3, "token = \"abcdef123456\" x"), (3, "token = \"abcdef123456\" x"), (None, "mail a@b.co now"), (5, "w " * 30_000), (6, "0" * 50_000), (7, "MIT license, see the MIT\nLicense")]
 
 
