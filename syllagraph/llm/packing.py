@@ -42,11 +42,18 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def stem(self, word: str) -> str:
+        """An ASCII word in lower case. The library looks for special strings before it lower-cases, so a word that would
+        only then hold one stays as it is."""
+        low = word.lower() if word.isascii() else word
+        return word if low != word and any(x in low for x in self.special) else low
 
     def fill(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words. A last comma or full stop after a letter or digit is a pretoken of its own."""
         stems = {w: w[:-1] if w[-1:] in (",", ".") and w[-2:-1].isalnum() else w for w in words}
-        stems = {w: s.lower() if s.isascii() else s for w, s in stems.items()}
+        stems = {w: self.stem(s) for w, s in stems.items()}
         ids = {s: b for s in {*stems.values(), ",", "."} if (b := self.known.get(s)) is not None}
         new = [s for s in dict.fromkeys([*stems.values(), ",", "."]) if s not in ids]
         ids.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))

@@ -34,6 +34,13 @@ def test_word_ids_equal_the_library(samples):
         assert own.encode(t) == np.array(e.ids, dtype="<u4").tobytes(), t
 
 
+def test_word_ids_keep_special_strings_apart_by_case():
+    own, lib = packing.WordIds(WORD), Tokenizer.from_file(WORD)
+    special = ("<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>")
+    for t in [f"{a}{b}{c}" for b in special for a in ("x ", "X", "") for c in (" y", "Y", ".", "<|EndOfText|>", "<|endoftext|>")] * 2:
+        assert own.encode(t) == np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+
+
 def test_piece_ids_equal_the_library(samples):
     own, lib = piece_fst.PieceTransducer(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     for t in samples:
