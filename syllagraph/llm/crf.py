@@ -63,7 +63,7 @@ class Field:
     values: np.ndarray  # distances x features x labels
     files: np.ndarray  # file classes x labels
     chain: np.ndarray  # labels x labels
-    skips: tuple[np.ndarray, np.ndarray] | None = None  # scores of label pairs of repeated and of similar tokens
+    skips: tuple[np.ndarray, ...] | None = None  # scores of label pairs of linked tokens, for each kind of link
     rows: dict = field(default_factory=dict)
     table: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict)
@@ -158,20 +158,19 @@ class Field:
             labels[first[:n] + step - 1] = back[step - 1][np.arange(n), now]
         return places, labels
 
-    def loopy(self, scores: np.ndarray, pairs: list[tuple[int, int, int]], rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-        """(places, labels) of the open tokens by loopy sum-product over the chain and the skip pairs (i, j, kind of skip).
+    def loopy(self, scores: np.ndarray, pairs: list[tuple[int, int, int]], rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, labels, the labels' marginals) of the open tokens by loopy sum-product over the chain and the skip pairs (i, j, kind of skip).
 
         Neighbours that are outside for certain are conditioned on; messages are exact where the graph has no loops.
         """
-        same, similar = self.skips
         more = np.zeros(len(scores), dtype=np.float32)
-        gain = max(float((m - m[:1]).max()) for m in (same, similar))
-        for i, j, _ in pairs:
-            more[i] += gain
-            more[j] += gain
+        gains = [max(float((m - m[:1]).max()), float((m - m[:, :1]).max())) for m in self.skips]
+        for i, j, kind in pairs:
+            more[i] += gains[kind]
+            more[j] += gains[kind]
         places = self.open_tokens(scores, more)
         if not len(places):
-            return places, places
+            return places, places, np.zeros(0)
         where = np.full(len(scores), -1, dtype=np.int64)
         where[places] = np.arange(len(places))
         own = scores[places].astype(np.float64)
@@ -181,7 +180,7 @@ class Field:
         a, b, kinds = [np.flatnonzero(right >= 0)], [right[right >= 0]], [np.zeros(int((right >= 0).sum()), dtype=np.int64)]
         for i, j, kind in pairs:
             x, y = where[i], where[j]
-            m = (same, similar)[kind]
+            m = self.skips[kind]
             if x >= 0 and y >= 0:
                 a.append(np.array([x]))
                 b.append(np.array([y]))
@@ -191,7 +190,7 @@ class Field:
             elif y >= 0:
                 own[y] += m[0]
         a, b, kinds = map(np.concatenate, (a, b, kinds))
-        potentials = np.stack([self.chain, same, similar])
+        potentials = np.stack([self.chain, *self.skips])
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         factor = np.concatenate([potentials[kinds], potentials[kinds].transpose(0, 2, 1)])  # edge x source x target
         twin = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -208,7 +207,7 @@ class Field:
                 break
         belief = own.copy()
         np.add.at(belief, target, message)
-        return places, belief.argmax(axis=1)
+        return places, belief.argmax(axis=1), np.exp(belief.max(axis=1) - logsumexp(belief, axis=1))
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:

@@ -25,10 +25,14 @@ TRAIN_DOCUMENTS = 8000
 TRAIN_WINDOWS = 1500
 SHARES = {0: 4, 1: 1, 2: 1, 3: 1, 4: 1}
 
-#: A span that the field adds has a digit and so many characters at least.
+#: A span that the field adds has a digit and so many characters at least. An address may have neither, if the field is as
+#: sure of its tokens on average.
 LEAST_ADDED = 6
+LEAST_SURE = 0.9
 
 BASE_KINDS = ("email", "ip", "card", "phone")
+#: Kinds of links between tokens: the same, alike, the same word of a find.
+SKIPS = 3
 KINDS = (*BASE_KINDS, *(f"crf_{k}" for k in BASE_KINDS))
 
 #: The patterns of the base. An address is found from its @, a number from the start of its digits: both
@@ -84,12 +88,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def skip_pairs(tokens: list[str]) -> list[tuple[int, int, int]]:
-    """(i, j, kind): each telling token with the one before it that is the same (0) or alike (1): so a token has at most
-    four, however often it repeats."""
+def found_words(tokens: list[str], marks: list[int]) -> set[str]:
+    """Plain words of two letters or more inside the patterns' finds, in lower case."""
+    return {t.lower() for t, y in zip(tokens, marks, strict=True) if y and len(t) > 1 and t.isalpha()}
+
+
+def skip_pairs(tokens: list[str], words: set[str] = frozenset()) -> list[tuple[int, int, int]]:
+    """(i, j, kind): each telling token with the one before it that is the same (0) or alike (1), and each of these words
+    with the one before it (2): so a token has at most four, however often it repeats."""
     out, same, alike = [], {}, {}
     for i, t in enumerate(tokens):
-        if len(t) >= 4 and not t.isalpha():
+        if t.isalpha():
+            if words and (low := t.lower()) in words:
+                if low in same:
+                    out.append((same[low], i, 2))
+                same[low] = i
+        elif len(t) >= 4:
             if t in same:
                 out.append((same[t], i, 0))
             key = (len(t), t[:3], t.isdigit())
@@ -99,10 +113,10 @@ def skip_pairs(tokens: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def labelled(text: str) -> tuple[list[str], list[int]]:
-    """Tokens and the labels that the patterns give them: 0, or 1 + the kind's place."""
+def labelled(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], list[int]]:
+    """Tokens and the labels that the patterns' spans give them: 0, or 1 + the kind's place."""
     found = [m.span() for m in crf.TOKEN.finditer(text)]
-    base = sorted(base_spans(text), key=lambda s: (s[1], BASE_KINDS.index(s[0])))
+    base = sorted(spans, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
     kinds = [1 + BASE_KINDS.index(k) for k, _, _ in base]
     return [text[a:b] for a, b in found], crf.label_tokens([(a, b) for _, a, b in base], kinds, kinds, found)
 
@@ -114,11 +128,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def handle(ids, values):
             out: dict[str, list] = {"text": [], "hash": [], "kind": [], "tokens": [], "marks": [], "file": [], "pairs": []}
             for text in values:
-                tokens, marks = labelled(text)
+                tokens, marks = labelled(text, base_spans(text))
                 hard = [i for i, t in enumerate(tokens) if not marks[i] and len(t) >= 4 and not t.isalpha()]
                 whole, file, held = crf.digest(text), crf.file_class(text), Counter(marks)
-                counts = np.zeros((2, labels, labels), dtype=int)
-                for i, j, kind in skip_pairs(tokens):
+                counts = np.zeros((SKIPS, labels, labels), dtype=int)
+                for i, j, kind in skip_pairs(tokens, found_words(tokens, marks)):
                     counts[kind, marks[i], marks[j]] += 1
                 for n, (a, b) in enumerate(crf.window_bounds(marks, hard, zlib.crc32(text.encode()))):
                     window = ([t[:64] for t in tokens[a:b]], marks[a:b], file)
@@ -150,43 +164,56 @@ def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = [(r["tokens"], r["marks"], r["file"]) for r in common.fair_share(rows, TRAIN_WINDOWS, SHARES).collect()]
     model = crf.train(windows, labels)
     pairs = rows.filter(F.size("pairs") > 0).dropDuplicates(["text"]).select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row for each pair of labels
-    counts = np.zeros(2 * labels * labels)
+    counts = np.zeros(SKIPS * labels * labels)
     for r in pairs:
         counts[r["k"]] = r["n"]
-    model.skips = tuple(skip_potentials(c) for c in counts.reshape(2, labels, labels))
+    model.skips = tuple(skip_potentials(c) for c in counts.reshape(SKIPS, labels, labels))
     return model
 
 
-def tagged_spans(model: crf.Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """(kind, start, end) by the field, for each text."""
-    tokens = [crf.TOKEN.findall(t) for t in texts]
+def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int, float]]]:
+    """(kind, start, end, mean marginal of its tokens) by the field, for each text and its patterns' spans."""
+    tokens, words = [], []
+    for text, base in zip(texts, bases, strict=True):
+        own, marks = labelled(text, base) if base else (crf.TOKEN.findall(text), [])
+        tokens.append(own)
+        words.append(found_words(own, marks) if base else set())
     scores, starts = model.scores(texts, tokens)
-    pairs = [(int(s) + i, int(s) + j, kind) for s, text, own in zip(starts, texts, tokens, strict=True) if DIGIT.search(text) for i, j, kind in skip_pairs(own)]
-    places, labels = model.loopy(scores, pairs)
+    pairs = [(int(s) + i, int(s) + j, kind) for s, own, known in zip(starts, tokens, words, strict=True) for i, j, kind in skip_pairs(own, known)]
+    places, labels, sure = model.loopy(scores, pairs)
     marked = places[labels > 0]
-    label_at = dict(zip(marked.tolist(), labels[labels > 0].tolist(), strict=True))
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    label_at = dict(zip(marked.tolist(), zip(labels[labels > 0].tolist(), sure[labels > 0].tolist(), strict=True), strict=True))
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     for k in sorted(set((starts.searchsorted(marked, side="right") - 1).tolist())):
-        before, spans = (-2, 0), out[k]
+        before, n, spans = (-2, 0), 0, out[k]
         for i, m in enumerate(crf.TOKEN.finditer(texts[k])):
-            y = label_at.get(int(starts[k]) + i)
-            if y is None:
+            y, p = label_at.get(int(starts[k]) + i, (0, 0.0))
+            if not y:
                 continue
             if before == (i - 1, y):
-                spans[-1] = (spans[-1][0], spans[-1][1], m.end())
+                kind, a, _, mean = spans[-1]
+                n += 1
+                spans[-1] = (kind, a, m.end(), mean + (p - mean) / n)
             else:
-                spans.append((f"crf_{BASE_KINDS[y - 1]}", *m.span()))
+                n = 1
+                spans.append((f"crf_{BASE_KINDS[y - 1]}", *m.span(), p))
             before = (i, y)
     return out
 
 
+def worth_adding(text: str, kind: str, a: int, b: int, sure: float) -> bool:
+    if b - a >= LEAST_ADDED and DIGIT.search(text, a, b):
+        return True
+    return kind == "crf_email" and sure >= LEAST_SURE and any(map(str.isalnum, text[a:b]))
+
+
 def all_spans(model: crf.Field, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """The patterns' spans and the added ones of each text."""
-    out = []
-    for text, added in zip(texts, tagged_spans(model, texts), strict=True):
-        base = base_spans(text)
-        out.append((base, [s for s in added if not overlaps(s[1:], base) and s[2] - s[1] >= LEAST_ADDED and DIGIT.search(text, s[1], s[2])]))
-    return out
+    bases = [base_spans(t) for t in texts]
+    return [
+        (base, [s[:3] for s in added if not overlaps(s[1:3], base) and worth_adding(text, *s)])
+        for text, base, added in zip(texts, bases, tagged_spans(model, texts, bases), strict=True)
+    ]
 
 
 def find_personal_data(docs: DataFrame, model: crf.Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

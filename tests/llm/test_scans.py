@@ -148,6 +148,25 @@ def test_personal_windows_are_a_fair_sample_of_each_kind(spark):
     assert table.dropDuplicates(["hash"]).filter("kind = 1").count() <= 201
 
 
+def test_addresses_without_digits_are_added():
+    """By the field alone, and by the words of an address that stands whole in the same text."""
+    rng = random.Random(4)
+    names, plain = ("anna", "meier", "bob", "carol", "weber", "dora"), ("we", "met", "and", "wrote", "again", "about", "it")
+    windows = []
+    for i in range(200):
+        tokens = [rng.choice(plain) for _ in range(12)]
+        marks = [0] * 12
+        if i % 2:
+            tokens[4:11], marks[4:11] = [rng.choice(names), ".", rng.choice(names), "@", rng.choice(("mail", "host", "web")), ".", "org"], [1] * 7
+        windows.append((tokens, marks, 0))
+    model = crf.train(windows, 5)
+    model.skips = tuple(np.zeros((5, 5)) for _ in range(pii.SKIPS))
+    text = "we wrote anna.meier@localhost"
+    assert pii.all_spans(model, [text, "we met again and wrote"]) == [([], [("crf_email", 9, 29)]), ([], [])]
+    tokens, marks = pii.labelled("Write Zed at zed.q@mail.org", [("email", 13, 27)])
+    assert (1, 3, 2) in pii.skip_pairs(tokens, pii.found_words(tokens, marks))
+
+
 ODD = [(1, None), (2, ""), (3, "token = \"abcdef123456\" x"), (3, "token = \"abcdef123456\" x"), (None, "mail a@b.co now"), (5, "w " * 30_000), (6, "0" * 50_000), (7, "MIT license, see the MIT\nLicense")]
 
 
