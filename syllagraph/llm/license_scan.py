@@ -1,13 +1,15 @@
 """License scans: ordered signature rules behind a keyword prefilter, with priority and interval containment.
 
 Rules are built from one row per license (name pattern, identifier, versions, address) and one row per way of citing it.
-A rule's regexes run only on texts that hold its keyword. Detections are taken in order of priority; one that lies inside
+Words of a citation may stand any run of white space and comment marks apart. More rules know the licenses' own wording.
+A rule's regexes run only on texts that hold its keywords. Detections are taken in order of priority; one that lies inside
 an accepted detection, or repeats its interval, is suppressed.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -66,9 +68,9 @@ LICENSES = (
 
 #: Ways of citing: name, priority, score, pattern over {name}, {id}, {version}, {url}; the literals that a text must hold (else the name's keyword).
 CITATIONS = (
-    ("tag", 100, 1.0, r"spdx-license-identifier:[ \t]{{0,8}}{id}{idversion}(?:-only|-or-later|\+)?(?![\w.-])", "spdx-license-identifier"),
+    ("tag", 100, 1.0, r"spdx-license-identifier:[ \t]*+{id}{idversion}(?:-only|-or-later|\+)?(?![\w.-])", "spdx-license-identifier"),
     ("url", 90, 0.95, r"https?://(?:www\.)?{url}[-/]{version}", "http"),
-    ("notice", 80, 0.95, r"(?:licen[sc]ed|released|distributed|available|published)(?: by [\w ]{{1,40}})? under (?:the )?(?:terms of (?:the )?)?{name}(?: international)? (?:public )?licen[sc]e,? \(?(?:version |v)?{version}\)?", ("under", "licen")),
+    ("notice", 80, 0.95, r"(?:licen[sc]ed|released|distributed|available|published)(?: by(?: [\w.,&]+){{1,20}}?)? under (?:the )?(?:terms of (?:the )?)?{name}(?: international)? (?:public )?licen[sc]e,? \(?(?:version |v)?{version}\)?", ("under", "licen")),
     ("short notice", 75, 0.9, r"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{spaced}[- ]v?{version}", ("under", "{word}")),
     ("name", 60, 0.85, r"(?<!\w){name} licen[sc]e,? \(?(?:version |v)?{version}\)?", None),
     ("identifier", 50, 0.8, r"(?<![\w.-]){id}-v?{version}(?:-only|-or-later|\+)?(?![\w-])", "{id}-"),
@@ -76,15 +78,42 @@ CITATIONS = (
 #: Citing without a version, at a lower priority than any citing with one.
 PLAIN = (
     ("url", 48, 0.8, r"https?://(?:www\.)?{url}", "http"),
-    ("notice", 45, 0.85, r"(?:licen[sc]ed|released|distributed|available|published)(?: by [\w ]{{1,40}})? under (?:the )?(?:terms of (?:the )?)?{name} licen[sc]e", ("under", "licen")),
+    ("notice", 45, 0.85, r"(?:licen[sc]ed|released|distributed|available|published)(?: by(?: [\w.,&]+){{1,20}}?)? under (?:the )?(?:terms of (?:the )?)?{name} licen[sc]e", ("under", "licen")),
     ("short notice", 42, 0.7, r"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{spaced}(?![\w-])", ("under", "{word}")),
     ("name", 40, 0.75, r"(?<!\w){name} licen[sc]e(?!\w)", None),
 )
 #: Citing a license that has no versions.
 UNVERSIONED = (
-    ("tag", 100, 1.0, r"spdx-license-identifier:[ \t]{{0,8}}{id}(?![\w.-])", "spdx-license-identifier"),
+    ("tag", 100, 1.0, r"spdx-license-identifier:[ \t]*+{id}(?![\w.-])", "spdx-license-identifier"),
     ("identifier", 50, 0.8, r"(?<![\w.-]){id}(?![\w-])", "{id}"),
 )
+#: Between words of a citation, and between words of a license's own text. Both give nothing back, so matching is linear.
+APART = r"[\s#*/;-]++"
+NO_WORDS = r"[^\w]++"
+
+BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+ADVERTISING = "advertising materials mentioning features or use of this software must display"
+ENDORSE = "be used to endorse or promote products derived from this software without"
+GRANT = "permission to use copy modify and? distribute this software for any purpose with or without fee is hereby granted"
+#: Licenses' own wording: label, priority, score, its opening words, words that must follow before the next such opening.
+WORDINGS = (
+    ("bsd-4-clause", 74, 1.0, BSD, (ADVERTISING, ENDORSE)),
+    ("bsd-4-clause", 73, 1.0, BSD, (ADVERTISING,)),
+    ("bsd-3-clause", 72, 1.0, BSD, (ENDORSE,)),
+    ("bsd-2-clause", 71, 0.95, BSD, ()),
+    ("mit", 70, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("the above copyright notice and this permission notice shall be included in all copies",)),
+    ("isc", 70, 1.0, GRANT + " provided that the above copyright notice and this permission notice appear in all copies", ()),
+    ("0bsd", 69, 1.0, GRANT + " the software is provided as is", ()),
+    ("apache-2.0", 85, 1.0, "apache license version 2.0 january 2004", ()),
+    ("gpl-1.0", 85, 1.0, "gnu general public license version 1 february 1989", ()),
+    ("gpl-2.0", 85, 1.0, "gnu general public license version 2 june 1991", ()),
+    ("gpl-3.0", 85, 1.0, "gnu general public license version 3 29 june 2007", ()),
+    ("lgpl-2.1", 85, 1.0, "gnu lesser general public license version 2.1 february 1999", ()),
+    ("lgpl-3.0", 85, 1.0, "gnu lesser general public license version 3 29 june 2007", ()),
+    ("agpl-3.0", 85, 1.0, "gnu affero general public license version 3 19 november 2007", ()),
+)
+#: The GNU licenses' notice names the version after the publisher.
+GNU_NOTICE = r"{name} licen[sc]e,? as published by the free software foundation[,;:]?(?: either)?(?: version| v) ?{version}"
 
 
 @dataclass(frozen=True)
@@ -95,6 +124,18 @@ class Rule:
     score: float
     pattern: re.Pattern
     keywords: tuple[str, ...]  # all must be in the text
+    then: tuple[re.Pattern, ...] = ()  # all must follow before the pattern's next place; the detection ends with the last
+
+    def places(self, text: str) -> Iterator[tuple[int, int]]:
+        if not self.then:
+            yield from (m.span() for m in self.pattern.finditer(text))
+            return
+        spans = [m.span() for m in self.pattern.finditer(text)]
+        for k, (start, end) in enumerate(spans):
+            stop = spans[k + 1][0] if k + 1 < len(spans) else len(text)
+            found = [p.search(text, end, stop) for p in self.then]
+            if all(found):
+                yield start, max(m.end() for m in found)
 
 
 def version_pattern(version: str) -> str:
@@ -103,9 +144,27 @@ def version_pattern(version: str) -> str:
     return rf"{major}(?:\.0)?(?![\w]|\.\d)" if minor == "0" else rf"{major}\.{minor}(?![\w]|\.\d)"
 
 
+def apart(pattern: str) -> str:
+    """The pattern with any run of white space and comment marks for each blank, and for each blank or hyphen."""
+    pattern = pattern.replace("[- ]?", f"(?:{APART})?").replace("[- ]", APART)
+    return re.sub(r" (\??)(?![^\[]*\])", lambda m: f"(?:{APART})?" if m[1] else APART, pattern)
+
+
+def wording(words: str) -> re.Pattern:
+    """Words in order, parted by whatever is no word; one with a question mark may also be 'or' with it, as in and/or."""
+    parts = [r"and(?:[^\w]++or)?" if w == "and?" else NO_WORDS.join(map(re.escape, w.split("."))) for w in words.split()]
+    return re.compile(rf"(?<!\w){NO_WORDS.join(parts)}(?!\w)")
+
+
+def wording_rules() -> list[Rule]:
+    # The two longest words of the opening are the gate.
+    gate = lambda words: tuple(sorted(sorted({w for w in words.split() if w.isalpha()}, key=lambda w: (-len(w), w))[:2]))
+    return [Rule(label, "wording", priority, score, wording(opening), gate(opening), tuple(map(wording, then))) for label, priority, score, opening, then in WORDINGS]
+
+
 def signature_rules() -> list[Rule]:
     """All rules, highest priority first; among equals the longer label first, so that the more specific one wins."""
-    rules = []
+    rules = wording_rules()
     for label, name, short, versions, keyword, url in LICENSES:
         own_id = [c for c in UNVERSIONED if not versions and (c[0] == "tag" or "-" in short)]
         for version in (*versions, None):
@@ -116,8 +175,13 @@ def signature_rules() -> list[Rule]:
                 parts = {"name": name, "id": re.escape(short), "spaced": re.escape(short).replace(r"cc\-", "cc[- ]"), "version": v, "idversion": f"-{v}", "url": url}
                 pattern = text.format(**parts)
                 if kind != "tag":
-                    pattern = re.sub(r" (?![^\[]*\])", lambda _: r"\s{1,8}", pattern)
-                rules.append(Rule(f"{label}-{version}" if version else label, kind, priority, score, re.compile(pattern), tuple(k.format(id=short, word=short.split("-")[0]) for k in (key if isinstance(key, tuple) else (key,) if key else (keyword, "licen")))))
+                    pattern = apart(pattern)
+                # The words of a keyword may stand apart as well, so each is looked for.
+                keywords = tuple(k.format(id=short, word=short.split("-")[0]) for k in (key if isinstance(key, tuple) else (key,) if key else (*keyword.split(), "licen")))
+                rules.append(Rule(f"{label}-{version}" if version else label, kind, priority, score, re.compile(pattern), keywords))
+            if version and label in ("gpl", "lgpl", "agpl"):
+                pattern = apart(GNU_NOTICE.format(name=name, version=v))
+                rules.append(Rule(f"{label}-{version}", "gnu notice", 80, 0.95, re.compile(pattern), ("foundation", "general", "licen", "public")))
     return sorted(rules, key=lambda r: (-r.priority, -len(r.label)))
 
 
@@ -164,9 +228,9 @@ class Scanner:
                 open_rules += rules
         kept: list[tuple[int, int, Rule]] = []
         for _, rule in sorted(open_rules, key=lambda x: x[0]):
-            for m in rule.pattern.finditer(text):
-                if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
-                    kept.append((m.start(), m.end(), rule))
+            for start, end in rule.places(text):
+                if not any(a <= start and end <= b for a, b, _ in kept):
+                    kept.append((start, end, rule))
         return kept
 
     def scan(self, text: str) -> tuple[int, list[int], set[str], set[str], float]:

@@ -235,3 +235,39 @@ def test_license_signatures():
     assert "gpl" not in {r.label for _, _, r in license_scan.scanner().signatures("gnu lesser general public license v2.1")}
     assert scan("a submit license plate under the bridge")[3] == set()
     assert len(license_scan.signature_rules()) > 300
+
+
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice. """
+ENDORSE = "Neither the name of the author nor the names of its contributors may\n * be used to endorse or promote products derived from this software without specific prior written permission."
+ADVERTISING = "All advertising materials mentioning features or use of this software must display the following. "
+GRANT = "Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted"
+
+
+def test_license_citations_over_lines_and_comment_marks():
+    signatures = license_scan.scanner().signatures
+    for text, label in (
+        ("apache license\n" + " " * 27 + "version 2.0, january 2004", "apache-2.0"), ("licensed under the apache\n * license, version 2.0", "apache-2.0"), ("apache license,\n# version 2.0", "apache-2.0"),
+        ("gnu general public license\n" + " " * 23 + "version 2, june 1991", "gpl-2.0"), ("gnu general public license\n" + " " * 23 + "version 3, 29 june 2007", "gpl-3.0"), ("gnu lesser general\n// public license\n// version 2.1", "lgpl-2.1"),
+        ("under the terms of the gnu general public license as\n * published by the free software foundation; either version 2 of the license, or later", "gpl-2.0"),
+        ("mozilla\n;; public\n;; license 2.0", "mpl-2.0"), ("licensed by some body of people\n under the eclipse public license 2.0", "epl-2.0"), ("creative commons attribution\n share alike license 4.0", "cc-by-sa-4.0"),
+    ):
+        assert {r.label for _, _, r in signatures(text)} == {label}, text
+
+
+def test_license_wording():
+    scan = license_scan.scanner().scan
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal. The above copyright notice and this permission notice shall be included in all copies"
+    for text, labels in (
+        (BSD_TEXT, {"bsd-2-clause"}), (BSD_TEXT + ENDORSE, {"bsd-3-clause"}), (BSD_TEXT + ADVERTISING + ENDORSE, {"bsd-4-clause"}), (BSD_TEXT + ADVERTISING, {"bsd-4-clause"}),
+        (BSD_TEXT + BSD_TEXT + ENDORSE, {"bsd-2-clause", "bsd-3-clause"}), (mit, {"mit"}), (GRANT.replace("/or", "") + ", provided that the above\n copyright notice and this permission notice appear in all copies.", {"isc"}),
+        (GRANT + ".\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"", {"0bsd"}), (GRANT, set()),
+    ):
+        found = scan(text)
+        assert found[3] == labels and (found[4] > 0) == bool(labels), text
+
+
+def test_license_scan_is_linear():
+    long = "gnu general public" + " *" * 300_000 + " licensed by" * 20_000 + " a" * 100_000 + " license"
+    license_scan.scanner().scan(long)
