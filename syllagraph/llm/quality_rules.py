@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import NOT_WORD, saved, texts
 
-#: Quantile steps per class at which thresholds are tried; most rules; most conditions of a rule.
+#: Quantiles per class at which thresholds are tried: steps of 1/16, finer in the tails, minimum and maximum; most rules; most
+#: conditions of a rule.
 STEPS = 16
+TAILS = (0.0, 0.001, 0.003, 0.01, 0.02, 0.03)
 MAX_RULES = 8
 MAX_CONDITIONS = 3
 #: Growing a rule ends at this precision; a rule needs this one on the pruning third, and so many documents there.
@@ -109,21 +111,30 @@ def all_of(parts: list[Column]) -> Column:
     return out
 
 
-def labelled_bins(stats: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
-    """Counts of (pruning third, label, bins) over all labelled documents that the base keeps, and each feature's edges.
+def labelled_stats(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Label (bad), pruning third and features of all labelled documents that the base keeps, saved.
 
     A document with several labels counts as unwanted if one of them says so; rows with a null label or id are left out.
     """
     own = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     of = features()
     table = stats.filter(~base_failed()).join(own, "doc_id").select((F.col("quality") == 0).alias("bad"), (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 2).alias("pruning"), *[c.alias(n) for n, c in of.items()])
-    table = saved(table, "quality-labelled")
-    steps = [i / STEPS for i in range(1, STEPS)]
-    quantiles = table.groupBy("bad").agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in of]).collect()  # two rows
-    edges = {n: sorted({v for row in quantiles for v in row[n]}) for n in of}
-    place = lambda n: sum(((F.col(n) > v).cast("int") for v in edges[n]), F.lit(0))
-    counts = table.groupBy("pruning", "bad", F.array(*[place(n) for n in of]).alias("bins")).agg(F.count("*").alias("n"))
-    return saved(counts, "quality-bins"), edges
+    return saved(table, "quality-labelled")
+
+
+def feature_edges(table: DataFrame) -> dict[str, list[float]]:
+    """Each feature's thresholds, from both classes of these documents. One lies just below each class's minimum, so that
+    "at most" can leave a class out as "above" its maximum does."""
+    steps = sorted({*(i / STEPS for i in range(1, STEPS)), *TAILS, *(1 - t for t in TAILS)})
+    quantiles = table.groupBy("bad").agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in FEATURES]).collect()  # two rows
+    return {n: sorted({v for row in quantiles for v in (math.nextafter(row[n][0], -math.inf), *row[n])}) for n in FEATURES}
+
+
+def binned(table: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Counts of (pruning third, label, bins)."""
+    place = lambda n: F.size(F.filter(F.lit(edges[n]), lambda v: v < F.col(n)))
+    counts = table.groupBy("pruning", "bad", F.array(*[place(n) for n in edges]).alias("bins")).agg(F.count("*").alias("n"))
+    return saved(counts, "quality-bins")
 
 
 def histogram(rows: DataFrame) -> dict[tuple[bool, bool], dict[int, dict[int, int]]]:
@@ -139,40 +150,81 @@ def covered(counts: dict[int, dict[int, int]], f: int, edge: int, above: bool) -
     return sum(n for b, n in counts.get(f, {}).items() if (b > edge) == above)
 
 
-def learn_rules(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Ordered rules for unwanted documents; none if the labels don't support one."""
-    rows, edges = labelled_bins(stats, labels)
-    names, rules = list(edges), []
-    while len(rules) < MAX_RULES:
-        rule: list[Condition] = []
-        judged: list[tuple[int, int]] = []  # bad and good documents of the pruning third that each prefix covers
-        now = histogram(rows)
-        total = lambda h, key: sum(h[key].get(0, {}).values())
-        while len(rule) < MAX_CONDITIONS:
-            bad, good = total(now, (False, True)), total(now, (False, False))
-            if bad == 0 or bad / (bad + good) >= FULL_PRECISION:
-                break
-            best = (0.0, None)
-            for f, name in enumerate(names):
-                for edge, threshold in enumerate(edges[name]):
-                    for above in (True, False):
-                        p, n = covered(now[False, True], f, edge, above), covered(now[False, False], f, edge, above)
-                        if p and (gain := p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))) > best[0] + 1e-9:
-                            best = (gain, Condition(name, above, edge, threshold))
-            if best[1] is None:
-                break
-            rule.append(best[1])
-            now = histogram(rows.filter(all_of([c.bins(names) for c in rule])))
-            judged.append((total(now, (True, True)), total(now, (True, False))))
-        worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in judged]
-        if not worth:
+def total(counts: dict[int, dict[int, int]]) -> int:
+    return sum(counts.get(0, {}).values())
+
+
+def conditions(edges: dict[str, list[float]]) -> list[tuple[int, Condition]]:
+    """All tests of one threshold, with their feature's place."""
+    return [(f, Condition(name, above, edge, threshold)) for f, name in enumerate(edges) for edge, threshold in enumerate(edges[name]) for above in (True, False)]
+
+
+def supported(p: int, n: int) -> bool:
+    return p >= LEAST_SUPPORT and p / (p + n) >= LEAST_PRECISION
+
+
+def grow(rows: DataFrame, edges: dict[str, list[float]], start: dict, barred: set[tuple[str, bool]]) -> tuple[list[Condition], list[tuple[int, int]]]:
+    """A rule whose first condition isn't barred; bad and good documents of the pruning third that each prefix covers."""
+    rule: list[Condition] = []
+    judged: list[tuple[int, int]] = []
+    now = start
+    while len(rule) < MAX_CONDITIONS:
+        bad, good = total(now[False, True]), total(now[False, False])
+        if bad == 0 or bad / (bad + good) >= FULL_PRECISION:
             break
+        best = (0.0, None)
+        for f, c in conditions(edges):
+            if not rule and (c.feature, c.above) in barred:
+                continue
+            p, n = covered(now[False, True], f, c.edge, c.above), covered(now[False, False], f, c.edge, c.above)
+            if p and (gain := p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))) > best[0] + 1e-9:
+                best = (gain, c)
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        now = histogram(rows.filter(all_of([c.bins(list(edges)) for c in rule])))
+        judged.append((total(now[True, True]), total(now[True, False])))
+    return rule, judged
+
+
+def single(edges: dict[str, list[float]], start: dict) -> list[Condition]:
+    """The one condition that covers most unwanted documents of those that both parts support, if there is one."""
+    best = (0, None)
+    for f, c in conditions(edges):
+        p, n = covered(start[False, True], f, c.edge, c.above), covered(start[False, False], f, c.edge, c.above)
+        if p > best[0] and supported(p, n) and supported(*(covered(start[True, b], f, c.edge, c.above) for b in (True, False))):
+            best = (p, c)
+    return [best[1]] if best[1] else []
+
+
+def next_rule(rows: DataFrame, edges: dict[str, list[float]]) -> list[Condition]:
+    """The rule grown by gain; if it is weak, a single condition, else rules that begin otherwise, else none."""
+    start, barred = histogram(rows), set()
+    while True:
+        rule, judged = grow(rows, edges, start, barred)
+        if not rule:
+            return []
+        worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in judged]
         keep = worth.index(max(worth)) + 1
-        p, n = judged[keep - 1]
-        if p < LEAST_SUPPORT or p / (p + n) < LEAST_PRECISION:
+        if supported(*judged[keep - 1]):
+            return rule[:keep]
+        if not barred and (one := single(edges, start)):
+            return one
+        barred.add((rule[0].feature, rule[0].above))
+
+
+def learn_rules(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
+    """Ordered rules for unwanted documents; none if the labels don't support one. Each rule's thresholds come from the
+    documents that no rule before it covers, so the tails of what is left show."""
+    table, rules = labelled_stats(stats, labels), []
+    of = {n: F.col(n) for n in FEATURES}
+    while len(rules) < MAX_RULES:
+        edges = feature_edges(table)
+        rule = next_rule(binned(table, edges), edges) if all(edges.values()) else []
+        if not rule:
             break
-        rules.append(rule[:keep])
-        rows = rows.filter(~all_of([c.bins(names) for c in rule[:keep]]))
+        rules.append(rule)
+        table = table.filter(~all_of([c.column(of) for c in rule]))
     return rules
 
 

@@ -138,6 +138,22 @@ def test_quality_rules(spark, docs, labels):
     assert sum(r["kept"] == (q == 1) for r, q in judged) >= 0.9 * len(judged)
 
 
+def test_rare_kinds_get_rules_of_their_own(spark):
+    """Symbol-heavy and all-short-word texts are each 3 % of the unwanted documents and lie outside the wanted ones."""
+    stats, labels = [], []
+    for i in range(1860):
+        kind = "wanted" if i < 900 else "usual" if i < 1800 else "symbols" if i % 2 else "short"
+        symbols, repeated = 40 if kind == "symbols" else i * 7 % 11, 45 if kind == "usual" else i * 5 % 13
+        chars = 150 if kind == "short" else 400 + i * 3 % 101
+        stats.append((i, 100, chars, 60 + i % 17, repeated, 10, 0, symbols, i % 9, i % 3))
+        labels.append((i, int(kind == "wanted")))
+    columns = "doc_id long, n_words long, word_chars long, n_distinct long, n_repeat_words long, n_lines long, n_dup_lines long, n_symbols long, n_upper long, n_exclaim long"
+    table = spark.createDataFrame(stats, columns)
+    rules = quality_rules.learn_rules(table, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r["doc_id"] for r in table.filter(quality_rules.verdict(rules)).collect()}
+    assert kept == set(range(900)), [list(map(str, r)) for r in rules]
+
+
 def test_quality_rules_without_labels(spark, labels):
     rows = frame(spark, [(1, "word other " * 10 + " ".join(map(str, range(100)))), (2, None)])
     found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.apply_quality_rules(rows, labels.limit(0)).collect()}
