@@ -7,10 +7,13 @@ shuffled: the checksum of a piece's ids is computed where the text is read.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -22,56 +25,109 @@ from . import common
 
 #: Pieces that one group packs, on average.
 GROUP_PIECES = 8192
-#: Distinct words whose ids are remembered in one Python worker, and the longest of them.
-CACHE_ENTRIES = 600_000
+#: Distinct words, and letter runs of words, whose ids are remembered in one Python worker, and the longest of them.
+CACHE_ENTRIES = 700_000
 CACHE_CHARS = 48
+#: Letter runs that the library encodes in one call, joined by blanks.
+JOINED = 256
 
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: A letter run between ASCII marks other than the apostrophe: the vocabulary always cuts between these. (In lower case,
+#: U+0130 ends in a mark.)
+MARKED = re.compile(r"""([!-&(-/:-@\[-`{-~]*)([^\W\d_]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([!-&(-/:-@\[-`{-~]*)""")
+#: How a vocabulary cuts texts so that words and their parts can be encoded one by one.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
-    """A text's ids as little-endian unsigned 32-bit bytes; the library encodes each distinct word once.
+    """Texts' ids as little-endian unsigned 32-bit bytes; the library encodes each distinct letter run once.
 
-    The vocabulary drops white space and none of its rules looks across it, so words can be encoded one by one.
+    A vocabulary of the known kind drops white space and none of its rules looks across it, so words are encoded one by
+    one; texts of any other vocabulary go through the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-
-    def stem(self, word: str) -> str:
-        """An ASCII word in lower case. The library looks for special strings before it lower-cases, so a word that would
-        only then hold one stays as it is."""
-        low = word.lower() if word.isascii() else word
-        return word if low != word and any(x in low for x in self.special) else low
-
-    def fill(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words. A last comma or full stop after a letter or digit is a pretoken of its own."""
-        stems = {w: w[:-1] if w[-1:] in (",", ".") and w[-2:-1].isalnum() else w for w in words}
-        stems = {w: self.stem(s) for w, s in stems.items()}
-        ids = {s: b for s in {*stems.values(), ",", "."} if (b := self.known.get(s)) is not None}
-        new = [s for s in dict.fromkeys([*stems.values(), ",", "."]) if s not in ids]
-        ids.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        out = {w: ids[s] if len(s) == len(w) else ids[s] + ids[w[-1]] for w, s in stems.items()}
-        if len(self.known) + len(out) > CACHE_ENTRIES:
-            self.known.clear()
-        self.known.update((w, b) for part in (ids, out) for w, b in part.items() if len(w) <= CACHE_CHARS)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        own = lambda kind, name: [x for x in ((spec[kind] or {}).get(name) or [])]
+        cuts = [p.get("pattern", {}).get("Regex") for p in own("pre_tokenizer", "pretokenizers")]
+        self.by_word = tuple(x["type"] for x in own("normalizer", "normalizers")) == NORMALIZERS and cuts[:1] == [SPLIT] and spec["model"].get("end_of_word_suffix") == "</w>" and all((m := MARKED.fullmatch(x)) and m[1] and m[3] for x in self.special)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_runs(self, runs: list[str]) -> None:
+        """Remembers the ids of letter runs. Each is one pretoken, whose last id alone ends a word, so the ids of many runs
+        in one text fall apart again; if they don't, because the library has other letters, each goes alone."""
+        parts = [runs[lo : lo + JOINED] for lo in range(0, len(runs), JOINED)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                self.known.update((r, data[a:b]) for r, a, b in zip(part, [0, *cuts], cuts))
+            else:
+                self.known.update(zip(part, self.library(part), strict=True))
+
+    def learn(self, words: Iterable[str]) -> list[str]:
+        """Remembers the ids of words and of their letter runs; returns those too long to be kept. Letters are encoded in
+        lower case where that changes nothing else; a word that would hold a special string only then stays as it is, for
+        the library looks for these before it lower-cases."""
+        known, new, whole, cut = self.known, set(), set(), []
+        for w in words:
+            if w.isalpha():
+                before, run, after = "", w, ""
+            elif (m := MARKED.fullmatch(w)) and not (m[1] and m[3] and any(x in w.lower() for x in self.special)):
+                before, run, after = m.groups()
+                whole.update(x for x in (before, after) if x and x not in known)
+            else:
+                whole.add(w)
+                continue
+            if run.isascii():
+                run = run.lower()
+            if run not in known:
+                new.add(run)
+            if run is not w:
+                cut.append((w, before, run, after))
+        self.encode_runs(sorted(new))
+        apart = sorted(whole)
+        known.update(zip(apart, self.library(apart), strict=True))
+        for w, before, run, after in cut:
+            ids = known[run]
+            if before:
+                ids = known[before] + ids
+            known[w] = ids + known[after] if after else ids
+        return [x for part in (new, whole, [c[0] for c in cut]) for x in part if len(x) > CACHE_CHARS]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.library(texts)
+        known = self.known
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        split = [SPACES.split(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
+        words: set[str] = set()
+        for own in split:
+            words.update(own)
+        words.difference_update(known)
+        long = self.learn(words)
+        out = [b"".join(map(known.__getitem__, own)) for own in split]
+        for w in long:
+            known.pop(w, None)
         return out
 
     def encode(self, text: str) -> bytes:
-        words = SPACES.split(text) if any(c in text for c in SEPARATORS) else text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            own = {w: known.get(w) for w in words}
-            own.update(self.fill([w for w, b in own.items() if b is None]))
-            return b"".join(map(own.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -118,8 +174,8 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
 
         def handle(ids, values):
             tokens, crcs, salts = [], [], []
-            for doc_id, text in zip(ids, values, strict=True):
-                data = memoryview(encoder.encode(text) + end)
+            for doc_id, own in zip(ids, encoder.encode_all(values), strict=True):
+                data = memoryview(own + end)
                 tokens.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[i : i + step]) for i in range(0, len(data), step)])
                 seen[0] += 1

@@ -48,6 +48,9 @@ class PairMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] is not None or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec["model"].get("end_of_word_suffix") or spec["model"].get("ignore_merges"):
+            raise ValueError("only byte-level vocabularies without a normaliser, with the usual split and no added first space are counted")
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.letters = byte_letters()

@@ -53,6 +53,96 @@ def test_piece_ids_equal_the_library(samples):
         assert own.decode(ids) == lib.decode(ids), ids
 
 
+def small_model(tmp_path, kind, pieces):
+    """A hand-made model of letters, a few longer pieces and all bytes; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    m = model.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, True
+    m.trainer_spec.unk_surface = " \u2047 "
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.escape_whitespaces, m.normalizer_spec.remove_extra_whitespaces = "identity", True, True, False
+    for piece, score, of in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{b:02X}>", 0, 6) for b in range(256)), *((p, s, 1) for p, s in pieces)]:
+        m.pieces.add(piece=piece, score=score, type=of)
+    path = tmp_path / f"{kind}.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+LETTERS = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab", "aa", "aab", "▁b"]
+
+
+def segmentations(text, pieces):
+    if not text:
+        return [[]]
+    out = [[p, *rest] for p in pieces if text.startswith(p) for rest in segmentations(text[len(p) :], pieces)]
+    return out if text[0] in pieces else out + [[text[0], *rest] for rest in segmentations(text[1:], pieces)]
+
+
+def test_unigram_paths_are_the_shortest_of_all(tmp_path):
+    rng = random.Random(8)
+    score = {p: -1 - 7 * rng.random() for p in LETTERS}
+    path = small_model(tmp_path, 1, score.items())
+    own, lib = piece_fst.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for _ in range(1500):
+        t = "".join(rng.choice("aaabbbcc  é日▁") for _ in range(rng.randint(0, 9)))
+        ids = own.encode(t)
+        assert own.decode(ids) == lib.decode(ids)
+        text = own.normalised(t, 0) if t else ""
+        weight = lambda parts: sum(-score[p] if p in score else own.fallback for p in parts)
+        spelt = lambda parts: [i for p in parts for i in ([lib.piece_to_id(p)] if p in score else [own.byte_ids[b] for b in p.encode()])]
+        mine = [parts for parts in segmentations(text, score) if spelt(parts) == ids]
+        weights = sorted(map(weight, segmentations(text, score)))
+        assert len(mine) == 1 and weight(mine[0]) <= weights[0] + 1e-9
+        if len(weights) == 1 or weights[1] - weights[0] > 1e-3:  # the library breaks ties as its 32-bit sums fall
+            assert ids == lib.encode(t), t
+
+
+def test_pair_paths_are_the_only_ones_of_finite_weight(tmp_path):
+    rng = random.Random(9)
+    for trial in range(12):
+        order = LETTERS[:]
+        rng.shuffle(order)
+        order.sort(key=len)  # a piece comes after its parts
+        path = small_model(tmp_path, 2, [(p, -float(k)) for k, p in enumerate(order)])
+        own, lib = piece_fst.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        made = [p for p in LETTERS if len(p) == 1 or own.tree(p)]
+        for _ in range(150):
+            t = "".join(rng.choice("aaabbbcc é日") for _ in range(rng.randint(1, 8)))
+            ids = own.encode(t)
+            assert ids == lib.encode(t), (trial, t)
+            finite = [s for s in segmentations(own.normalised(t, 0), made) if not any(own.crosses(a, b) for a, b in zip(s, s[1:]))]
+            assert len(finite) == 1 and ids == [i for p in finite[0] for i in ([lib.piece_to_id(p)] if p in made else [own.byte_ids[b] for b in p.encode()])]
+
+
+def test_other_models_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        piece_fst.PieceTransducer(small_model(tmp_path, 3, [("a", -1.0)]))
+    with pytest.raises(ValueError):
+        piece_fst.PieceTransducer(small_model(tmp_path, 2, [("aab", -1.0), ("a", -2.0), ("b", -3.0), ("ab", -4.0)]))
+    with pytest.raises(ValueError):
+        token_count.PairMerger(WORD)
+
+
+def test_word_ids_of_another_vocabulary(samples):
+    own, lib = packing.WordIds(BYTE), Tokenizer.from_file(BYTE)
+    for t, e in zip(samples[:300], lib.encode_batch(samples[:300], add_special_tokens=False), strict=True):
+        assert own.encode(t) == np.array(e.ids, dtype="<u4").tobytes(), t
+
+
+def test_word_ids_of_words_with_marks():
+    """Marks before and after letters of all kinds, and a memory that is emptied on the way."""
+    rng, own, lib = random.Random(2), packing.WordIds(WORD), Tokenizer.from_file(WORD)
+    parts = ["Abc", "é", "ÀÉ", "ſ", "İ", "ß", "ı", "e\u0301", "\u1e9b\u0323", "日本", "x1", "(", ")", "***", "'", "'s", "-", "_", "<|", "|>", "!?", "½", "\u0338", ".", ",", "\ua7da", "\u0250"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + " x" for _ in range(4000)]
+    out = []
+    for lo in range(0, len(texts), 500):
+        out += own.encode_all(texts[lo : lo + 500])
+        if lo == 1500:
+            own.known.clear()
+    for t, x, e in zip(texts, out, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert x == np.array(e.ids, dtype="<u4").tobytes(), t
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, length string, ids string")
 
