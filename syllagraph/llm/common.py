@@ -81,13 +81,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sample_of(docs: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """About `rows` documents (all if there are fewer, never above twice that) by a hash of the id; only ever used to fit a model."""
-    n = docs.count()
-    if n <= rows:
-        return docs
-    span = 1 << 30
-    return docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(span)) < int(span * rows / n)).limit(2 * rows)
+def sample_of(docs: DataFrame, rows: int, text_col: str = "text") -> DataFrame:
+    """Different texts of about `rows` rows (all if there are fewer), by a hash of the text; only ever used to fit a model.
+    A text with many copies counts once, so no group of copies can fill the sample."""
+    key = F.xxhash64(F.col(text_col))
+    n, span = docs.count(), 1 << 30
+    some = docs if n <= rows else docs.filter(F.pmod(key, F.lit(span)) < int(span * rows / n))
+    return some.dropDuplicates([text_col])
 
 
 def fair_share(rows: DataFrame, most: int, shares: dict[int, int]) -> DataFrame:

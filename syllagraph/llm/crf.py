@@ -1,15 +1,16 @@
 """Conditional random fields over the tokens of a text, with numpy: features, training, and exact or loopy decoding.
 
-A token's features depend on its shape and, for words of a small learned lexicon, on the word. Weights are per feature
-and distance, so a token's score is a sum over its neighbours of table rows: a batch of texts is scored by a few array
-look-ups. Label 0 is always "outside"; texts are taken to stand between two outside tokens.
+A token's features depend on its shape, on a context that the caller may give it and, for words of a small learned lexicon,
+on the word. Weights are per feature and distance, so a token's score is a sum over its neighbours of table rows: a batch of
+texts is scored by a few array look-ups. Label 0 is always "outside"; texts are taken to stand between two outside tokens.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,14 +18,19 @@ import numpy as np
 TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Distances of the neighbours whose features count; PAD rows stand between texts.
 REACH = 3
-OFFSETS = range(-REACH, REACH)
+OFFSETS = range(-REACH, REACH + 1)
+#: Words of the lexicon at most, and the texts that each must come from.
 LEXICON_WORDS = 400
+LEAST_TEXTS = 6
 CACHE_ENTRIES = 200_000
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+#: Score of what a token known to have another label can't be.
+NEVER = -1e4
 
 
 def shape(token: str) -> tuple:
-    """What of a token its features see: kind of letters, length bucket, leading letters of a kind."""
+    """What of a token its features see: kind of letters, length bucket, how often letters and digits take turns."""
     n = len(token)
     if token.isalpha():
         case = 0 if token.islower() else 1 if token.isupper() else 2
@@ -33,14 +39,17 @@ def shape(token: str) -> tuple:
         return ("mark", token if token.isascii() else "?", 1)
     if token.isdigit():
         return ("digits", min(n, 24), 0)
-    ascii_ = token.isascii()
-    return ("mixed", (2 if HEX.fullmatch(token) else 1) if ascii_ else 0, min(n, 60) // 4)
+    if not token.isascii():
+        return ("mixed", 0, min(n, 60) // 4)
+    return ("mixed", (2 if HEX.fullmatch(token) else 1, min(len(TURN.findall(token)), 7) // 2), min(n, 60) // 4)
 
 
-def features_of(key: tuple, word: str | None) -> list[str]:
+def features_of(key: tuple, word: str | None, context: str) -> list[str]:
     kind, detail, size = key
     out = [f"k={kind}", f"k={kind},{detail}", f"k={kind},{size}", f"k={kind},{detail},{size}"]
-    return out + [f"w={word}"] if word else out
+    if word:
+        out.append(f"w={word}")
+    return out + [f"c={context}", f"c={context},{size}"] if context else out
 
 
 def file_class(text: str) -> int:
@@ -66,12 +75,12 @@ class Field:
     skips: tuple[np.ndarray, ...] | None = None  # scores of label pairs of linked tokens, for each kind of link
     rows: dict = field(default_factory=dict)
     table: np.ndarray | None = None
-    cache: dict[str, int] = field(default_factory=dict)
+    cache: dict = field(default_factory=dict)
 
-    def row(self, token: str) -> int:
+    def row(self, token: str, context: str = "") -> int:
         """Place of a token's row in the table; row 0 is the padding."""
         word = low if (low := token.lower()) in self.lexicon else None
-        key = (shape(token), word)
+        key = (shape(token), word, context)
         at = self.rows.get(key)
         if at is None:
             own = [self.weights[f] for f in features_of(*key) if f in self.weights]
@@ -84,22 +93,27 @@ class Field:
         if len(token) <= 64:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            self.cache[token] = at
+            self.cache[(token, context) if context else token] = at
         return at
 
-    def rows_of(self, tokens: list[str]) -> list[int]:
+    def rows_of(self, tokens: list[str], contexts: dict[int, str]) -> list[int]:
         cache = self.cache
         try:
-            return list(map(cache.__getitem__, tokens))
+            out = list(map(cache.__getitem__, tokens))
         except KeyError:
-            return [at if (at := cache.get(t)) is not None else self.row(t) for t in tokens]
-
-    def scores(self, texts: list[str], tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all tokens with REACH padding rows before, between and after the texts; each text's first place."""
+            out = [at if (at := cache.get(t)) is not None else self.row(t) for t in tokens]
+        for i, c in contexts.items():
+            at = cache.get((tokens[i], c))
+            out[i] = self.row(tokens[i], c) if at is None else at
+        return out
+
+    def scores(self, texts: list[str], tokens: list[list[str]], contexts: list[dict[int, str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all tokens with REACH padding rows before, between and after the texts; each text's first place.
+        contexts: of each text, those of some of its tokens."""
         flat, starts, files = [0] * REACH, [], []
-        for text, own in zip(texts, tokens, strict=True):
+        for text, own, known in zip(texts, tokens, contexts or [{}] * len(texts), strict=True):
             starts.append(len(flat))
-            flat += self.rows_of(own)
+            flat += self.rows_of(own, known)
             flat += [0] * REACH
             files.append(file_class(text))
         at = np.array(flat, dtype=np.int32)
@@ -158,19 +172,21 @@ class Field:
             labels[first[:n] + step - 1] = back[step - 1][np.arange(n), now]
         return places, labels
 
-    def loopy(self, scores: np.ndarray, pairs: list[tuple[int, int, int]], rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, labels, the labels' marginals) of the open tokens by loopy sum-product over the chain and the skip pairs (i, j, kind of skip).
+    def loopy(self, scores: np.ndarray, pairs: list[tuple[int, int, int]], starts: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+        """(places, beliefs) of the open tokens by loopy sum-product over the chain and the skip pairs (i, j, kind of skip).
 
-        Neighbours that are outside for certain are conditioned on; messages are exact where the graph has no loops.
+        starts: first places of the texts (one text without them). Each text's messages are passed until they settle, at
+        most so many rounds, whatever the other texts do. Neighbours that are outside for certain are conditioned on;
+        messages are exact where the graph has no loops.
         """
         more = np.zeros(len(scores), dtype=np.float32)
-        gains = [max(float((m - m[:1]).max()), float((m - m[:, :1]).max())) for m in self.skips]
+        gains = [max(float((m - m[:1]).max()), float((m - m[:, :1]).max())) for m in self.skips or ()]
         for i, j, kind in pairs:
             more[i] += gains[kind]
             more[j] += gains[kind]
         places = self.open_tokens(scores, more)
         if not len(places):
-            return places, places, np.zeros(0)
+            return places, np.zeros((0, self.labels))
         where = np.full(len(scores), -1, dtype=np.int64)
         where[places] = np.arange(len(places))
         own = scores[places].astype(np.float64)
@@ -190,24 +206,32 @@ class Field:
             elif y >= 0:
                 own[y] += m[0]
         a, b, kinds = map(np.concatenate, (a, b, kinds))
-        potentials = np.stack([self.chain, *self.skips])
-        source, target = np.concatenate([a, b]), np.concatenate([b, a])
-        factor = np.concatenate([potentials[kinds], potentials[kinds].transpose(0, 2, 1)])  # edge x source x target
-        twin = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        message = np.zeros((len(source), self.labels))
-        for _ in range(rounds if len(source) else 0):
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            ready = belief[source] - message[twin]
-            new = logsumexp(ready[:, :, None] + factor, axis=1)
-            new -= new.max(axis=1, keepdims=True)
-            change = float(np.abs(new - message).max())
-            message = 0.5 * message + 0.5 * new if change > 1e-3 else new
-            if change <= 1e-3:
+        text_of = np.searchsorted(starts, places, side="right") if starts is not None else np.zeros(len(places), dtype=np.int64)
+        order = np.argsort(text_of[a], kind="stable")
+        a, b, kinds = a[order], b[order], kinds[order]
+        potentials = np.stack([self.chain, *(self.skips or ())])
+        n = len(a)
+        message = np.zeros((2, n, self.labels))  # along each edge, from a to b and from b to a
+        live = np.arange(n)
+        for _ in range(rounds):
+            if not len(live):
                 break
+            x, y, factor, now = a[live], b[live], potentials[kinds[live]], message[:, live]
+            belief = own.copy()
+            np.add.at(belief, y, now[0])
+            np.add.at(belief, x, now[1])
+            new = np.stack([logsumexp((belief[x] - now[1])[:, :, None] + factor, axis=1), logsumexp((belief[y] - now[0])[:, None, :] + factor, axis=2)])
+            new -= new.max(axis=2, keepdims=True)
+            texts = text_of[x]
+            first = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+            change = np.maximum.reduceat(np.abs(new - now).max(axis=(0, 2)), first)
+            moving = np.repeat(change > 1e-3, np.diff([*first, len(live)]))
+            message[:, live] = np.where(moving[None, :, None], 0.5 * now + 0.5 * new, new)
+            live = live[moving]
         belief = own.copy()
-        np.add.at(belief, target, message)
-        return places, belief.argmax(axis=1), np.exp(belief.max(axis=1) - logsumexp(belief, axis=1))
+        np.add.at(belief, b, message[0])
+        np.add.at(belief, a, message[1])
+        return places, np.exp(belief - logsumexp(belief, axis=1)[:, None])
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -234,16 +258,42 @@ def label_tokens(spans: list[tuple[int, int]], kinds: list[int], inside: list[in
     return out
 
 
-def train(windows: list[tuple[list[str], list[int], int]], labels: int, rounds: int = 80, l2: float = 0.02, rate: float = 0.15) -> Field:
-    """Penalised maximum likelihood over windows (tokens, labels, file class), by full-batch steps with running moments."""
-    near = Counter()
-    for tokens, marks, _ in windows:
+def fit_skips(model: Field, pairs: list[tuple[int, int, int, np.ndarray, np.ndarray]], kinds: int, rounds: int = 400, l2: float = 0.02, rate: float = 0.15) -> tuple[np.ndarray, ...]:
+    """Scores of label pairs for each kind of link, by penalised maximum likelihood of the linked tokens' labels given what
+    the trained chain believes of each alone. pairs: (kind, label, label, belief, belief)."""
+    size = model.labels
+    out = np.zeros((kinds, size, size))
+    if not pairs:
+        return tuple(out)
+    kind, x, y = (np.array([p[k] for p in pairs]) for k in range(3))
+    base = np.log(np.clip(np.array([p[3] for p in pairs]), 1e-30, 1))[:, :, None] + np.log(np.clip(np.array([p[4] for p in pairs]), 1e-30, 1))[:, None, :]
+    gold = np.zeros((len(pairs), size, size))
+    gold[np.arange(len(pairs)), x, y] = 1
+    first, second = np.zeros_like(out), np.zeros_like(out)
+    for done in range(1, rounds + 1):
+        z = base + out[kind]
+        z = np.exp(z - z.max(axis=(1, 2), keepdims=True))
+        grad = np.zeros_like(out)
+        np.add.at(grad, kind, gold - z / z.sum(axis=(1, 2), keepdims=True))
+        grad = (grad + grad.transpose(0, 2, 1)) / 2 - l2 * out
+        first += 0.1 * (grad - first)
+        second += 0.01 * (grad**2 - second)
+        out += rate * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.99**done)) + 1e-8)
+    return tuple(out)
+
+
+def train(windows: list[tuple[list[str], list[int], int, list[str], int | None]], labels: int, rounds: int = 100, l2: float = 1.0, rate: float = 0.15) -> Field:
+    """Penalised maximum likelihood over windows (tokens, labels, file class, contexts, text that it comes from or None), by
+    full-batch steps with running moments. The lexicon has words that stand near labelled tokens of several texts: else the
+    words around one find that was rewritten often would speak for all of them."""
+    near: dict[str, set] = {}
+    for k, (tokens, marks, *_, source) in enumerate(windows):
         for i, t in enumerate(tokens):
             if any(marks[max(0, i - REACH) : i + REACH + 1]):
-                near[t.lower()] += 1
-    lexicon = {w: i for i, (w, n) in enumerate(sorted(near.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]) if n >= 3}
+                near.setdefault(t.lower(), set()).add(k if source is None else source)
+    lexicon = {w: i for i, (w, n) in enumerate(sorted(near.items(), key=lambda x: (-len(x[1]), x[0]))[:LEXICON_WORDS]) if len(n) >= LEAST_TEXTS}
     keys: dict = {"pad": 0}
-    sequences = [[keys.setdefault((shape(t), low if (low := t.lower()) in lexicon else None), len(keys)) for t in tokens] for tokens, _, _ in windows]
+    sequences = [[keys.setdefault((shape(t), low if (low := t.lower()) in lexicon else None, c), len(keys)) for t, c in zip(tokens, contexts, strict=True)] for tokens, _, _, contexts, _ in windows]
     weights: dict[str, int] = {}
     members = [[weights.setdefault(f, len(weights)) for f in (["pad"] if key == "pad" else features_of(*key))] for key in keys]
     owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
@@ -258,9 +308,9 @@ def train(windows: list[tuple[list[str], list[int], int]], labels: int, rounds:
     at = np.zeros((n, size + 2 * REACH), dtype=np.int64)
     gold = np.zeros((n, size), dtype=np.int64)
     mask = np.zeros((n, size), dtype=bool)
-    for i, (s, (_, marks, _)) in enumerate(zip(sequences, windows, strict=True)):
+    for i, (s, (_, marks, *_)) in enumerate(zip(sequences, windows, strict=True)):
         at[i, REACH : REACH + len(s)], gold[i, : len(s)], mask[i, : len(s)] = s, marks, True
-    classes = np.array([c for _, _, c in windows])
+    classes = np.array([w[2] for w in windows])
     one_hot = np.eye(labels)[gold] * mask[:, :, None]
     both = mask[:, 1:] & mask[:, :-1]
     empirical = np.zeros((labels, labels))
@@ -309,6 +359,31 @@ def train(windows: list[tuple[list[str], list[int], int]], labels: int, rounds:
     return model
 
 
+def free_of(spans: list[tuple], others: list[tuple]) -> list[tuple]:
+    """Of spans (kind, start, end, ...) those that overlap none of the others, by one look-up each among the others' joined
+    intervals."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b, *_ in sorted(others, key=lambda s: s[1:3]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [s for s in spans if not ((k := bisect.bisect_left(starts, s[2])) and ends[k - 1] > s[1])]
+
+
+def placed(text: str, lo: int, hi: int, new: str, rng: random.Random, reach: int = 300) -> tuple[str, int, int]:
+    """Some of a text with `new` in place of text[lo:hi] or, as often, after any other blank; where it stands there; and the
+    whole changed text's file class."""
+    tail = ""
+    if rng.random() < 0.5 and (at := text.find(" ", rng.randrange(len(text)))) >= 0 and not lo <= at < hi:
+        lo = hi = at + 1
+        tail = " "
+    changed = text[max(0, lo - reach) : lo] + new + tail + text[hi : hi + reach]
+    return changed, min(lo, reach), file_class(text[:lo] + new + tail + text[hi:])
+
+
 def digest(*parts) -> int:
     """64-bit hash of values by their printed form."""
     return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)

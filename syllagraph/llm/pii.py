@@ -1,13 +1,21 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds spans.
 
 Tokens carry entity labels. Besides the chain, distant tokens of a document that repeat or resemble each other share a
-potential, and loopy message passing makes their labels agree: a number found to be personal data once is so everywhere
-in that document. The field is trained on the patterns' finds in a bounded sample; its spans never overlap theirs.
+potential, and loopy message passing makes their labels agree: part of a number that stands whole elsewhere in the document
+is personal data there too. Tokens inside the patterns' finds are known to the field, so they speak for their likes.
+
+The field is trained on a bounded sample of texts: on the patterns' finds, on the same finds rewritten so that every pattern
+misses them, on look-alikes that are no personal data (cards that fail Luhn's test, addresses beyond 255), and on texts that
+name a find again in part. Numbers tell the field whether they would pass as a card, an address or a telephone number. The
+links' potentials are fitted on linked tokens, given what the chain believes of each. Added spans never overlap the
+patterns' ones.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -18,21 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, crf
-from .secrets import in_order, overlaps
+from .secrets import in_order
 
-#: As in secrets; half of the windows have no find, and an eighth goes to each kind of find.
+#: As in secrets: shares of the windows without a find, with each kind of find (rewritten or not), and with a look-alike.
 TRAIN_DOCUMENTS = 8000
-TRAIN_WINDOWS = 1500
-SHARES = {0: 4, 1: 1, 2: 1, 3: 1, 4: 1}
-
-#: A span that the field adds has a digit and so many characters at least. An address may have neither, if the field is as
-#: sure of its tokens on average.
-LEAST_ADDED = 6
-LEAST_SURE = 0.9
+TRAIN_WINDOWS = 3000
+SHARES = {0: 6, 1: 2, 2: 2, 3: 2, 4: 2, 5: 5}
+#: Rewritings and look-alikes made of each find of the sample; pairs of linked tokens that the potentials are fitted on.
+REWRITTEN, ALIKE = 4, 4
+TRAIN_PAIRS = 3000
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: Kinds of links between tokens: the same, alike, the same word of a find.
-SKIPS = 3
+#: Kinds of links between tokens: the same, alike, the same word of a find, the last digits of a number of a find.
+SKIPS = 4
 KINDS = (*BASE_KINDS, *(f"crf_{k}" for k in BASE_KINDS))
 
 #: The patterns of the base. An address is found from its @, a number from the start of its digits: both
@@ -93,127 +99,329 @@ def found_words(tokens: list[str], marks: list[int]) -> set[str]:
     return {t.lower() for t, y in zip(tokens, marks, strict=True) if y and len(t) > 1 and t.isalpha()}
 
 
-def skip_pairs(tokens: list[str], words: set[str] = frozenset()) -> list[tuple[int, int, int]]:
-    """(i, j, kind): each telling token with the one before it that is the same (0) or alike (1), and each of these words
-    with the one before it (2): so a token has at most four, however often it repeats."""
-    out, same, alike = [], {}, {}
+def skip_pairs(tokens: list[str], marks: list[int] = ()) -> list[tuple[int, int, int]]:
+    """(i, j, kind) of linked tokens; marks are the labels of the patterns' finds, or nothing without any.
+
+    All repeats of a token are linked to one of them, its first inside a find or else its first, so two links join any two
+    and a token has at most four of its own.
+    """
+    words = found_words(tokens, marks) if marks else set()
+    same: dict[str, int] = {}
+    alike: dict[tuple, int] = {}
+    tails: dict[str, int] = {}
+    for i, y in enumerate(marks):
+        if y:
+            t = tokens[i]
+            same.setdefault(t.lower() if t.isalpha() else t, i)
+            if len(t) >= 6:
+                alike.setdefault((len(t), t[:3], t.isdigit()), i)
+                if t.isdigit():
+                    tails.setdefault(t[-4:], i)
+    out = []
     for i, t in enumerate(tokens):
         if t.isalpha():
-            if words and (low := t.lower()) in words:
-                if low in same:
-                    out.append((same[low], i, 2))
-                same[low] = i
+            if words and (low := t.lower()) in words and (hub := same[low]) != i:
+                out.append((hub, i, 2))
         elif len(t) >= 4:
-            if t in same:
-                out.append((same[t], i, 0))
-            key = (len(t), t[:3], t.isdigit())
-            if len(t) >= 6 and key in alike and tokens[alike[key]] != t:
-                out.append((alike[key], i, 1))
-            same[t] = alike[key] = i
+            hub = same.setdefault(t, i)
+            if hub != i:
+                out.append((hub, i, 0))
+            if len(t) >= 6:
+                hub = alike.setdefault((len(t), t[:3], t.isdigit()), i)
+                if tokens[hub] != t:
+                    out.append((hub, i, 1))
+            elif t in tails and len(t) == 4:
+                out.append((tails[t], i, 3))
+    return out
+
+
+#: Numbers that stand together: digit runs that are tokens, with a few blanks and marks between.
+NUMBERS = re.compile(r"\b[0-9]+\b(?:[\x20.,/:()\[\]-]{1,4}\b[0-9]+\b)*")
+DIGITS = re.compile(r"[0-9]+")
+
+
+def number_kinds(groups: list[str]) -> list[str]:
+    """What each number of a run of them would pass as: card (12 to 19 digits, alone or in fours, passing Luhn's test), ip
+    (four in a row up to 255), phone (9 to 15 digits in parts), local (three and four digits); a no before the first two
+    for a number of that shape that fails."""
+    n = len(groups)
+    sizes = [len(g) for g in groups]
+    out = ["number"] * n
+    for i in range(n):
+        j = i + 1
+        while sizes[i] == 4 and j < n and j < i + 5 and sizes[j - 1] == 4:
+            j += 1
+        for end in ([i + 1] if j == i + 1 else [j, j - 1]):
+            if 12 <= sum(sizes[i:end]) <= 19 and not out[i].endswith("card"):
+                out[i:end] = ["card" if luhn("".join(groups[i:end])) else "nocard"] * (end - i)
+                break
+    i = 0
+    while i < n:
+        j = i
+        while j < n and not out[j].endswith("card"):
+            j += 1
+        own = sizes[i:j]
+        if len(own) == 4 and max(own) <= 3:
+            out[i:j] = ["ip" if all(map(small, groups[i:j])) else "noip"] * 4
+        elif len(own) > 1 and 9 <= sum(own) <= 15:
+            out[i:j] = ["phone"] * len(own)
+        else:
+            for k in range(i, j - 1):
+                if sizes[k : k + 2] == [3, 4]:
+                    out[k : k + 2] = ["local", "local"]
+        i = j + 1
+    return out
+
+
+def number_contexts(text: str, bounds: list[tuple[int, int]]) -> dict[int, str]:
+    """Kinds of the numbers among the tokens."""
+    out: dict[int, str] = {}
+    place = None
+    for m in NUMBERS.finditer(text):
+        if place is None:
+            place = {a: i for i, (a, _) in enumerate(bounds)}
+        found = [(place.get(m.start() + d.start()), d[0]) for d in DIGITS.finditer(m[0])]
+        out.update((i, kind) for (i, _), kind in zip(found, number_kinds([g for _, g in found]), strict=True) if i is not None)
     return out
 
 
-def labelled(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], list[int]]:
-    """Tokens and the labels that the patterns' spans give them: 0, or 1 + the kind's place."""
+def labelled(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[str], list[int]]:
+    """Bounds of the tokens, the tokens, and the labels that spans of the base's kinds give them: 0, or 1 + the kind's place."""
     found = [m.span() for m in crf.TOKEN.finditer(text)]
     base = sorted(spans, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
     kinds = [1 + BASE_KINDS.index(k) for k, _, _ in base]
-    return [text[a:b] for a, b in found], crf.label_tokens([(a, b) for _, a, b in base], kinds, kinds, found)
+    return found, [text[a:b] for a, b in found], crf.label_tokens([(a, b) for _, a, b in base], kinds, kinds, found)
+
+
+def digits_of(n: int, rng: random.Random) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def card_number(rng: random.Random, good: bool = True) -> str:
+    first = rng.choice("3456") + digits_of(14, rng)
+    check = next(d for d in "0123456789" if luhn(first + d))
+    return first + (check if good else str((int(check) + rng.randint(1, 9)) % 10))
+
+
+def fours(number: str, sign: str) -> str:
+    return sign.join(number[i : i + 4] for i in range(0, len(number), 4))
+
+
+def rewritten(found: str, kind: str, rng: random.Random) -> str:
+    """Personal data like the found one that stands otherwise."""
+    digits = NOT_DIGITS.sub("", found)
+    if kind == "email":
+        local, _, domain = found.partition("@")
+        at, dot = rng.choice(((" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "."), (" at ", " dot "), (" @ ", "."), ("@", None)))
+        return f"{local}{at}{domain.split('.')[0] if dot is None else domain.replace('.', dot)}"
+    if kind == "ip":
+        parts = [str(rng.randint(1, 255)) for _ in range(4)]
+        return rng.choice((" . ", "[.]", " .", ". ", "(.)", "-")).join(parts)
+    if kind == "card":
+        number = digits if rng.random() < 0.3 and len(digits) == 16 else card_number(rng)
+        return fours(number, rng.choice((".", "/", "  ", ":", " - ", ",")))
+    a, b, c = digits_of(3, rng), rng.choice(("555", digits_of(3, rng))), digits_of(4, rng)
+    return rng.choice((f"({a}) {b}-{c}", f"1 ({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}", f"+1/{a}/{b}/{c}", f"({a}) {b} {c}", f"{a} {b}-{c}"))
+
+
+def look_alike(kind: str, rng: random.Random) -> str:
+    """What stands where personal data stood and is none."""
+    d = lambda n: digits_of(n, rng)
+    if kind == "card":
+        return fours(card_number(rng, False), rng.choice(("", "", "", " ", "-", ".", "/", ":")))
+    if kind == "ip":
+        parts = [d(rng.randint(1, 3)) for _ in range(4)]
+        parts[rng.randrange(4)] = str(rng.randint(256, 999))
+        return rng.choice((".".join(parts), " . ".join(parts), "-".join(parts), f"{d(1)}.{d(2)}.{d(1)}", f"{d(1)}.{d(2)}"))
+    if kind == "phone":
+        return rng.choice((f"{d(3)}-{d(4)}", f"{d(3)}-{d(4)}", f"({d(3)})", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"+{d(2)}", f"{d(4)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(5)}", f"1{d(3)}-1{d(3)}", f"ending {d(4)}", f"{d(16)}"[:13]))
+    return rng.choice(("we met at home", "it was at ten dot on", "@name", "mail at once", "up (at) last", "see example.org", "mail7.example.com", "at mail", "a @ b", "name.", "dot com", "at 10.30", "at. at. at. at.", "at at at at", "dot dot dot", "at. dot. at. dot.", "[at]", "(dot)"))
+
+
+def echo(found: str, kind: str, rng: random.Random) -> str | None:
+    """Part of a find, as a text names it again."""
+    digits = NOT_DIGITS.sub("", found)
+    if kind == "card":
+        return rng.choice(("ending ", "card ", "")) + digits[-4:]
+    if kind == "phone" and len(digits) >= 10:
+        return digits[-7:-4] + rng.choice("- .") + digits[-4:]
+    return None
+
+
+COLUMNS = ("hash", "kind", "tokens", "marks", "file", "contexts", "source")
+
+
+def window_rows(text: str, spans: list[tuple[str, int, int]], kind: int | None, at: int | None = None, file: int | None = None) -> list[tuple]:
+    """COLUMNS but the last of windows of one text, as in secrets. kind: None for the rarest label of a window, else 0."""
+    bounds, tokens, marks = labelled(text, spans)
+    contexts, file = number_contexts(text, bounds), crf.file_class(text) if file is None else file
+    held = Counter(marks)
+    if at is None:
+        hard = [i for i, t in enumerate(tokens) if not marks[i] and len(t) >= 4 and not t.isalpha()]
+        ranges = crf.window_bounds(marks, hard, zlib.crc32(text.encode()))
+    else:
+        centre = bisect.bisect_left(bounds, (at, at))
+        ranges = [(max(0, centre - 12), min(len(tokens), centre + 20))]
+    out = []
+    for a, b in ranges:
+        window = ([t[:64] for t in tokens[a:b]], marks[a:b], file, [contexts.get(i, "") for i in range(a, b)])
+        own = min({*marks[a:b]} - {0}, key=lambda y: (held[y], y), default=0) if kind is None else kind
+        out.append((crf.digest(*window), own, *window))
+    return out
+
+
+def pair_rows(text: str, base: list[tuple[str, int, int]], spans: list[tuple[str, int, int]], reach: int = 8) -> list[dict]:
+    """Linked tokens of a text, at most one that are both outside for each kind of link, each with its window: tokens of
+    both windows one after the other, where the second begins, both places, both labels, and whether a pattern knows them."""
+    bounds, tokens, known = labelled(text, base)
+    marks = labelled(text, spans)[2] if spans is not base else known
+    contexts, file = number_contexts(text, bounds), crf.file_class(text)
+    out, plain = [], set()
+    for i, j, kind in skip_pairs(tokens, known if base else ()):
+        if known[i] and known[j] or not marks[i] and not marks[j] and kind in plain:
+            continue
+        if not marks[i] and not marks[j]:
+            plain.add(kind)
+        a, b, c, d = max(0, i - reach), i + reach + 1, max(0, j - reach), j + reach + 1
+        both = [*range(a, min(b, len(tokens))), *range(c, min(d, len(tokens)))]
+        row = {"tokens": [tokens[k][:64] for k in both], "contexts": [contexts.get(k, "") for k in both], "file": file, "cut": min(b, len(tokens)) - a, "i": i - a, "j": j - c, "skip": kind, "labels": [marks[i], marks[j]], "known": [bool(known[i]), bool(known[j])]}
+        out.append({"hash": crf.digest(*row.values()), **row})
+        if len(out) >= 8:
+            break
+    return out
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    labels = len(BASE_KINDS) + 1
+    """Windows (pair null) and pairs of linked tokens (window null) of these texts."""
 
     def make():
         def handle(ids, values):
-            out: dict[str, list] = {"text": [], "hash": [], "kind": [], "tokens": [], "marks": [], "file": [], "pairs": []}
+            windows: list[tuple] = []
+            pairs: list[dict] = []
             for text in values:
-                tokens, marks = labelled(text, base_spans(text))
-                hard = [i for i, t in enumerate(tokens) if not marks[i] and len(t) >= 4 and not t.isalpha()]
-                whole, file, held = crf.digest(text), crf.file_class(text), Counter(marks)
-                counts = np.zeros((SKIPS, labels, labels), dtype=int)
-                for i, j, kind in skip_pairs(tokens, found_words(tokens, marks)):
-                    counts[kind, marks[i], marks[j]] += 1
-                for n, (a, b) in enumerate(crf.window_bounds(marks, hard, zlib.crc32(text.encode()))):
-                    window = ([t[:64] for t in tokens[a:b]], marks[a:b], file)
-                    out["text"].append(whole)
-                    out["hash"].append(crf.digest(*window))
-                    out["kind"].append(min({*marks[a:b]} - {0}, key=lambda y: (held[y], y), default=0))
-                    for name, value in zip(("tokens", "marks", "file"), window, strict=True):
-                        out[name].append(value)
-                    out["pairs"].append(counts.ravel().tolist() if n == 0 else [])
+                base = base_spans(text)
+                source = zlib.crc32(text.encode())
+                windows += [(*r, source) for r in window_rows(text, base, None)]
+                pairs += pair_rows(text, base, base)
+                rng = random.Random(source)
+                for kind, lo, hi in base:
+                    label, found = 1 + BASE_KINDS.index(kind), text[lo:hi]
+                    for n in range(REWRITTEN + ALIKE):
+                        new = rewritten(found, kind, rng) if n < REWRITTEN else look_alike(kind, rng)
+                        changed, at, file = crf.placed(text, lo, hi, new, rng)
+                        known = base_spans(changed)
+                        if any(a < at + len(new) and at < b for _, a, b in known):
+                            continue  # a pattern finds it, or some of it
+                        windows += [(*r, source) for r in window_rows(changed, known + [(kind, at, at + len(new))] * (n < REWRITTEN), label if n < REWRITTEN else 5, at, file)]
+                    if (again := echo(found, kind, rng)) is not None:
+                        words = text[:200].split()[:12]
+                        changed = text + "\n" + " ".join(words[:6]) + " "
+                        at = len(changed)
+                        changed += again + " " + " ".join(words[6:])
+                        skipped = len(again) - len(again.lstrip("abcdefghijklmnopqrstuvwxyz "))
+                        known = base_spans(changed)
+                        if not any(a < at + len(again) and at < b for _, a, b in known):
+                            pairs += [p for p in pair_rows(changed, known, known + [(kind, at + skipped, at + len(again))]) if not all(p["known"])][-2:]
+            out = {c: [r[k] for r in windows] + [None] * len(pairs) for k, c in enumerate(COLUMNS)}
+            out["hash"] = [r[0] for r in windows] + [p["hash"] for p in pairs]
+            out["kind"] = [r[1] for r in windows] + [-1] * len(pairs)
+            out["pair"] = [None] * len(windows) + pairs
             return out
 
         return handle
 
-    schema = "text long, hash long, kind int, tokens array<string>, marks array<int>, file int, pairs array<long>"
-    return common.saved(common.map_texts(docs, make, schema, id_col, text_col), "pii-windows")
+    pair = "struct<tokens: array<string>, contexts: array<string>, file: int, cut: int, i: int, j: int, skip: int, labels: array<int>, known: array<boolean>>"
+    return common.saved(common.map_texts(docs, make, f"hash long, kind int, tokens array<string>, marks array<int>, file int, contexts array<string>, source long, pair {pair}", id_col, text_col), "pii-windows")
+
+
+def beliefs_of(model: crf.Field, tokens: list[list[str]], contexts: list[dict[int, str]], files: list[int], at: list[int]) -> np.ndarray:
+    """What the chain alone believes of one token of each of these windows."""
+    scores, starts = model.scores(["" for _ in tokens], tokens, contexts)
+    for start, own, file in zip(starts, tokens, files, strict=True):
+        scores[start : start + len(own)] += (model.files[file] - model.files[crf.file_class("")]).astype(np.float32)
+    places, beliefs = model.loopy(scores, [], starts)
+    # a token that is outside for certain has neighbours that are, too
+    out = scores[starts + np.array(at, dtype=np.int64)] + model.chain[0] + model.chain[:, 0]
+    out = np.exp(out - crf.logsumexp(out, axis=1)[:, None])
+    where = dict(zip(places.tolist(), range(len(places)), strict=True))
+    for k, (start, i) in enumerate(zip(starts.tolist(), at, strict=True)):
+        if (p := where.get(start + i)) is not None:
+            out[k] = beliefs[p]
+    return out
 
 
-def skip_potentials(counts: np.ndarray) -> np.ndarray:
-    """Log of how much more often two linked tokens have a pair of labels than two tokens alone would, smoothed."""
-    joint = counts + counts.T + 0.5
-    joint = joint / joint.sum()
-    single = joint.sum(axis=1)
-    return np.clip(np.log(joint) - np.log(single)[:, None] - np.log(single)[None, :], -3, 3)
+def linked_pairs(model: crf.Field, rows: list) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """The rows' pairs as crf.fit_skips takes them; what a pattern knows is certain."""
+    sides = []
+    for first in (True, False):
+        own = [slice(0, r["cut"]) if first else slice(r["cut"], None) for r in rows]
+        contexts = [{i: c for i, c in enumerate(r["contexts"][s]) if c} for r, s in zip(rows, own, strict=True)]
+        beliefs = beliefs_of(model, [r["tokens"][s] for r, s in zip(rows, own, strict=True)], contexts, [r["file"] for r in rows], [r["i"] if first else r["j"] for r in rows])
+        for k, r in enumerate(rows):
+            if r["known"][not first]:
+                beliefs[k] = np.eye(model.labels)[r["labels"][not first]]
+        sides.append(beliefs)
+    return [(r["skip"], *r["labels"], a, b) for r, a, b in zip(rows, *sides, strict=True)]
 
 
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> crf.Field:
-    labels = len(BASE_KINDS) + 1
-    rows = training_rows(common.sample_of(docs, TRAIN_DOCUMENTS, id_col), id_col, text_col)
-    windows = [(r["tokens"], r["marks"], r["file"]) for r in common.fair_share(rows, TRAIN_WINDOWS, SHARES).collect()]
-    model = crf.train(windows, labels)
-    pairs = rows.filter(F.size("pairs") > 0).dropDuplicates(["text"]).select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row for each pair of labels
-    counts = np.zeros(SKIPS * labels * labels)
-    for r in pairs:
-        counts[r["k"]] = r["n"]
-    model.skips = tuple(skip_potentials(c) for c in counts.reshape(SKIPS, labels, labels))
+    rows = training_rows(common.sample_of(docs, TRAIN_DOCUMENTS, text_col), id_col, text_col)
+    windows = common.fair_share(rows.filter("pair IS NULL").drop("pair"), TRAIN_WINDOWS, SHARES).collect()
+    pairs = rows.filter("pair IS NOT NULL").select("hash", "pair.skip", "pair").dropDuplicates(["hash"])
+    pairs = common.fair_share(pairs.withColumnRenamed("skip", "kind"), TRAIN_PAIRS, dict.fromkeys(range(SKIPS), 1)).collect()
+    model = crf.train([(r["tokens"], r["marks"], r["file"], r["contexts"], r["source"]) for r in windows], len(BASE_KINDS) + 1)
+    model.skips = crf.fit_skips(model, linked_pairs(model, [r["pair"] for r in pairs]), SKIPS)
     return model
 
 
-def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int, float]]]:
-    """(kind, start, end, mean marginal of its tokens) by the field, for each text and its patterns' spans."""
-    tokens, words = [], []
+def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+    """(kind, start, end) by the field, for each text and its patterns' spans."""
+    tokens, contexts, known = [], [], []
     for text, base in zip(texts, bases, strict=True):
-        own, marks = labelled(text, base) if base else (crf.TOKEN.findall(text), [])
+        if base or DIGIT.search(text):
+            bounds, own, marks = labelled(text, base)
+            contexts.append(number_contexts(text, bounds))
+        else:
+            own, marks = crf.TOKEN.findall(text), []
+            contexts.append({})
         tokens.append(own)
-        words.append(found_words(own, marks) if base else set())
-    scores, starts = model.scores(texts, tokens)
-    pairs = [(int(s) + i, int(s) + j, kind) for s, own, known in zip(starts, tokens, words, strict=True) for i, j, kind in skip_pairs(own, known)]
-    places, labels, sure = model.loopy(scores, pairs)
+        known.append(marks if base else [])
+    scores, starts = model.scores(texts, tokens, contexts)
+    pairs: list[tuple[int, int, int]] = []
+    for start, own, marks in zip(starts.tolist(), tokens, known, strict=True):
+        pairs += [(start + i, start + j, kind) for i, j, kind in skip_pairs(own, marks)]
+        for i, y in enumerate(marks):
+            if y:
+                scores[start + i] = crf.NEVER
+                scores[start + i, y] = 0
+    places, beliefs = model.loopy(scores, pairs, starts)
+    labels = beliefs.argmax(axis=1)
     marked = places[labels > 0]
-    label_at = dict(zip(marked.tolist(), zip(labels[labels > 0].tolist(), sure[labels > 0].tolist(), strict=True), strict=True))
-    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    label_at = dict(zip(marked.tolist(), labels[labels > 0].tolist(), strict=True))
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for k in sorted(set((starts.searchsorted(marked, side="right") - 1).tolist())):
-        before, n, spans = (-2, 0), 0, out[k]
+        before, own, spans = (-2, 0), False, out[k]
         for i, m in enumerate(crf.TOKEN.finditer(texts[k])):
-            y, p = label_at.get(int(starts[k]) + i, (0, 0.0))
+            y = label_at.get(int(starts[k]) + i, 0)
             if not y:
                 continue
-            if before == (i - 1, y):
-                kind, a, _, mean = spans[-1]
-                n += 1
-                spans[-1] = (kind, a, m.end(), mean + (p - mean) / n)
-            else:
-                n = 1
-                spans.append((f"crf_{BASE_KINDS[y - 1]}", *m.span(), p))
+            # what goes on from a known find with its label is no find of its own: that one's bounds stand
+            joined = before == (i - 1, y)
             before = (i, y)
+            if known[k] and known[k][i]:
+                own = False
+            elif not joined:
+                own = True
+                spans.append((f"crf_{BASE_KINDS[y - 1]}", *m.span()))
+            elif own:
+                spans[-1] = (spans[-1][0], spans[-1][1], m.end())
     return out
 
 
-def worth_adding(text: str, kind: str, a: int, b: int, sure: float) -> bool:
-    if b - a >= LEAST_ADDED and DIGIT.search(text, a, b):
-        return True
-    return kind == "crf_email" and sure >= LEAST_SURE and any(map(str.isalnum, text[a:b]))
-
-
 def all_spans(model: crf.Field, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """The patterns' spans and the added ones of each text."""
+    """The patterns' spans and the added ones of each text; an added span holds a letter or digit."""
     bases = [base_spans(t) for t in texts]
-    return [
-        (base, [s[:3] for s in added if not overlaps(s[1:3], base) and worth_adding(text, *s)])
-        for text, base, added in zip(texts, bases, tagged_spans(model, texts, bases), strict=True)
-    ]
+    return [(base, [s for s in crf.free_of(added, base) if any(map(str.isalnum, text[s[1] : s[2]]))]) for text, base, added in zip(texts, bases, tagged_spans(model, texts, bases), strict=True)]
 
 
 def find_personal_data(docs: DataFrame, model: crf.Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

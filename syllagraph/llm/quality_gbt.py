@@ -182,7 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     """The rows of docs with a score of 0.5 or more, all their columns as they were. Fits on the labelled documents that
     the classifier's folds allow, then scores each row where it is read: nothing is joined back."""
     own = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().filter(~held_out())
-    some = common.sample_of(own, train_rows)
+    some = common.sample_of(own, train_rows, "doc_id")
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id", "left_semi")
     forest = train(document_features(known), labels, train_rows)
 
