@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of this process's tables inside the shared one.
+RUN = f"run-{uuid.uuid4().hex}"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a temporary folder."""
+    """This run's folder below spark.checkpoint.dir of the session. Where that is unset, as in tests, and the session is one
+    local process, a temporary folder is set; on a cluster one machine's folder would lose the others' files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return os.path.join(found, RUN)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table of this run. by: a column of whose values each has files of its own."""
     path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes this run's tables. Results that read them and aren't written yet are lost with them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
