@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from syllagraph import storage
+
 #: Texts handled together inside one task; a batch ends when either bound is reached.
 BATCH_ROWS = 2000
 BATCH_CHARS = 4_000_000
@@ -64,21 +63,10 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], di
     return frame.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: survives lost executors and cuts the lineage."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the session's shared folder: survives lost executors and cuts the lineage. by: a column of
+    whose values each has files of its own."""
+    return storage.saved(df, name, by)
 
 
 def sample_of(docs: DataFrame, rows: int, text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ def plain_copies(rows):
     return {(i, t or ""): (max(groups[t or ""]), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
 
 
-@pytest.mark.parametrize("bounds", [{}, {"bucket_rows": 3, "hot_rows": 2}, {"bucket_rows": 1, "hot_rows": 10**6}])
+@pytest.mark.parametrize("bounds", [{}, {"bucket_rows": 3}, {"bucket_rows": 40, "hash_of": lambda t: F.shiftleft(F.length(t).cast("long"), 40)}], ids=["usual", "small", "collisions"])
 def test_exact_dedup(spark, docs, bounds):
     more = frame(spark, [(10_000, None), (10_001, ""), (10_002, "a" * 100_000), (10_003, "a" * 100_000), (10_004, "b"), (10_005, "b"), (10_006, "b"), (10_007, "b ")]).select("doc_id", "text")
     rows = docs.select("doc_id", "text").union(more)
@@ -50,7 +50,7 @@ def test_exact_dedup(spark, docs, bounds):
     assert left.columns == rows.columns and left.count() == len(set(texts.values()))
 
 
-@pytest.mark.parametrize("bounds", [{}, {"hot_rows": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"bucket_rows": 1}])
 def test_exact_dedup_of_odd_rows(spark, bounds):
     rows = frame(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, None), (3, "")])
     found = exact_dedup.exact_dedup(rows, **bounds).collect()
@@ -62,6 +62,33 @@ def test_exact_dedup_of_odd_rows(spark, bounds):
     assert exact_dedup.exact_dedup(rows.limit(0)).count() == 0
 
 
+def test_index_follows_its_directory(spark, docs):
+    """Buckets split only where they are overfull, every row lies in the file of its bucket, and owners are key ranges."""
+    rows = docs.select("doc_id", "text").union(frame(spark, [(20_000 + i, "the same") for i in range(100)]).select("doc_id", "text"))
+    index, directory = exact_dedup.index_of(rows, bucket_rows=16)
+    leaves = {r["bucket"]: r for r in directory.collect()}
+    found = index.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"bucket=(\d+)/", 1).cast("long")).collect()
+    assert len(found) == rows.count()
+    held = collections.Counter(r["bucket"] for r in found)
+    keys = collections.defaultdict(set)
+    for r in found:
+        leaf = leaves[r["bucket"]]
+        bits = r["h"] % 2**64
+        assert r["file"] == r["bucket"] and bits >> (64 - leaf["depth"]) == leaf["prefix"]
+        keys[r["bucket"]].add(r["h"])
+        if r["parts"] == 1:
+            assert r["owner"] == leaf["owner"]
+    assert all(held[b] == leaf["rows"] and (leaf["rows"] <= 16 or len(keys[b]) == 1) for b, leaf in leaves.items())
+    depth = max(leaf["depth"] for leaf in leaves.values())
+    order = sorted(leaves.values(), key=lambda x: x["prefix"] << (depth - x["depth"]))
+    assert [x["bucket"] for x in order] == list(range(1, len(order) + 1)) and [x["owner"] for x in order] == sorted(x["owner"] for x in order)
+    start = min(x["depth"] for x in order)
+    rows_below = lambda d, p: sum(x["rows"] for x in order if x["depth"] >= d and x["prefix"] >> (x["depth"] - d) == p)
+    assert all(rows_below(x["depth"] - 1, x["prefix"] >> 1) > 16 for x in order if x["depth"] > start)
+    cut = [r for r in found if r["parts"] > 1]
+    assert len(cut) == 100 and max(collections.Counter(r["part"] for r in cut).values()) <= 32
+
+
 def grams(t, n=5):
     w = WORD.findall(t or "")
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
