@@ -205,7 +205,10 @@ def verified(groups: DataFrame, n: int, threshold: float) -> DataFrame:
     """
     schema = "key binary, links long, root binary, split boolean"
     arrow = groups.sparkSession.createDataFrame([], schema).toArrow().schema
-    rows = groups.withColumn("meet", F.xxhash64("part", "i", "j")).repartition("meet").sortWithinPartitions("meet", "part", "i", "j")
+    # the block pairs of a group are numbered and dealt to tasks in turn, from a task that the group's hash picks
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.expr("i * (2 * blocks - i + 1) div 2 + j - i")
+    rows = groups.repartitionById(tasks, F.pmod(F.hash("part") + number, F.lit(tasks)).cast("int")).sortWithinPartitions("part", "i", "j")
     rows = rows.select("part", "i", "j", "blocks", "block", "key", "copies", "text")
 
     def decide(rows: list[tuple], grams: Grams) -> pa.RecordBatch:
