@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, with priority and interval containment.
 
-Rules are built from one row per license (name pattern, identifier, versions, address) and one row per way of citing it.
-Words of a citation may stand any run of white space and comment marks apart. More rules know the licenses' own wording.
+Some rules are built from one row per license (name pattern, identifier, versions, address) and one row per way of citing it;
+others are written one by one: the licenses' own wording and the short names in use. Words of a citation may stand any run of
+white space and comment marks apart, words of a wording any run of what is no word.
 A rule's regexes run only on texts that hold its keywords. Detections are taken in order of priority; one that lies inside
 an accepted detection, or repeats its interval, is suppressed.
 """
@@ -36,6 +37,7 @@ LICENSES = (
     ("bsd-3-clause", r"(?:new|modified|revised|three-clause|3-clause) bsd", "bsd-3-clause", (), "bsd", r"opensource\.org/licenses/bsd-3-clause"),
     ("bsd-4-clause", r"(?:original|four-clause|4-clause) bsd", "bsd-4-clause", (), "bsd", None),
     ("0bsd", r"(?:zero-clause|0-clause) bsd", "0bsd", (), "bsd", None),
+    ("bsd", r"bsd", "bsd", (), "bsd", r"opensource\.org/licenses/bsd-license"),
     ("isc", r"isc", "isc", (), "isc", r"opensource\.org/licenses/isc"),
     ("zlib", r"zlib(?:/libpng)?", "zlib", (), "zlib", r"zlib\.net/zlib_license"),
     ("bsl", r"boost software", "bsl", ("1.0",), "boost", r"boost\.org/license"),
@@ -111,6 +113,82 @@ WORDINGS = (
     ("lgpl-2.1", 85, 1.0, "gnu lesser general public license version 2.1 february 1999", ()),
     ("lgpl-3.0", 85, 1.0, "gnu lesser general public license version 3 29 june 2007", ()),
     ("agpl-3.0", 85, 1.0, "gnu affero general public license version 3 19 november 2007", ()),
+    ("mpl-2.0", 85, 1.0, "this source code form is subject to the terms of the mozilla public license v 2.0", ()),
+    ("mpl-1.1", 85, 1.0, "the contents of this file are subject to the mozilla public license version 1.1", ()),
+    ("mpl-1.0", 85, 1.0, "the contents of this file are subject to the mozilla public license version 1.0", ()),
+    ("npl-1.1", 85, 1.0, "the contents of this file are subject to the netscape public license version 1.1", ()),
+    ("epl-1.0", 85, 1.0, "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0", ()),
+    ("epl-2.0", 85, 1.0, "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0", ()),
+    ("epl-2.0", 80, 1.0, "the accompanying program is provided under the terms of this eclipse public license", ()),
+    ("cpl-1.0", 80, 1.0, "the accompanying program is provided under the terms of this common public license", ()),
+    ("cddl", 80, 1.0, "the contents of this file are subject to the terms of the common development and distribution license", ()),
+    ("apache-1.1", 76, 1.0, BSD, ("this product includes software developed by the apache software foundation",)),
+    ("openssl", 76, 1.0, BSD, ("this product includes software developed by the openssl project",)),
+    ("php", 76, 1.0, BSD, ("this product includes php software",)),
+    ("sleepycat", 76, 1.0, BSD, ("redistributions in any form must be accompanied by information on how to obtain complete source code",)),
+    ("ncsa", 72, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction", ()),
+    ("x11", 72, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("shall not be used in advertising or otherwise to promote the sale use or other dealings in this software",)),
+    ("json", 72, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("the software shall be used for good not evil",)),
+    ("upl-1.0", 70, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software associated documentation and or data", ()),
+    ("ofl-1.1", 70, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of the font software", ()),
+    ("unicode", 70, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", ()),
+    ("bsl-1.0", 70, 1.0, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ()),
+    ("zlib", 70, 1.0, "in no event will the authors be held liable for any damages arising from the use of this software", ("altered source versions must be plainly marked as such",)),
+    ("unlicense", 70, 1.0, "this is free and unencumbered software released into the public domain", ()),
+    ("wtfpl-2.0", 70, 1.0, "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ()),
+    ("hpnd", 70, 1.0, "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", ()),
+    ("ntp", 71, 1.0, "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", ()),
+    ("postgresql", 70, 1.0, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ()),
+    ("tcl", 70, 1.0, "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose", ()),
+    ("psf-2.0", 70, 1.0, "this license agreement is between the python software foundation", ()),
+    ("artistic-2.0", 70, 1.0, "this license establishes the terms under which a given free software package may be copied modified distributed and? redistributed", ()),
+    ("artistic-1.0", 70, 1.0, "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control", ()),
+    ("ruby", 70, 1.0, "you may make and give away verbatim copies of the source form of the software without restriction", ()),
+    ("ms-rl", 71, 1.0, "this license governs use of the accompanying software if you use the software you accept this license", ("reciprocal grants",)),
+    ("ms-pl", 70, 1.0, "this license governs use of the accompanying software if you use the software you accept this license", ()),
+    ("cc0-1.0", 70, 1.0, "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders", ()),
+    ("cc0-1.0", 70, 0.95, "has dedicated the work to the public domain by waiving all of his or her rights to the work", ()),
+    ("w3c", 70, 1.0, "by obtaining using and? copying this work you the licensee agree that you have read understood and will comply with the following terms", ()),
+    ("libpng", 70, 1.0, "the png reference library is supplied as is", ()),
+    ("ijg", 70, 0.9, "this software is based in part on the work of the independent jpeg group", ()),
+    ("vim", 70, 1.0, "there are no restrictions on distributing unmodified copies of vim", ()),
+    ("beerware", 70, 1.0, "as long as you retain this notice you can do whatever you want with this stuff", ()),
+    ("odbl-1.0", 70, 1.0, "this database is made available under the open database license", ()),
+    ("odc-by-1.0", 70, 1.0, "this database is made available under the open data commons attribution license", ()),
+    ("pddl-1.0", 70, 1.0, "this database is made available under the public domain dedication and license", ()),
+    ("eupl", 70, 0.95, "you may not use this work except in compliance with the licence", ()),
+    ("apache-2.0", 70, 0.95, "you may not use this file except in compliance with the license", ("distributed on an as is basis without warranties or conditions of any kind",)),
+    ("public-domain", 30, 0.8, "this work is hereby released into the public domain", ()),
+    ("public-domain", 30, 0.8, "has been placed in the public domain", ()),
+    ("public-domain", 30, 0.8, "this software is in the public domain", ()),
+    ("public-domain", 30, 0.8, "this file is in the public domain", ()),
+    ("public-domain", 30, 0.8, "dedicated to the public domain", ()),
+    ("proprietary", 30, 0.8, "unauthorized copying of this file via any medium is strictly prohibited", ()),
+    ("proprietary", 30, 0.7, "this software is confidential and proprietary", ()),
+    ("proprietary", 30, 0.7, "may not be reproduced or distributed without the prior written permission of", ()),
+)
+#: Short names as people write them: label, priority, pattern, keyword.
+SHORT_NAMES = (
+    ("gpl-2.0", 46, r"(?<![\w-])(?:gnu )?gpl[ -]?v?2(?:\.0)?\+?(?![\w.]|-\w)", "gpl"),
+    ("gpl-3.0", 46, r"(?<![\w-])(?:gnu )?gpl[ -]?v?3(?:\.0)?\+?(?![\w.]|-\w)", "gpl"),
+    ("lgpl-2.0", 46, r"(?<![\w-])(?:gnu )?lgpl[ -]?v?2(?:\.0)?\+?(?![\w.]|-\w)", "lgpl"),
+    ("lgpl-2.1", 46, r"(?<![\w-])(?:gnu )?lgpl[ -]?v?2\.1\+?(?![\w.]|-\w)", "lgpl"),
+    ("lgpl-3.0", 46, r"(?<![\w-])(?:gnu )?lgpl[ -]?v?3(?:\.0)?\+?(?![\w.]|-\w)", "lgpl"),
+    ("agpl-3.0", 46, r"(?<![\w-])(?:gnu )?agpl[ -]?v?3(?:\.0)?\+?(?![\w.]|-\w)", "agpl"),
+    ("apache-2.0", 46, r"(?<![\w-])asl[ -]?v?2(?:\.0)?(?![\w.])", "asl"),
+    ("apache-2.0", 46, r"(?<![\w-])apache[ -]v?2(?:\.0)?(?![\w.])", "apache"),
+    ("mpl-1.1", 46, r"(?<![\w-])mpl[ -]?v?1\.1(?![\w.])", "mpl"),
+    ("mpl-2.0", 46, r"(?<![\w-])mpl[ -]?v?2(?:\.0)?(?![\w.])", "mpl"),
+    ("epl-1.0", 46, r"(?<![\w-])epl[ -]?v?1(?:\.0)?(?![\w.])", "epl"),
+    ("epl-2.0", 46, r"(?<![\w-])epl[ -]?v?2(?:\.0)?(?![\w.])", "epl"),
+    ("cc0", 46, r"(?<![\w-])cc0(?:[ -]1\.0)?(?![\w.-])", "cc0"),
+    ("cc-by-4.0", 46, r"(?<![\w-])cc[ -]by[ -]4\.0(?![\w.])", "cc"),
+    ("cc-by-3.0", 46, r"(?<![\w-])cc[ -]by[ -]3\.0(?![\w.])", "cc"),
+    ("cc-by-sa-4.0", 46, r"(?<![\w-])cc[ -]by[ -]sa[ -]4\.0(?![\w.])", "cc"),
+    ("cc-by-sa-3.0", 46, r"(?<![\w-])cc[ -]by[ -]sa[ -]3\.0(?![\w.])", "cc"),
+    ("cc-by-nc-4.0", 46, r"(?<![\w-])cc[ -]by[ -]nc[ -]4\.0(?![\w.])", "cc"),
+    ("cc-by-nc-sa-4.0", 46, r"(?<![\w-])cc[ -]by[ -]nc[ -]sa[ -]4\.0(?![\w.])", "cc"),
+    ("cc-by-nd-4.0", 46, r"(?<![\w-])cc[ -]by[ -]nd[ -]4\.0(?![\w.])", "cc"),
 )
 #: The GNU licenses' notice names the version after the publisher.
 GNU_NOTICE = r"{name} licen[sc]e,? as published by the free software foundation[,;:]?(?: either)?(?: version| v) ?{version}"
@@ -165,6 +243,7 @@ def wording_rules() -> list[Rule]:
 def signature_rules() -> list[Rule]:
     """All rules, highest priority first; among equals the longer label first, so that the more specific one wins."""
     rules = wording_rules()
+    rules += [Rule(label, "short name", priority, 0.7, re.compile(apart(pattern)), (keyword,)) for label, priority, pattern, keyword in SHORT_NAMES]
     for label, name, short, versions, keyword, url in LICENSES:
         own_id = [c for c in UNVERSIONED if not versions and (c[0] == "tag" or "-" in short)]
         for version in (*versions, None):
@@ -185,6 +264,29 @@ def signature_rules() -> list[Rule]:
     return sorted(rules, key=lambda r: (-r.priority, -len(r.label)))
 
 
+def uncontained(found: list[tuple]) -> list[tuple]:
+    """Of (start, end, ...) in order of priority, those that lie inside none that is accepted before them. A tree over the
+    starts holds the largest end accepted so far from each on, so each detection takes logarithmic time."""
+    starts = sorted({s for s, *_ in found})
+    place = {s: i + 1 for i, s in enumerate(starts)}
+    furthest = [-1] * (len(starts) + 1)
+    kept = []
+    for one in found:
+        start, end = one[:2]
+        i, most = place[start], -1
+        while i:
+            most = max(most, furthest[i])
+            i &= i - 1
+        if most >= end:
+            continue
+        kept.append(one)
+        i = place[start]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], end)
+            i += i & -i
+    return kept
+
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A-Z in lower case; every byte that is no word byte becomes a space. Words: digits, a-z and all of 0x80 and above.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -226,12 +328,7 @@ class Scanner:
                     break
             else:
                 open_rules += rules
-        kept: list[tuple[int, int, Rule]] = []
-        for _, rule in sorted(open_rules, key=lambda x: x[0]):
-            for start, end in rule.places(text):
-                if not any(a <= start and end <= b for a, b, _ in kept):
-                    kept.append((start, end, rule))
-        return kept
+        return uncontained([(start, end, rule) for _, rule in sorted(open_rules, key=lambda x: x[0]) for start, end in rule.places(text)])
 
     def scan(self, text: str) -> tuple[int, list[int], set[str], set[str], float]:
         """Number of words, base places and labels, all labels, score."""

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -382,6 +383,54 @@ def test_license_wording():
         assert found[3] == labels and (found[4] > 0) == bool(labels), text
 
 
+@pytest.mark.parametrize("rule", range(len(license_scan.WORDINGS)))
+def test_each_wording_is_known(rule):
+    label, _, score, opening, then = license_scan.WORDINGS[rule]
+    words = " ".join([opening.replace("and?", "and"), *then]).split()
+    text = "\n * ".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+    found = license_scan.scanner().scan(f"x (c) y. {text.upper()}. Z")
+    assert label in found[3] and found[4] >= score - 0.3, found[3:]
+
+
+def test_short_names():
+    scan = license_scan.scanner().scan
+    for text, label in (("GPLv2+", "gpl-2.0"), ("GNU GPL v3", "gpl-3.0"), ("LGPL-2.1 code", "lgpl-2.1"), ("under CC BY-SA 4.0 terms", "cc-by-sa-4.0"), ("Apache 2.0", "apache-2.0"), ("distributed under the BSD license", "bsd")):
+        assert label in scan(text)[3], text
+    assert scan("the gplv22 and a cc by-sa bus")[3] == set() and scan("Simplified BSD License")[3] == {"bsd-2-clause"}
+
+
+def test_containment_equals_the_plain_one():
+    rng = random.Random(4)
+    for _ in range(400):
+        found = [(a := rng.randint(0, 12), a + rng.randint(1, 6), k) for k in range(rng.randint(0, 14))]
+        plain = []
+        for one in found:
+            if not any(a <= one[0] and one[1] <= b for a, b, _ in plain):
+                plain.append(one)
+        assert license_scan.uncontained(found) == plain
+
+
+def test_priority_decides_between_overlapping_rules():
+    """All detections of all open rules, in order of priority, against the accepted ones."""
+    scanner = license_scan.scanner()
+    rng = random.Random(10)
+    parts = ["licensed under the apache license, version 2.0", "gnu general public license v3", "simplified bsd license", "spdx-license-identifier: mit", "https://opensource.org/licenses/mit", "released under gpl-2.0", "and", "mit license", "see"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts) for _ in range(6))
+        every = [(r.priority, a, b, r.label) for r in scanner.rules for a, b in r.places(text) if all(k in text for k in r.keywords)]
+        kept = [(r.priority, a, b, r.label) for a, b, r in scanner.signatures(text)]
+        assert set(kept) <= set(every)
+        for p, a, b, label in every:
+            inside = [k for k in kept if k[1] <= a and b <= k[2]]
+            assert inside and ((p, a, b, label) in kept or max(k[0] for k in inside) >= p)
+
+
+def test_many_repeats_are_quick():
+    began = time.process_time()
+    assert len(license_scan.scanner().signatures("licensed under the mit license. " * 8000)) == 8000
+    assert time.process_time() - began < 3
+
+
 def test_license_scan_is_linear():
     long = "gnu general public" + " *" * 300_000 + " licensed by" * 20_000 + " a" * 100_000 + " license"
     license_scan.scanner().scan(long)
