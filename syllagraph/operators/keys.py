@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from syllagraph.functions.fields import natural_key, normalize_course_key, split_ids
+from syllagraph.functions.fields import degree_id, natural_key, normalize_course_key, split_ids
 
 LISTS = {"prereq": "prereq_text", "coreq": "coreq_text", "strict": "strict_text"}
 
@@ -81,6 +81,25 @@ def first_by_natural_key(courses: DataFrame) -> DataFrame:
     return courses.groupBy("curriculum_id", "natural_key").agg(F.min_by("course_key", "course_id").alias("course_key"))
 
 
+def courses_by_key(courses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (curriculum_id, course_key) with the course of each storage key, and contained: whether there is one."""
+    own = courses.select("curriculum_id", "course_key", F.struct(*[c for c in courses.columns if c not in ("curriculum_id", "course_key")]).alias("course"))
+    return wanted.select("curriculum_id", "course_key").join(own, ["curriculum_id", "course_key"], "left").withColumn("contained", F.col("course").isNotNull())
+
+
+def courses_by_natural_key(courses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (curriculum_id, natural_key) with the storage key and course of each; of several the first in the plan."""
+    keys = wanted.select("curriculum_id", "natural_key").join(first_by_natural_key(courses), ["curriculum_id", "natural_key"], "left")
+    found = courses_by_key(courses, keys.filter("course_key IS NOT NULL").select("curriculum_id", "course_key").distinct())
+    return keys.join(found, ["curriculum_id", "course_key"], "left").withColumn("contained", F.coalesce("contained", F.lit(False)))
+
+
+def degrees_by_id(curriculum: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (degree_id) with the degree's type, system and code; of several curricula with that degree the smallest one's."""
+    own = curriculum.groupBy(degree_id(F.col("degree_type"), F.col("name")).alias("degree_id")).agg(F.min(F.struct("curriculum_id", "degree_type", "system_type", "cip_code")).alias("d"))
+    return wanted.select("degree_id").join(own, "degree_id", "left").select("degree_id", "d.*")
+
+
 def neighbour_lists(courses: DataFrame, edges: DataFrame) -> DataFrame:
     """curriculum_id, course_key and its four lists joined by commas: requisites in list order, dependents by key."""
     back = edges.groupBy("curriculum_id", F.col("dst").alias("course_key")).agg(*[listed(k, "src", "ord").alias(n) for k, n in (("prereq", "prerequisites"), ("coreq", "corequisites"))])

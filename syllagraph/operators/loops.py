@@ -28,12 +28,12 @@ def cyclic_curricula(edges: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """All levels of a walk: start rows (curriculum_id, dir, tag, vertex, n) at level k, then n summed over the edges
-    (curriculum_id, dir, a, b) out of each vertex, per dir and tag. Rows of graphs with cycles end and are left out.
+    """All levels of a walk: start rows (curriculum_id, dir, vertex, n) at level k, then n summed over the edges
+    (curriculum_id, dir, a, b) out of each vertex, per dir. Rows of graphs with cycles end and are left out.
 
-    n is null once it outgrows 64 bits. The number of rows of a level is at most one per tag and vertex.
+    n is null once it outgrows 64 bits. The number of rows of a level is at most one per vertex and dir.
     """
-    level, levels, k = saved(start.select("curriculum_id", "dir", "tag", "vertex", "n", "k"), "walk"), [], 0
+    level, levels, k = saved(start.select("curriculum_id", "dir", "vertex", "n", "k"), "walk"), [], 0
     ways = edges
     while not level.isEmpty():
         levels.append(level)
@@ -43,8 +43,8 @@ def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
             if not bad.isEmpty():
                 ways = saved(edges.join(bad, "curriculum_id", "left_anti"), "walk-ways")
                 levels = [x.join(bad, "curriculum_id", "left_anti") for x in levels]
-        step = level.select("curriculum_id", "dir", "tag", F.col("vertex").alias("a"), "n", "k").join(ways, ["curriculum_id", "dir", "a"])
-        level = saved(step.groupBy("curriculum_id", "dir", "tag", F.col("b").alias("vertex"), F.col("k") + 1).agg(F.when(F.count("*") == F.count("n"), F.try_sum("n")).alias("n")).select("curriculum_id", "dir", "tag", "vertex", "n", F.col("(k + 1)").alias("k")), "walk")
+        step = level.select("curriculum_id", "dir", F.col("vertex").alias("a"), "n", "k").join(ways, ["curriculum_id", "dir", "a"])
+        level = saved(step.groupBy("curriculum_id", "dir", F.col("b").alias("vertex"), F.col("k") + 1).agg(F.when(F.count("*") == F.count("n"), F.try_sum("n")).alias("n")).select("curriculum_id", "dir", "vertex", "n", F.col("(k + 1)").alias("k")), "walk")
     out = levels[0] if levels else level
     for x in levels[1:]:
         out = out.union(x)
@@ -58,30 +58,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return saved(forward.union(forward.select("curriculum_id", F.lit("b").alias("dir"), F.col("b").alias("a"), F.col("a").alias("b"))), "ways")
 
 
-def graph_levels(vertices: DataFrame, edges: DataFrame, reach: bool = True) -> DataFrame:
-    """Levels of path counts (tag null): from vertices nothing leads to forward, from vertices leading nowhere backward;
-    with reach also of each vertex's own walk forward (tag: that vertex). vertices: (curriculum_id, vertex)."""
+def graph_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of path counts: from vertices nothing leads to forward, from vertices leading nowhere backward.
+    vertices: (curriculum_id, vertex)."""
     ways = both_ways(edges)
     ends = vertices.select("curriculum_id", "vertex", F.explode(F.array(F.lit("f"), F.lit("b"))).alias("dir"))
     entered = ways.select("curriculum_id", "dir", F.col("b").alias("vertex")).distinct()
-    kind = vertices.schema["vertex"].dataType
-    start = ends.join(entered, ["curriculum_id", "dir", "vertex"], "left_anti").select("curriculum_id", "dir", F.lit(None).cast(kind).alias("tag"), "vertex", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"))
-    if reach:
-        own = ways.filter("dir = 'f'").select("curriculum_id", "dir", F.col("a").alias("tag"), F.col("b").alias("vertex"), F.lit(1).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("k"))
-        start = start.union(own)
+    start = ends.join(entered, ["curriculum_id", "dir", "vertex"], "left_anti").select("curriculum_id", "dir", "vertex", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"))
     return walk(ways, start)
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(curriculum_id, src, dst): every pair with a path, in graphs with cycles too. Each round joins the newest pairs
-    with the edges and keeps what is new; a round's distinct pairs and all earlier ones are keyed alike."""
+    """(curriculum_id, src, dst): every pair with a path, in graphs with cycles too. Each round joins the newest pairs with
+    all pairs so far and keeps what is new, so the distance covered doubles: a graph of depth d takes log d rounds."""
     base = saved(edges.select("curriculum_id", "src", "dst").distinct(), "closure")
     seen, newest = base, base
-    step = base.select("curriculum_id", F.col("src").alias("mid"), F.col("dst").alias("end"))
     while not newest.isEmpty():
-        ahead = newest.withColumnRenamed("dst", "mid").join(step, ["curriculum_id", "mid"]).select("curriculum_id", "src", F.col("end").alias("dst")).distinct()
+        ahead = newest.withColumnRenamed("dst", "mid").join(seen.select("curriculum_id", F.col("src").alias("mid"), F.col("dst").alias("end")), ["curriculum_id", "mid"])
+        ahead = ahead.select("curriculum_id", "src", F.col("end").alias("dst")).distinct()
         newest = saved(ahead.join(seen, ["curriculum_id", "src", "dst"], "left_anti"), "closure")
-        seen = seen.union(newest)
+        seen = saved(seen.union(newest), "closure")
     return seen
 
 

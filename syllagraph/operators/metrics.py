@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .loops import cyclic_curricula, graph_levels
+from .loops import closure, cyclic_curricula, graph_levels
 
 
 def requisite_edges(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,11 @@ def requisite_edges(edges: DataFrame) -> DataFrame:
 
 def path_sums(levels: DataFrame) -> DataFrame:
     """Per vertex: longest path to and from it in edges, number of paths and their lengths in vertices either way."""
-    own = levels.filter("tag IS NULL")
     at = lambda d, c: F.when(F.col("dir") == d, c)
     n, k = F.col("n"), F.col("k")
     lost = F.max(F.when(n.isNull(), 1).otherwise(0))
     total = lambda d, c: F.when(lost == 0, F.try_sum(at(d, c)))
-    return own.groupBy("curriculum_id", "vertex").agg(
+    return levels.groupBy("curriculum_id", "vertex").agg(
         F.max(at("f", k)).alias("longest_to"), F.max(at("b", k)).alias("longest_from"),
         total("f", n).alias("p"), total("f", F.try_multiply(n, k + 1)).alias("lp"),
         total("b", n).alias("s"), total("b", F.try_multiply(n, k + 1)).alias("ls"),
@@ -34,22 +33,20 @@ def sums_to_metrics(sums: DataFrame) -> DataFrame:
     return sums.select("curriculum_id", "vertex", "longest_to", "longest_from", (F.col("longest_to") + F.col("longest_from") + 1).alias("delay"), F.when(inner, value).otherwise(F.lit(0)).cast("bigint").alias("centrality"))
 
 
-def reach_counts(levels: DataFrame) -> DataFrame:
-    """blocking per vertex: other vertices reachable from it."""
-    pairs = levels.filter("tag IS NOT NULL").select("curriculum_id", "tag", "vertex").distinct()
-    return pairs.groupBy("curriculum_id", F.col("tag").alias("vertex")).agg(F.count("*").alias("blocking"))
+def reach_counts(pairs: DataFrame) -> DataFrame:
+    """blocking per vertex: other vertices reachable from it. pairs: (curriculum_id, src, dst) of the closure."""
+    return pairs.filter("src <> dst").groupBy("curriculum_id", F.col("src").alias("vertex")).agg(F.count("*").alias("blocking"))
 
 
 def course_metrics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """curriculum_id, vertex, delay, blocking, complexity, centrality of every vertex of graphs without cycles."""
-    levels = graph_levels(vertices, edges)
-    found = sums_to_metrics(path_sums(levels)).filter("delay IS NOT NULL")
-    rows = found.join(reach_counts(levels), ["curriculum_id", "vertex"], "left").withColumn("blocking", F.coalesce("blocking", F.lit(0)).cast("bigint"))
-    return rows.select("curriculum_id", "vertex", "delay", "blocking", (F.col("delay") + F.col("blocking")).alias("complexity"), "centrality")
+    """curriculum_id, vertex, delay, blocking, complexity, centrality, longest_to of every vertex of graphs without cycles."""
+    found = delay_and_centrality(vertices, edges).filter("delay IS NOT NULL")
+    rows = found.join(reach_counts(closure(edges)), ["curriculum_id", "vertex"], "left").withColumn("blocking", F.coalesce("blocking", F.lit(0)).cast("bigint"))
+    return rows.select("curriculum_id", "vertex", "delay", "blocking", (F.col("delay") + F.col("blocking")).alias("complexity"), "centrality", "longest_to")
 
 
 def delay_and_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return sums_to_metrics(path_sums(graph_levels(vertices, edges, reach=False)))
+    return sums_to_metrics(path_sums(graph_levels(vertices, edges)))
 
 
 def graph_errors(edges: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from syllagraph.functions.fields import is_quarter, node_id, node_label, years_of
 
-from .summary import ordered_list
+from .summary import ordered_list, with_defaults
 
 
 def report_header(curriculum: DataFrame, courses: DataFrame, summary: DataFrame, steps: DataFrame, schedule: DataFrame) -> DataFrame:
-    """One row of facts per curriculum; the complexity total is unscaled."""
+    """One row of facts per curriculum; the complexity total is unscaled. A curriculum without degree facts has the usual ones."""
+    curriculum = with_defaults(curriculum)
     totals = courses.groupBy("curriculum_id").agg(F.sum("credits").alias("total_credits"), F.count("*").alias("course_count"))
     used = schedule.groupBy("curriculum_id").agg(F.countDistinct("term").alias("terms_used"))
     rows = curriculum.join(totals, "curriculum_id").join(summary, "curriculum_id").join(steps, "curriculum_id", "left").join(used, "curriculum_id", "left")
@@ -66,16 +67,28 @@ def mermaid_terms(rows: DataFrame, edges: DataFrame, schedule: DataFrame, curric
     block = F.concat(F.lit("    subgraph term"), number, F.lit('["'), F.col("label"), F.lit(" "), number, F.lit('"]\n'), F.coalesce("nodes", empty), F.lit("\n    end\n\n"))
     blocks = every.join(nodes, ["curriculum_id", "term"], "left").withColumn("block", block).groupBy("curriculum_id", "terms").agg(ordered_list("term", "block", "").alias("blocks"))
     order = F.transform(F.sequence(F.lit(1), F.col("terms") - 1), lambda i: F.concat(F.lit("    term"), i.cast("string"), F.lit(" ~~~ term"), (i + 1).cast("string"), F.lit("\n")))
-    links = edge_lines(edges, rows).groupBy("curriculum_id").agg(ordered_list("o", "line", "\n").alias("links"))
+    links = edge_lines(between(edges, schedule), rows).groupBy("curriculum_id").agg(ordered_list("o", "line", "\n").alias("links"))
     joined = blocks.join(links, "curriculum_id", "left")
     return joined.select("curriculum_id", F.concat(F.lit("```mermaid\nflowchart LR\n"), "blocks", F.array_join(order, ""), F.lit("\n"), F.coalesce(F.concat("links", F.lit("\n")), F.lit("")), F.lit("```\n")).alias("body"))
 
 
+def between(edges: DataFrame, courses: DataFrame) -> DataFrame:
+    """The edges with both ends among the courses."""
+    known = courses.select("curriculum_id", "course_key")
+    return edges.join(known.withColumnRenamed("course_key", "src"), ["curriculum_id", "src"], "left_semi").join(known.withColumnRenamed("course_key", "dst"), ["curriculum_id", "dst"], "left_semi")
+
+
 def plan_edges(edges: DataFrame, schedule: DataFrame) -> DataFrame:
     """curriculum_id, from, to, dashes: requisites between scheduled courses."""
-    known = schedule.select("curriculum_id", "course_key")
-    both = edges.join(known.withColumnRenamed("course_key", "src"), ["curriculum_id", "src"], "left_semi").join(known.withColumnRenamed("course_key", "dst"), ["curriculum_id", "dst"], "left_semi")
-    return both.select("curriculum_id", F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("kind") == "coreq").alias("dashes"))
+    return between(edges, schedule).select("curriculum_id", F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("kind") == "coreq").alias("dashes"))
+
+
+#: Introduction and legend of the document's diagram.
+GRAPH_NOTE = """The following diagram shows the prerequisite relationships between courses.
+- **Solid arrows** (→) indicate prerequisites
+- **Dashed arrows** (⤍) indicate corequisites
+- **C:N** indicates the complexity score
+"""
 
 
 def report_markdown(header: DataFrame, terms: DataFrame, ranked: DataFrame, diagram: DataFrame) -> DataFrame:
@@ -98,22 +111,30 @@ def report_markdown(header: DataFrame, terms: DataFrame, ranked: DataFrame, diag
         F.concat(F.lit("\n### Longest Delay Path (Critical Path)\n\n"), text("delay_path"), F.lit("\n\n---\n\n## Term-by-Term Schedule\n")),
         F.concat(F.lit("| "), label, F.lit(" | Courses | Credits |\n|---|---|---|")), text("term_rows"),
         F.lit("\n---\n\n## Course Metrics\n\n| Course | Name | Credits | Complexity | Blocking | Delay | Centrality |\n|---|---|---|---|---|---|---|"), text("metric_rows"),
-        F.lit("\n---\n\n## Curriculum Graph\n"), text("body"),
+        F.lit("\n---\n\n## Curriculum Graph\n"), F.lit(GRAPH_NOTE), text("body"),
     ]
-    return h.select("curriculum_id", F.concat(F.col("curriculum_id").cast("string"), F.lit("_report.md")).alias("file_name"), F.concat_ws("\n", *parts).alias("body"))
+    return h.select("curriculum_id", F.concat(F.replace(F.col("curriculum_id").cast("string"), F.lit("/"), F.lit("_")), F.lit("_report.md")).alias("file_name"), F.concat_ws("\n", *parts).alias("body"))
 
 
 def compare_metrics(expected: DataFrame, found: DataFrame) -> DataFrame:
     """curriculum_id, course_id, field: where expected rows differ from found ones (curriculum_id, course_id, complexity
-    scaled, blocking, delay, centrality); a missing course is a difference."""
-    theirs = found.select("curriculum_id", "course_id", *[F.col(c).alias(f"f_{c}") for c in ("complexity", "blocking", "delay", "centrality")])
+    scaled, blocking, delay, centrality); a missing course is a difference, and so is a metric that only one side has."""
+    theirs = found.select("curriculum_id", "course_id", F.lit(True).alias("found"), *[F.col(c).alias(f"f_{c}") for c in ("complexity", "blocking", "delay", "centrality")])
     rows = expected.join(theirs, ["curriculum_id", "course_id"], "left")
-    exact = lambda c: F.when(F.col(c) != F.col(f"f_{c}"), F.lit(c))
-    wrong = F.array_compact(F.array(exact("delay"), exact("blocking"), exact("centrality"), F.when(F.abs(F.col("complexity") - F.col("f_complexity")) > 0.1 + 1e-9, F.lit("complexity"))))
-    fields = F.when(F.col("f_delay").isNull(), F.array(F.lit("missing"))).otherwise(wrong)
+    exact = lambda c: F.when(~F.col(c).eqNullSafe(F.col(f"f_{c}")), F.lit(c))
+    near = F.coalesce(F.abs(F.col("complexity") - F.col("f_complexity")) <= 0.1 + 1e-9, F.col("complexity").isNull() & F.col("f_complexity").isNull())
+    wrong = F.array_compact(F.array(exact("delay"), exact("blocking"), exact("centrality"), F.when(~near, F.lit("complexity"))))
+    fields = F.when(F.col("found").isNull(), F.array(F.lit("missing"))).otherwise(wrong)
     return rows.select("curriculum_id", "course_id", F.explode(fields).alias("field"))
 
 
+def compare_totals(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """curriculum_id, expected_total, found_total: curricula whose scaled complexity totals (curriculum_id, total) differ by
+    more than a half, or that were not found."""
+    rows = expected.select("curriculum_id", F.col("total").alias("expected_total")).join(found.select("curriculum_id", F.col("total").alias("found_total")), "curriculum_id", "left")
+    return rows.filter(~F.coalesce(F.abs(F.col("expected_total") - F.col("found_total")) <= 0.5 + 1e-9, F.lit(False)))
+
+
 def compare_summary(expected: DataFrame, differences: DataFrame) -> DataFrame:
     """curricula, passed, failed over all expected curricula."""
     bad = differences.select("curriculum_id").distinct().withColumn("bad", F.lit(True))

@@ -184,13 +184,17 @@ def term_totals(schedule: DataFrame) -> DataFrame:
 
 
 def schedule_violations(schedule: DataFrame, edges: DataFrame, groups: DataFrame, curriculum: DataFrame, target: float = TARGET) -> DataFrame:
-    """curriculum_id, problem, course_key: requisites in the wrong terms, and terms above the most that hold more than one
-    group. No row for a sound schedule."""
+    """curriculum_id, problem, reason, course_key: requisites in the wrong terms, and terms above the most that hold more than
+    one group. No row for a sound schedule. A prerequisite inside the course's own corequisite group (reason "own group") can't
+    be earlier in any schedule; another one stands where groups require each other in a circle or a light course was moved."""
     at = schedule.select("curriculum_id", "course_key", "term")
     pairs = edges.join(at.select("curriculum_id", F.col("course_key").alias("src"), F.col("term").alias("src_term")), ["curriculum_id", "src"]).join(at.select("curriculum_id", F.col("course_key").alias("dst"), F.col("term").alias("dst_term")), ["curriculum_id", "dst"])
-    early = pairs.filter("kind = 'prereq' AND src_term >= dst_term").select("curriculum_id", F.lit("prerequisite not earlier").alias("problem"), F.col("dst").alias("course_key"))
-    apart = pairs.filter("kind = 'coreq' AND src_term <> dst_term").select("curriculum_id", F.lit("corequisite in another term").alias("problem"), F.col("dst").alias("course_key"))
+    in_group = lambda c: groups.select("curriculum_id", F.col("course_key").alias(c), F.col("group_key").alias(f"{c}_group"))
+    early = pairs.filter("kind = 'prereq' AND src_term >= dst_term").join(in_group("src"), ["curriculum_id", "src"]).join(in_group("dst"), ["curriculum_id", "dst"])
+    own = F.when(F.col("src_group") == F.col("dst_group"), "own group").otherwise("order of groups")
+    early = early.select("curriculum_id", F.lit("prerequisite not earlier").alias("problem"), own.alias("reason"), F.col("dst").alias("course_key"))
+    apart = pairs.filter("kind = 'coreq' AND src_term <> dst_term").select("curriculum_id", F.lit("corequisite in another term").alias("problem"), F.lit("moved").alias("reason"), F.col("dst").alias("course_key"))
     most = F.lit(target) + F.when(F.contains(F.lower("system_type"), F.lit("quarter")), SLACK[True]).otherwise(SLACK[False])
     loads = schedule.join(groups, ["curriculum_id", "course_key"]).groupBy("curriculum_id", "term").agg(F.sum("credits").alias("load"), F.countDistinct("group_key").alias("groups"))
-    heavy = loads.join(curriculum, "curriculum_id", "left").filter((F.col("load") > most) & (F.col("groups") > 1)).select("curriculum_id", F.lit("term too heavy").alias("problem"), F.lit("").alias("course_key"))
+    heavy = loads.join(curriculum, "curriculum_id", "left").filter((F.col("load") > most) & (F.col("groups") > 1)).select("curriculum_id", F.lit("term too heavy").alias("problem"), F.lit("load").alias("reason"), F.lit("").alias("course_key"))
     return early.union(apart).union(heavy)

@@ -93,7 +93,7 @@ def export_rows(courses: DataFrame, required: DataFrame, metrics: DataFrame, cur
     """One row per course in the order and with the texts of the metrics file. courses has course_id, plan_pos,
     canonical_name; a curriculum without a record counts as semester."""
     on = ["curriculum_id", "course_key"]
-    rows = courses.join(back_to_ids(required, courses), on, "left").join(metrics, on, "left").join(curriculum.select("curriculum_id", "institution", F.contains(F.lower("system_type"), F.lit("quarter")).alias("quarter")), "curriculum_id", "left")
+    rows = courses.join(back_to_ids(required, courses), on, "left").join(metrics, on, "left").join(with_defaults(curriculum).select("curriculum_id", "institution", F.contains(F.lower("system_type"), F.lit("quarter")).alias("quarter")), "curriculum_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     id_text = F.col("course_id").cast("string")
     sort = F.coalesce(F.when(id_text.rlike(r"^\+?[0-9]+$"), id_text.try_cast("bigint")), F.lit(0)).cast("bigint")
@@ -106,6 +106,14 @@ def export_rows(courses: DataFrame, required: DataFrame, metrics: DataFrame, cur
     )
 
 
+def with_defaults(curriculum: DataFrame) -> DataFrame:
+    """curriculum with what a missing degree stands for: type BS, semesters, no code; a missing institution is the school, if
+    the table has one."""
+    school = F.col("school") if "school" in curriculum.columns else F.lit(None).cast("string")
+    usual = {"degree_type": F.lit("BS"), "system_type": F.lit("semester"), "cip_code": F.lit(""), "institution": F.coalesce(school, F.lit("")), "name": F.lit("")}
+    return curriculum.select(*[F.coalesce(F.col(c), usual[c]).alias(c) if c in usual else F.col(c) for c in curriculum.columns])
+
+
 COLUMNS = "Course ID,Course Name,Prefix,Number,Prerequisites,Corequisites,Strict-Corequisites,Credit Hours,Institution,Canonical Name,Complexity,Blocking,Delay,Centrality"
 
 
@@ -114,7 +122,7 @@ def export_text(rows: DataFrame, summary: DataFrame, steps: DataFrame, curriculu
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     line = F.concat_ws(",", "course_id", "name", *[quoted(c) for c in ("prefix", "number", "prereq_ids", "coreq_ids", "strict_ids")], "credits", quoted("institution"), quoted("canonical_name"), "complexity", *[F.col(c).cast("string") for c in ("blocking", "delay", "centrality")])
     body = rows.groupBy("curriculum_id").agg(ordered_list("place", line, "\n").alias("lines"))
-    joined = curriculum.join(body, "curriculum_id").join(summary, "curriculum_id").join(steps, "curriculum_id", "left")
+    joined = with_defaults(body.join(curriculum, "curriculum_id", "left")).join(summary, "curriculum_id").join(steps, "curriculum_id", "left")
     head = F.concat_ws(
         "\n", F.concat(F.lit("Curriculum,"), F.col("name")), F.concat(F.lit("Institution,"), F.col("institution")), F.concat(F.lit("Degree Type,"), quoted("degree_type")),
         F.concat(F.lit("System Type,"), F.col("system_type")), F.concat(F.lit("CIP,"), quoted("cip_code")), F.concat(F.lit("Total Structural Complexity,"), F.format_string("%.1f", "scaled_total")),

@@ -60,12 +60,13 @@ class Frames:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """curriculum_id, course_id and the four metrics."""
+        """curriculum_id, course_id, the four metrics and longest_to."""
         return saved(metrics.course_metrics(self.vertices, self.edges).withColumnRenamed("vertex", "course_id"), "metrics")
 
     @cached_property
     def delays(self) -> DataFrame:
-        rows = saved(metrics.delay_and_centrality(self.vertices, self.edges).withColumnRenamed("vertex", "course_id"), "delays")
+        # the same columns are in the metrics, where a query needs these anyway
+        rows = self.metrics if "metrics" in self.__dict__ else saved(metrics.delay_and_centrality(self.vertices, self.edges).withColumnRenamed("vertex", "course_id"), "delays")
         return rows.join(self.course, ["curriculum_id", "course_id"])
 
     @cached_property

@@ -177,6 +177,13 @@ LEFT JOIN (SELECT curriculum_id, course_id, {NOT_NULL_LISTS} FROM (SELECT q.*, b
     "complexity_bands": sql("SELECT curriculum_id, course_key, complexity, CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 15 THEN 'medium' ELSE 'high' END AS band FROM metrics", METRICS),
     "node_labels": sql(f"SELECT curriculum_id, course_key, replace(course_key, '#', '_') AS node_id, {LABEL} AS label FROM metrics", METRICS),
     "lookup_natural_key": sql("SELECT curriculum_id, natural_key, course_key FROM (SELECT *, row_number() OVER (PARTITION BY curriculum_id, natural_key ORDER BY course_id) AS r FROM course) AS x WHERE r = 1"),
+    "lookup_course": sql("SELECT curriculum_id, course_key, true AS contained, name FROM course WHERE course_id % 5 = 0 UNION ALL SELECT curriculum_id, course_key || '?', false, NULL FROM course WHERE course_id % 10 = 0"),
+    "lookup_course_by_natural_key": sql(
+        """SELECT w.curriculum_id, w.natural_key, f.course_key IS NOT NULL AS contained, f.course_key, f.name
+FROM (SELECT DISTINCT curriculum_id, natural_key FROM course WHERE course_id % 5 = 0 UNION SELECT curriculum_id, natural_key || '?' FROM course WHERE course_id % 10 = 0) AS w
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY curriculum_id, natural_key ORDER BY course_id) AS r FROM course) AS f ON f.curriculum_id = w.curriculum_id AND f.natural_key = w.natural_key AND f.r = 1"""
+    ),
+    "lookup_degree": sql("SELECT degree_type || ' ' || name AS degree_id, curriculum_id, degree_type, system_type, cip_code FROM curriculum WHERE curriculum_id % 3 = 0 UNION ALL SELECT degree_type || ' ' || name || '?', NULL, NULL, NULL, NULL FROM curriculum WHERE curriculum_id % 9 = 0"),
     "neighbour_lists": sql(
         """SELECT c.curriculum_id, c.course_key, coalesce(p, '') AS prerequisites, coalesce(d, '') AS dependents, coalesce(q, '') AS corequisites, coalesce(t, '') AS coreq_dependents FROM course AS c
 LEFT JOIN (SELECT curriculum_id, dst AS course_key, string_agg(CASE WHEN kind = 'prereq' THEN src END, ',' ORDER BY ord, src) AS p, string_agg(CASE WHEN kind = 'coreq' THEN src END, ',' ORDER BY ord, src) AS q FROM kedge GROUP BY curriculum_id, dst) AS a ON a.curriculum_id = c.curriculum_id AND a.course_key = c.course_key
@@ -206,6 +213,7 @@ JOIN (SELECT curriculum_id, nk, count(*) AS n FROM (SELECT curriculum_id, natura
     "plan_edges": sql("SELECT curriculum_id, src AS \"from\", dst AS \"to\", kind = 'coreq' AS dashes FROM kedge"),
     "compare_metrics": sql("SELECT curriculum_id, course_id, field FROM different", METRICS, EXPECTED),
     "compare_summary": sql("SELECT count(*) AS curricula, count(*) FILTER (WHERE NOT bad) AS passed, count(*) FILTER (WHERE bad) AS failed FROM (SELECT DISTINCT curriculum_id, curriculum_id IN (SELECT curriculum_id FROM different) AS bad FROM course) AS x", METRICS, EXPECTED),
+    "compare_totals": sql(f"SELECT m.curriculum_id, CAST(round(sum({SCALED}) + 1, 1) AS DOUBLE) AS expected_total, CAST(round(sum({SCALED}), 1) AS DOUBLE) AS found_total FROM metrics AS m JOIN curriculum AS k ON k.curriculum_id = m.curriculum_id WHERE m.curriculum_id % 9 = 0 GROUP BY m.curriculum_id", METRICS),
     "curriculum_summary": sql(SUMMARY, METRICS),
     "metrics_ranked": sql("SELECT curriculum_id, row_number() OVER (PARTITION BY curriculum_id ORDER BY complexity DESC, course_id) AS place, course_key, complexity, blocking, delay, centrality FROM metrics", METRICS),
     "max_delay_courses": sql("SELECT d.curriculum_id, d.course_key, CAST(d.delay AS BIGINT) AS delay FROM delays AS d JOIN (SELECT curriculum_id, max(delay) AS delay FROM delays GROUP BY curriculum_id) AS l ON l.curriculum_id = d.curriculum_id AND l.delay = d.delay", DELAYS),

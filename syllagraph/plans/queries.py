@@ -138,6 +138,31 @@ def lookup_natural_key(f: Frames) -> DataFrame:
     return keys.first_by_natural_key(f.course)
 
 
+def wanted_keys(f: Frames, column: str) -> DataFrame:
+    """Every fifth course's key, and one that no course has for every tenth."""
+    some = f.course.filter("course_id % 5 = 0")
+    return some.select("curriculum_id", column).union(some.filter("course_id % 10 = 0").select("curriculum_id", F.concat(column, F.lit("?")))).distinct()
+
+
+@query
+def lookup_course(f: Frames) -> DataFrame:
+    found = keys.courses_by_key(f.course, wanted_keys(f, "course_key"))
+    return found.select("curriculum_id", "course_key", "contained", F.col("course.name").alias("name"))
+
+
+@query
+def lookup_course_by_natural_key(f: Frames) -> DataFrame:
+    found = keys.courses_by_natural_key(f.course, wanted_keys(f, "natural_key"))
+    return found.select("curriculum_id", "natural_key", "contained", "course_key", F.col("course.name").alias("name"))
+
+
+@query
+def lookup_degree(f: Frames) -> DataFrame:
+    ids = degree_dim(f).select("degree_id", "curriculum_id")
+    wanted = ids.filter("curriculum_id % 3 = 0").select("degree_id").union(ids.filter("curriculum_id % 9 = 0").select(F.concat("degree_id", F.lit("?"))))
+    return keys.degrees_by_id(f.curriculum, wanted)
+
+
 @query
 def neighbour_lists(f: Frames) -> DataFrame:
     return keys.neighbour_lists(f.course, f.key_edges)
@@ -254,6 +279,13 @@ def compare_summary(f: Frames) -> DataFrame:
     return report.compare_summary(expected_metrics(f), compare_metrics(f))
 
 
+@query
+def compare_totals(f: Frames) -> DataFrame:
+    found = scaled_totals(f).select("curriculum_id", F.col("scaled_total").alias("total"))
+    off = F.when(F.col("curriculum_id") % 9 == 0, 1.0).when(F.col("curriculum_id") % 7 == 0, 0.4).otherwise(0.0)
+    return report.compare_totals(found.withColumn("total", F.round(F.col("total") + off, 1)), found)
+
+
 # aggregates, windows, top-k
 
 
@@ -388,7 +420,7 @@ def term_schedule(f: Frames) -> DataFrame:
 
 @query
 def schedule_violations(f: Frames) -> DataFrame:
-    return schedule.schedule_violations(f.schedule, f.key_edges.filter("kind = 'prereq'"), f.groups, f.curriculum)
+    return schedule.schedule_violations(f.schedule, f.key_edges, f.groups, f.curriculum)
 
 
 # reports

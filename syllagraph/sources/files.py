@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllagraph.functions.fields import clean_field, field_at, split_fields
+from syllagraph.functions.fields import clean_field, split_fields
 
 #: Header keys are looked for in so many lines; one misspelling is accepted.
 HEADER_LINES = 10
+#: Columns of the course section.
+NAMES = ("course id", "course name", "prefix", "number", "prerequisites", "corequisites", "strict-corequisites", "credit hours", "canonical name")
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """curriculum_id (the file's stem), source_file, value: one row per file."""
+    """curriculum_id, source_file, value: one row per file. The id is the file's stem or, where files of several folders
+    share one, its whole path without scheme and ending. Only paths are shuffled to find these."""
     uri = F.col("_metadata.file_path")
     rows = spark.read.text(paths, wholetext=True).select(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))).alias("source_file"), "value")
-    return rows.select(F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("curriculum_id"), "source_file", "value")
+    stem = F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    shared = rows.select("source_file").groupBy(stem.alias("stem")).agg(F.count("*").alias("files")).filter("files > 1").select("stem")
+    whole = F.regexp_extract("source_file", r"^(?:\w+:)?/*(.+?)(?:\.[^./]*)?$", 1)
+    named = rows.withColumn("own", stem).join(shared, F.col("own") == F.col("stem"), "left")
+    return named.select(F.when(F.col("stem").isNull(), F.col("own")).otherwise(whole).alias("curriculum_id"), "source_file", "value")
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -61,10 +68,13 @@ def course_rows(texts: DataFrame) -> DataFrame:
     """
     at = section_start(F.col("lines")).cast("int")
     found = lines_of(texts).withColumn("at", at).filter((F.col("at") > 0) & (F.col("at") < F.size("lines")))
+    # the header's names are placed once a text, and a line is split once: in lambdas, no filter is pushed below them
     header = F.transform(split_fields(F.get("lines", F.col("at"))), F.lower)
-    rows = found.select("curriculum_id", "at", header.alias("header"), F.posexplode("lines").alias("line_no", "line")).filter((F.col("line_no") > F.col("at")) & (F.trim("line") != ""))
-    rows = rows.select("curriculum_id", F.col("line_no").cast("bigint").alias("line_no"), "header", split_fields(F.col("line")).alias("fields"))
-    get = lambda name: field_at(F.col("fields"), F.col("header"), name)
+    places = F.transform(F.array(header), lambda h: F.transform(F.lit(list(NAMES)), lambda n: F.array_position(h, n).cast("int")))[0]
+    below = F.filter(F.transform(F.col("lines"), lambda x, i: F.struct(i.cast("bigint").alias("line_no"), x.alias("line"))), lambda x: (x["line_no"] > F.col("at")) & (F.trim(x["line"]) != ""))
+    fields = F.transform(below, lambda x: F.struct(x["line_no"].alias("line_no"), F.transform(F.array(split_fields(x["line"])), lambda f: F.transform(F.col("places"), lambda p: F.when(p > 0, F.get(f, p - 1))))[0].alias("f")))
+    rows = found.withColumn("places", places).select("curriculum_id", F.explode(fields).alias("r")).select("curriculum_id", "r.line_no", "r.f")
+    get = lambda name: F.col("f")[NAMES.index(name)]
     text = lambda name: F.coalesce(get(name), F.lit(""))
     credit = F.when(get("credit hours").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), get("credit hours").try_cast("double"))
     return rows.select(
@@ -93,15 +103,16 @@ def read_expected_metrics(spark: SparkSession, paths: str | list[str]) -> DataFr
     texts = read_texts(spark, paths)
     rows = lines_of(texts).select("curriculum_id", F.posexplode("lines").alias("pos", "line"), section_start(F.col("lines")).alias("at")).filter("pos > at")
     fields = F.from_csv("line", ", ".join(f"f{i} string" for i in range(14)), {"quote": '"', "mode": "PERMISSIVE"})
-    rows = rows.select("curriculum_id", fields.alias("f")).select("curriculum_id", "f.*").filter("f13 IS NOT NULL")
+    enough = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ",")) >= 14  # the last field may be empty
+    rows = rows.filter(enough).select("curriculum_id", fields.alias("f")).select("curriculum_id", "f.*")
     number = lambda c: F.coalesce(F.trim(c).try_cast("double"), F.lit(0.0))
     return rows.select("curriculum_id", F.trim("f0").alias("course_id"), number("f10").alias("complexity"), number("f11").cast("bigint").alias("blocking"), number("f12").cast("bigint").alias("delay"), number("f13").cast("bigint").alias("centrality"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """(file_name, body): one text per file name, in folders named after it."""
-    documents.select("file_name", "body").write.partitionBy("file_name").text(path)
+    documents.select("file_name", "body").repartition("file_name").write.partitionBy("file_name").text(path)
 
 
 def write_course_metrics(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("curriculum_id").option("header", True).csv(path)
+    rows.repartition("curriculum_id").write.partitionBy("curriculum_id").option("header", True).csv(path)

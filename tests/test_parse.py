@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from syllagraph.functions import fields
-from syllagraph.operators import keys
+from syllagraph.operators import keys, report, summary
 from syllagraph.plans.batch import Batch
 from syllagraph.sources import files
 
@@ -93,6 +93,39 @@ def test_files_and_documents(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() > 10
 
 
+def test_files_of_one_stem_stay_apart(spark, tmp_path):
+    for folder, text in (("a", TEXTS["moved"]), ("b", TEXTS["good"]), ("c", TEXTS["good"])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / ("plan.csv" if folder < "c" else "other.csv")).write_text(text, encoding="utf-8")
+    b = Batch.of_files(spark, [str(tmp_path / f) for f in "abc"])
+    counts = {r["curriculum_id"]: r["count"] for r in b.plan.groupBy("curriculum_id").count().collect()}
+    base = str(tmp_path).lstrip("/")
+    assert counts == {f"{base}/a/plan": 1, f"{base}/b/plan": 4, "other": 4}
+    assert b.errors.count() == 0 and b.reports().select("file_name").distinct().count() == 3
+
+
+def test_expected_metrics_with_an_empty_last_field(spark, tmp_path):
+    row = '1,"One, two",CS,1,,,,3,,,5.0,2,3.0,'
+    (tmp_path / "m.csv").write_text("Courses\nheader\n" + row + "\n" + row + "7\nshort,row\n", encoding="utf-8")
+    got = [(r["complexity"], r["blocking"], r["delay"], r["centrality"]) for r in files.read_expected_metrics(spark, str(tmp_path / "m.csv")).collect()]
+    assert got == [(5.0, 2, 3, 0), (5.0, 2, 3, 7)]
+
+
+def test_comparison_of_missing_and_null_metrics(spark):
+    schema = "curriculum_id string, course_id string, complexity double, delay long, blocking long, centrality long"
+    expected = spark.createDataFrame([("a", "1", 1.0, 1, 0, 5), ("a", "2", 1.0, 1, 0, 5), ("a", "3", 1.0, 1, 0, 5)], schema)
+    found = spark.createDataFrame([("a", "1", 1.05, 1, 0, 5), ("a", "2", 1.0, 1, 0, None)], schema)
+    assert {(r["course_id"], r["field"]) for r in report.compare_metrics(expected, found).collect()} == {("2", "centrality"), ("3", "missing")}
+    totals = spark.createDataFrame([("a", 3.0), ("b", 4.0), ("c", 5.0)], "curriculum_id string, total double")
+    got = report.compare_totals(totals, spark.createDataFrame([("a", 3.5), ("b", 4.6)], "curriculum_id string, total double"))
+    assert {r["curriculum_id"] for r in got.collect()} == {"b", "c"}
+
+
+def test_defaults_of_a_curriculum_without_a_degree(spark):
+    rows = spark.createDataFrame([(1, "P", None, None, None, None, "S")], "curriculum_id long, name string, institution string, degree_type string, system_type string, cip_code string, school string")
+    assert summary.with_defaults(rows).collect()[0][:6] == (1, "P", "S", "BS", "semester", "")
+
+
 def test_no_texts(spark):
     b = Batch(spark.createDataFrame([], "curriculum_id string, value string"))
     assert b.plan.count() == 0 and b.errors.count() == 0 and b.reports().count() == 0
