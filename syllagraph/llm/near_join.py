@@ -301,8 +301,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
 
 def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their class, all their columns as they were (rows with the same id and text
-    stay or go together)."""
+    """The rows of docs that are the first of their class by doc_id and the hash of the text, all their columns as they were,
+    whatever their names. Rows with the same id and text stay or go together; a null id comes first; texts without words
+    are classes of their own and stay; an empty table stays empty."""
     gone = jaccard_classes(docs, n, threshold, recall, id_col, text_col).filter("NOT (doc_id <=> class_id AND h <=> class_h)").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_h")), "left_anti")

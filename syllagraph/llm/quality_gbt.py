@@ -180,11 +180,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of 0.5 or more, all their columns as they were. Fits on the labelled documents that
-    the classifier's folds allow, then scores each row where it is read: nothing is joined back."""
+    the classifier's folds allow, then scores each row where it is read: nothing is joined back. A null text is scored as an
+    empty one and stays null; repeated rows and those with a null id stay or go by their text. Without labels, or with
+    labels of one class only, there is nothing to tell apart and all rows stay; an empty table stays empty."""
     own = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().filter(~held_out())
     some = common.sample_of(own, train_rows, "doc_id")
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id", "left_semi")
     forest = train(document_features(known), labels, train_rows)
+    if not len(forest.leaf):
+        return docs
 
     @F.pandas_udf("double")
     def score(values):

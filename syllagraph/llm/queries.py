@@ -19,42 +19,52 @@ from .token_count import count_tokens
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
     return scan_secrets(documents(spark, sf_dir))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
     return near_join.jaccard_join(documents(spark, sf_dir), n=5, threshold=0.8)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and learned verdict of every document."""
     return apply_quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
     return dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
     return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece identifiers of every document and their text."""
     return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License citations and wording in every document."""
     return scan_licenses(documents(spark, sf_dir))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
     return find_personal_data(documents(spark, sf_dir))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 

@@ -246,3 +246,22 @@ def test_pipeline_stages(spark, docs, labels, sf_dir):
             assert now.filter(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+")).count() == 0
     assert sizes == sorted(sizes, reverse=True)
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_pipeline_of_odd_rows(spark, docs, labels, tmp_path):
+    """Null ids and texts, repeated rows, no labels, and empty tables."""
+    few = docs.orderBy("doc_id").limit(12)
+    odd = few.union(few.limit(3)).union(few.limit(1).withColumn("text", F.lit(None).cast("string"))).union(few.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, rows, marks in (("odd", odd, labels.limit(0)), ("none", docs.limit(0), labels.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        marks.write.parquet(str(tmp_path / name / "labels.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(found) == (name == "odd")
+        if name == "odd":
+            texts = {r["text"] or "" for r in odd.collect()}
+            assert len({(r["doc_id"], r["ids_crc32"]) for r in found if r["start"] == 0}) <= len(texts)
+
+
+def test_one_class_of_labels_keeps_all(spark, docs, labels):
+    for marks in (labels.filter("quality = 0"), labels.filter("quality = 1"), labels.limit(0)):
+        assert quality_gbt.keep_good(docs, marks).count() == docs.count()
