@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as dedup
-from . import near_join
+from . import filter_audit, near_join
 from .common import documents
 from .license_scan import scan_licenses
 from .packing import pack_documents
@@ -68,6 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by source."""
+    return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,9 +84,11 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 SQL: dict[str, str] = {
     "op2_jaccard_join": near_join.SQL,
     "op4_exact_dedup": dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
