@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import permutations
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,8 @@ def survivors(masks: DataFrame) -> DataFrame:
 
 
 def step_table(spark) -> DataFrame:
-    """filter_order, step, before, bit and weights of all orders: fixed by the number of filters. before: the subset applied
-    earlier; weights: by subset without the filter, in how many orders exactly that subset stands before it."""
+    """row, filter_order, step, before, bit and weights of all orders: fixed by the number of filters. before: the subset
+    applied earlier; weights: by subset without the filter, in how many orders exactly that subset stands before it."""
     size, orders = len(FILTERS), list(permutations(range(len(FILTERS))))
     weights = [[0] * SUBSETS for _ in range(size)]
     rows = []
@@ -127,9 +128,9 @@ def step_table(spark) -> DataFrame:
         before = 0
         for step, f in enumerate(order, 1):
             weights[f][before] += 1
-            rows.append(("".join(FILTERS[g] for g in order), step, before, 1 << f, weights[f]))
+            rows.append((len(rows), "".join(FILTERS[g] for g in order), step, before, 1 << f, weights[f]))
             before |= 1 << f
-    return spark.createDataFrame(rows, "filter_order string, step int, before int, bit int, weights array<int>")
+    return spark.createDataFrame(rows, "row int, filter_order string, step int, before int, bit int, weights array<int>")
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -144,8 +145,9 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows = features(docs, id_col, text_col, part_col).join(marked, "doc_id", "left").fillna(0, ["good", "toxic"])
     alive = survivors(weighted_masks(rows))
     parts = alive.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("subset", "n", "good", "toxic"))).alias("alive"))
-    # the 600 steps are the same whatever the tables hold
-    rows = parts.join(F.broadcast(step_table(docs.sparkSession)), F.lit(True))
+    # as many steps as the orders of five filters have, whatever the tables hold
+    steps = F.explode(F.sequence(F.lit(0), F.lit(factorial(len(FILTERS)) * len(FILTERS) - 1)))
+    rows = parts.select("part", "alive", steps.alias("row")).join(F.broadcast(step_table(docs.sparkSession)), "row")
     at = lambda i, c="n": F.get(F.col("alive"), i)[c]
     every, before, bit = F.lit(SUBSETS - 1), F.col("before"), F.col("bit")
     lost = lambda s, c="n": at(s, c) - at(s.bitwiseOR(bit), c)
