@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup as dedup
 from . import filter_audit, near_join
 from .common import documents
+from .language_ppm import identify_languages
 from .license_scan import scan_licenses
 from .packing import pack_documents
 from .piece_fst import encode_pieces
@@ -15,6 +16,7 @@ from .pii import find_personal_data
 from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
+from .token_alignment import align_tokenizers
 from .token_count import count_tokens
 
 
@@ -68,11 +70,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes in every order, by source."""
     return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, and how common its links are."""
+    return align_tokenizers(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -84,7 +96,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
+    "op11_language_id": op11_language_id,
     "op12_filter_audit": op12_filter_audit,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {
