@@ -1,15 +1,22 @@
-"""Level loops over many small graphs at once, keyed by curriculum. Each level is one join and one aggregation, saved in
-the shared folder, so the lineage stays short and a lost executor costs one level."""
+"""Loops over many small graphs at once, keyed by curriculum.
+
+Edges are written once in buckets by the vertex they leave; the rows of a round are written in buckets by vertex too, so a
+round shuffles its own rows alone. Tables lie in the shared folder: the lineage stays short and a lost executor costs one
+round.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from syllagraph.storage import saved
+from syllagraph.storage import bucketed, dealt, saved
+
+from .ranks import ranked
 
-#: Levels after which curricula with cycles are looked for and left out, should any rows still be on their way.
-PATIENCE = 24
+#: Bits of a word of a reach set.
+WORD = 64
+AT = ("curriculum_id", "dir", "vertex")
 
 
 def cyclic_curricula(edges: DataFrame) -> DataFrame:
@@ -19,81 +26,185 @@ def cyclic_curricula(edges: DataFrame) -> DataFrame:
     n = left.count()
     while n:
         entered = left.select("curriculum_id", F.col("dst").alias("src")).distinct()
-        left = saved(left.join(entered, ["curriculum_id", "src"], "left_semi"), "peel")
-        m = left.count()
-        if m == n:
+        seen = Observation()
+        left = saved(left.join(entered, ["curriculum_id", "src"], "left_semi").observe(seen, F.count("*").alias("n")), "peel")
+        if seen.get["n"] == n:
             break
-        n = m
+        n = seen.get["n"]
     return left.select("curriculum_id").distinct()
 
 
-def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """All levels of a walk: start rows (curriculum_id, dir, vertex, n) at level k, then n summed over the edges
-    (curriculum_id, dir, a, b) out of each vertex, per dir. Rows of graphs with cycles end and are left out.
+def numbered(vertices: DataFrame) -> DataFrame:
+    """curriculum_id, vertex, word, bit: each vertex's place in the reach sets of its curriculum."""
+    places = ranked(vertices.select("curriculum_id", "vertex"), "curriculum_id", [F.col("vertex")], "place")
+    return places.select("curriculum_id", "vertex", F.expr(f"(place - 1) DIV {WORD}").alias("word"), F.expr(f"shiftleft(1L, CAST((place - 1) % {WORD} AS INT))").alias("bit"))
 
-    n is null once it outgrows 64 bits. The number of rows of a level is at most one per vertex and dir.
-    """
-    level, levels, k = saved(start.select("curriculum_id", "dir", "vertex", "n", "k"), "walk"), [], 0
-    ways = edges
-    while not level.isEmpty():
-        levels.append(level)
-        k += 1
-        if k == PATIENCE:
-            bad = saved(cyclic_curricula(edges.filter("dir = 'f'").select("curriculum_id", F.col("a").alias("src"), F.col("b").alias("dst"))), "cyclic")
-            if not bad.isEmpty():
-                ways = saved(edges.join(bad, "curriculum_id", "left_anti"), "walk-ways")
-                levels = [x.join(bad, "curriculum_id", "left_anti") for x in levels]
-        step = level.select("curriculum_id", "dir", F.col("vertex").alias("a"), "n", "k").join(ways, ["curriculum_id", "dir", "a"])
-        level = saved(step.groupBy("curriculum_id", "dir", F.col("b").alias("vertex"), F.col("k") + 1).agg(F.when(F.count("*") == F.count("n"), F.try_sum("n")).alias("n")).select("curriculum_id", "dir", "vertex", "n", F.col("(k + 1)").alias("k")), "walk")
-    out = levels[0] if levels else level
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
 
-
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(curriculum_id, dir, a, b): each distinct edge forward (f) and backward (b)."""
+def both_ways(edges: DataFrame, dirs: str) -> DataFrame:
+    """curriculum_id, dir, a, b: each distinct edge, forward (f) and backward (b)."""
     pairs = edges.select("curriculum_id", "src", "dst").distinct()
-    forward = pairs.select("curriculum_id", F.lit("f").alias("dir"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    return saved(forward.union(forward.select("curriculum_id", F.lit("b").alias("dir"), F.col("b").alias("a"), F.col("a").alias("b"))), "ways")
-
-
-def graph_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels of path counts: from vertices nothing leads to forward, from vertices leading nowhere backward.
-    vertices: (curriculum_id, vertex)."""
-    ways = both_ways(edges)
-    ends = vertices.select("curriculum_id", "vertex", F.explode(F.array(F.lit("f"), F.lit("b"))).alias("dir"))
+    ends = {"f": ("src", "dst"), "b": ("dst", "src")}
+    ways = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.col(ends[d][0]).alias("a"), F.col(ends[d][1]).alias("b")) for d in dirs]))
+    return pairs.select("curriculum_id", ways.alias("w")).select("curriculum_id", "w.*")
+
+
+def edge_table(ways: DataFrame, numbers: DataFrame | None, reach: str) -> DataFrame:
+    """ways with what their later vertex needs: how many edges lead to it, and its place in the reach sets; in buckets by the
+    vertex they leave."""
+    needs = ways.groupBy("curriculum_id", "dir", "b").agg(F.count("*").alias("need"))
+    rows = ways.join(needs, ["curriculum_id", "dir", "b"])
+    if numbers is not None:
+        rows = rows.join(numbers.select("curriculum_id", F.col("vertex").alias("b"), "word", "bit"), ["curriculum_id", "b"])
+    kept = lambda c: (F.when(F.col("dir") == reach, F.col(c)).otherwise(0) if numbers is not None else F.lit(0)).cast("long")
+    rows = rows.select("curriculum_id", "dir", F.col("a").alias("vertex"), F.col("b").alias("to"), F.col("need").alias("to_need"), kept("word").alias("to_word"), kept("bit").alias("to_bit"))
+    return bucketed(dealt(rows, *AT), "ways", *AT)
+
+
+def messages(done: DataFrame, ways: DataFrame) -> DataFrame:
+    """What each vertex that is done sends along its edges: its counts once, and the words of its reach set. The counts lie on
+    the row of the vertex's own word; a receiver whose own word isn't among those sent gets a row for it."""
+    rows = done.join(ways, list(AT))
+    main = F.col("word") == F.col("own_word")
+    counted = lambda c: F.when(main, c).otherwise(F.lit(0)).cast("long")
+    sent = F.struct(
+        "word", F.when(F.col("word") == F.col("to_word"), F.col("bits").bitwiseOR(F.col("to_bit"))).otherwise(F.col("bits")).alias("bits"),
+        counted(F.col("p")).alias("p"), counted(F.try_add("lp", "p")).alias("lp"), counted(F.lit(1)).alias("got"),
+        F.when(main, F.struct((-1 - F.col("k")).alias("less"), F.col("vertex").alias("via"))).alias("far"),
+    )
+    zero, far = F.lit(0).cast("long"), F.lit(None).cast(f"struct<less: long, via: {done.schema['vertex'].dataType.simpleString()}>")
+    own = F.struct(F.col("to_word").alias("word"), F.col("to_bit").alias("bits"), zero.alias("p"), zero.alias("lp"), zero.alias("got"), far.alias("far"))
+    both = F.explode(F.when(main & (F.col("word") != F.col("to_word")), F.array(sent, own)).otherwise(F.array(sent)))
+    return rows.select("curriculum_id", "dir", F.col("to").alias("vertex"), F.col("to_need").alias("need"), F.col("to_word").alias("own_word"), both.alias("m")).select(*AT, "need", "own_word", "m.*")
+
+
+def whole_sum(column: str, over: WindowSpec | None = None) -> Column:
+    """Sum in 64 bits; null if any part is null or it outgrows them."""
+    n, own, total = F.count("*"), F.count(column), F.try_sum(column)
+    return F.when(n == own, total) if over is None else F.when(n.over(over) == own.over(over), total.over(over))
+
+
+def sweep(vertices: DataFrame, edges: DataFrame, dirs: str = "fb", reach: str = "") -> tuple[DataFrame, DataFrame | None]:
+    """Every vertex of graphs without cycles once it is reached by all edges that lead to it: curriculum_id, dir, vertex,
+    own_word, word, bits, p, lp, k, via; and the numbering of the vertices in reach sets.
+
+    dir f goes along the edges, b against them. p: paths that end at the vertex, lp: their lengths in vertices together, null
+    where they outgrow 64 bits; k: the longest in edges, via: the vertex before it on one of these, the smallest of several. In the direction `reach` there is a row per word of the set of vertices
+    before it (itself included), elsewhere one row. Each edge is used once; there are as many rounds as the longest path has
+    vertices. Graphs with cycles, whose vertices wait for each other, are left out.
+    """
+    numbers = saved(numbered(vertices), "numbers") if reach else None
+    ways = both_ways(edges, dirs)
+    table = edge_table(ways, numbers, reach)
+    ends = vertices.select("curriculum_id", "vertex", F.explode(F.array(*map(F.lit, dirs))).alias("dir"))
+    if numbers is not None:
+        ends = ends.join(numbers, ["curriculum_id", "vertex"])
+    own = lambda c: (F.when(F.col("dir") == reach, F.col(c)).otherwise(0) if numbers is not None else F.lit(0)).cast("long")
     entered = ways.select("curriculum_id", "dir", F.col("b").alias("vertex")).distinct()
-    start = ends.join(entered, ["curriculum_id", "dir", "vertex"], "left_anti").select("curriculum_id", "dir", "vertex", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"))
-    return walk(ways, start)
+    one = F.lit(1).cast("long")
+    start = ends.join(entered, list(AT), "left_anti").select(*AT, one.alias("need"), own("word").alias("own_word"), own("word").alias("word"), own("bit").alias("bits"), one.alias("p"), one.alias("lp"), one.alias("got"), F.lit(None).cast(f"struct<less: long, via: {vertices.schema['vertex'].dataType.simpleString()}>").alias("far"))
+    rounds, finished, rows = [], 0, dealt(start, *AT)
+    together = Window.partitionBy(*AT)
+    while True:
+        seen = Observation()
+        complete = F.col("got") == F.col("need")
+        main = complete & (F.col("word") == F.col("own_word"))
+        held = bucketed(rows.observe(seen, F.count_if(main).alias("done"), F.count_if(~complete).alias("waiting")), "sweep", *AT)
+        if not seen.get["done"]:
+            break
+        finished += seen.get["done"]
+        done = held.filter(complete).withColumn("k", F.coalesce(-F.col("far.less"), F.lit(0)))
+        rounds.append(done)
+        sent = messages(done, table)
+        if seen.get["waiting"]:
+            sent = sent.unionByName(held.filter(~complete))
+        added = sent.groupBy(*AT, "word").agg(F.first("need").alias("need"), F.first("own_word").alias("own_word"), F.bit_or("bits").alias("bits"), whole_sum("p").alias("p"), whole_sum("lp").alias("lp"), F.sum("got").alias("got"), F.min("far").alias("far"))
+        # counts lie on any row of a vertex while they are gathered, and on all once it is done
+        total = {"p": whole_sum("p", together), "lp": whole_sum("lp", together), "got": F.sum("got").over(together), "far": F.min("far").over(together)}
+        summed = added.select("*", *[t.alias(f"all_{c}") for c, t in total.items()])
+        rows = summed.select(*AT, "need", "own_word", "word", "bits", *[F.when(F.col("all_got") == F.col("need"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in total])
+    out = rounds[0] if rounds else held.limit(0).withColumn("k", F.lit(0).cast("long"))
+    for x in rounds[1:]:
+        out = out.union(x)
+    if finished < len(dirs) * vertices.count():
+        lost = ends.join(out, list(AT), "left_anti").select("curriculum_id").distinct()
+        out = out.join(saved(lost, "cyclic"), "curriculum_id", "left_anti")
+    return out.select(*AT, "own_word", "word", "bits", "p", "lp", "k", F.col("far.via").alias("via")), numbers
+
+
+def longest_paths(swept: DataFrame) -> DataFrame:
+    """curriculum_id, place (from 0), vertex of a longest path of each graph, out of a sweep along the edges: its last vertex is
+    the smallest of those that the longest ways end at. Ways back are walked by doubling: each round every vertex on the path
+    jumps twice as far, so a path of n vertices takes log n rounds."""
+    on = ("curriculum_id", "vertex")
+    rows = swept.filter("dir = 'f' AND word = own_word").select(*on, "k", "via")
+    ends = rows.groupBy("curriculum_id").agg(F.min(F.struct((-F.col("k")).alias("less"), "vertex")).alias("last")).select("curriculum_id", "last.vertex")
+    jumps = bucketed(dealt(rows.filter("via IS NOT NULL").select(*on, F.col("via").alias("to")), *on), "jumps", *on)
+    path = bucketed(dealt(ends, *on), "path", *on)
+    while True:
+        seen = Observation()
+        ahead = path.join(jumps, list(on)).select("curriculum_id", F.col("to").alias("vertex"))
+        path = bucketed(dealt(path.union(ahead), *on).observe(seen, F.count("*").alias("n")), "path", *on)
+        twice = jumps.join(jumps.select("curriculum_id", F.col("vertex").alias("to"), F.col("to").alias("far")), ["curriculum_id", "to"])
+        left = Observation()
+        jumps = bucketed(dealt(twice.select(*on, F.col("far").alias("to")), *on).observe(left, F.count("*").alias("n")), "jumps", *on)
+        if not left.get["n"]:
+            return path.join(rows, list(on)).select("curriculum_id", F.col("k").alias("place"), "vertex")
+
+
+def reach_sets(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """curriculum_id, vertex, word, bits of the vertices that each vertex leads to, and the numbering; with cycles too. Words
+    without a vertex are left out."""
+    swept, numbers = sweep(vertices, edges, "b", "b")
+    own = numbers.select("curriculum_id", "vertex", F.col("word").alias("own"), "bit")
+    bits = F.when(F.col("word") == F.col("own"), F.col("bits").bitwiseAND(F.bitwise_not("bit"))).otherwise(F.col("bits"))
+    found = swept.select("curriculum_id", "vertex", "word", "bits").join(own, ["curriculum_id", "vertex"]).select("curriculum_id", "vertex", "word", bits.alias("bits")).filter("bits <> 0")
+    rest = vertices.select("curriculum_id").distinct().join(swept.select("curriculum_id").distinct(), "curriculum_id", "left_anti")
+    rest = saved(edges.select("curriculum_id", "src", "dst").distinct().join(rest, "curriculum_id", "left_semi"), "rest")
+    return (found if rest.isEmpty() else found.union(cyclic_reach(rest, numbers))), numbers
+
+
+def cyclic_reach(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The same for graphs with cycles: words grow along the edges until no vertex gains a bit; each round passes on what the
+    last one gained."""
+    back = bucketed(dealt(edges.select("curriculum_id", F.col("dst").alias("vertex"), "src"), "curriculum_id", "vertex"), "back", "curriculum_id", "vertex")
+    spot = ["curriculum_id", "vertex", "word"]
+    first = edges.join(numbers.select("curriculum_id", F.col("vertex").alias("dst"), "word", "bit"), ["curriculum_id", "dst"]).groupBy("curriculum_id", F.col("src").alias("vertex"), "word").agg(F.bit_or("bit").alias("bits"))
+    seen = gained = saved(first, "reach")
+    while not gained.isEmpty():
+        offered = gained.join(back, ["curriculum_id", "vertex"]).groupBy("curriculum_id", F.col("src").alias("vertex"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = F.coalesce("had", F.lit(0).cast("long"))
+        new = saved(offered.join(seen.select(*spot, F.col("bits").alias("had")), spot, "left").select(*spot, F.col("bits").bitwiseAND(F.bitwise_not(old)).alias("bits")).filter("bits <> 0"), "gained")
+        seen, gained = saved(seen.union(new).groupBy(*spot).agg(F.bit_or("bits").alias("bits")), "reach"), new
+    return seen
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(curriculum_id, src, dst): every pair with a path, in graphs with cycles too. Each round joins the newest pairs with
-    all pairs so far and keeps what is new, so the distance covered doubles: a graph of depth d takes log d rounds."""
-    base = saved(edges.select("curriculum_id", "src", "dst").distinct(), "closure")
-    seen, newest = base, base
-    while not newest.isEmpty():
-        ahead = newest.withColumnRenamed("dst", "mid").join(seen.select("curriculum_id", F.col("src").alias("mid"), F.col("dst").alias("end")), ["curriculum_id", "mid"])
-        ahead = ahead.select("curriculum_id", "src", F.col("end").alias("dst")).distinct()
-        newest = saved(ahead.join(seen, ["curriculum_id", "src", "dst"], "left_anti"), "closure")
-        seen = saved(seen.union(newest), "closure")
-    return seen
+    """curriculum_id, src, dst: every pair with a path, in graphs with cycles too. Pairs are listed out of the reach sets at
+    the end; no loop carries them."""
+    pairs = edges.select("curriculum_id", "src", "dst")
+    ends = saved(pairs.select("curriculum_id", F.col("src").alias("vertex")).union(pairs.select("curriculum_id", F.col("dst").alias("vertex"))).distinct(), "ends")
+    words, numbers = reach_sets(ends, edges)
+    set_ = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)"))
+    rows = words.select("curriculum_id", F.col("vertex").alias("src"), "word", set_.alias("i")).withColumn("bit", F.expr("shiftleft(1L, i)"))
+    return rows.join(numbers.select("curriculum_id", "word", "bit", F.col("vertex").alias("dst")), ["curriculum_id", "word", "bit"]).select("curriculum_id", "src", "dst")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(curriculum_id, vertex, root): the smallest vertex that undirected edges join it to. Labels spread one edge and
-    jump to their label's label each round."""
+    """curriculum_id, vertex, root: the smallest vertex that undirected edges join it to. Labels spread one edge and
+    jump to their label's label each round; pairs and labels lie in buckets, so only what spreads is shuffled."""
     pairs = edges.select("curriculum_id", F.col("src").alias("vertex"), F.col("dst").alias("other"))
-    pairs = saved(pairs.union(pairs.select("curriculum_id", F.col("other").alias("vertex"), F.col("vertex").alias("other"))).distinct(), "pairs")
-    touched = pairs.select("curriculum_id", "vertex").distinct()
-    now = saved(touched.withColumn("root", F.col("vertex")), "labels")
+    pairs = pairs.union(pairs.select("curriculum_id", F.col("other").alias("vertex"), F.col("vertex").alias("other"))).distinct()
+    on = ("curriculum_id", "vertex")
+    pairs = bucketed(dealt(pairs, *on), "pairs", *on)
+    now = bucketed(dealt(pairs.groupBy(*on).agg(F.least(F.col("vertex"), F.min("other")).alias("root")), *on), "labels", *on)
     while True:
-        near = pairs.join(now.select("curriculum_id", F.col("vertex").alias("other"), F.col("root").alias("near")), ["curriculum_id", "other"]).groupBy("curriculum_id", "vertex").agg(F.min("near").alias("near"))
-        spread = now.join(near, ["curriculum_id", "vertex"]).select("curriculum_id", "vertex", F.least("root", "near").alias("next"), "root")
+        near = now.join(pairs, list(on)).groupBy("curriculum_id", F.col("other").alias("vertex")).agg(F.min("root").alias("near"))
+        spread = now.join(near, list(on)).select("curriculum_id", "vertex", F.least("root", "near").alias("next"), "root")
         jump = now.select("curriculum_id", F.col("vertex").alias("next"), F.col("root").alias("far"))
-        new = saved(spread.join(jump, ["curriculum_id", "next"]).select("curriculum_id", "vertex", F.least("next", "far").alias("root"), F.col("root").alias("old")), "labels")
+        seen = Observation()
+        new = spread.join(jump, ["curriculum_id", "next"]).select("curriculum_id", "vertex", F.least("next", "far").alias("root"), F.col("root").alias("old"))
+        new = bucketed(dealt(new, *on).observe(seen, F.count_if(F.col("root") != F.col("old")).alias("changed")), "labels", *on)
         now = new.select("curriculum_id", "vertex", "root")
-        if new.filter("root <> old").isEmpty():
+        if not seen.get["changed"]:
             break
-    return vertices.select("curriculum_id", "vertex").join(now, ["curriculum_id", "vertex"], "left").select("curriculum_id", "vertex", F.coalesce("root", "vertex").alias("root"))
+    return vertices.select(*on).join(now, list(on), "left").select(*on, F.coalesce("root", "vertex").alias("root"))

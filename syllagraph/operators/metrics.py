@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .loops import closure, cyclic_curricula, graph_levels
+from .loops import cyclic_curricula, sweep
 
 
 def requisite_edges(edges: DataFrame) -> DataFrame:
@@ -13,40 +13,31 @@ def requisite_edges(edges: DataFrame) -> DataFrame:
     return edges.select("curriculum_id", "src", "dst").distinct()
 
 
-def path_sums(levels: DataFrame) -> DataFrame:
-    """Per vertex: longest path to and from it in edges, number of paths and their lengths in vertices either way."""
-    at = lambda d, c: F.when(F.col("dir") == d, c)
-    n, k = F.col("n"), F.col("k")
-    lost = F.max(F.when(n.isNull(), 1).otherwise(0))
-    total = lambda d, c: F.when(lost == 0, F.try_sum(at(d, c)))
-    return levels.groupBy("curriculum_id", "vertex").agg(
-        F.max(at("f", k)).alias("longest_to"), F.max(at("b", k)).alias("longest_from"),
-        total("f", n).alias("p"), total("f", F.try_multiply(n, k + 1)).alias("lp"),
-        total("b", n).alias("s"), total("b", F.try_multiply(n, k + 1)).alias("ls"),
-    )
+def path_facts(swept: DataFrame) -> DataFrame:
+    """Per vertex of a sweep: longest path to and from it in edges, number of paths and their lengths in vertices either way, and
+    the vertices it leads to where the sweep kept their sets."""
+    own = F.col("word") == F.col("own_word")
+    at = lambda d, c: F.max(F.when(own & (F.col("dir") == d), F.col(c)))
+    reached = F.sum(F.when(F.col("dir") == "b", F.bit_count("bits")).otherwise(0))
+    return swept.groupBy("curriculum_id", "vertex").agg(at("f", "k").alias("longest_to"), at("b", "k").alias("longest_from"), at("f", "p").alias("p"), at("f", "lp").alias("lp"), at("b", "p").alias("s"), at("b", "lp").alias("ls"), (reached - 1).cast("bigint").alias("blocking"))
 
 
-def sums_to_metrics(sums: DataFrame) -> DataFrame:
+def facts_to_metrics(facts: DataFrame) -> DataFrame:
     """delay and centrality: lp*s + ls*p - p*s at vertices inside paths, 0 at their ends; null beyond 64 bits."""
     inner = (F.col("longest_to") > 0) & (F.col("longest_from") > 0)
     value = F.try_subtract(F.try_add(F.try_multiply("lp", F.col("s")), F.try_multiply("ls", F.col("p"))), F.try_multiply("p", F.col("s")))
-    return sums.select("curriculum_id", "vertex", "longest_to", "longest_from", (F.col("longest_to") + F.col("longest_from") + 1).alias("delay"), F.when(inner, value).otherwise(F.lit(0)).cast("bigint").alias("centrality"))
-
-
-def reach_counts(pairs: DataFrame) -> DataFrame:
-    """blocking per vertex: other vertices reachable from it. pairs: (curriculum_id, src, dst) of the closure."""
-    return pairs.filter("src <> dst").groupBy("curriculum_id", F.col("src").alias("vertex")).agg(F.count("*").alias("blocking"))
+    return facts.select("curriculum_id", "vertex", "longest_to", "longest_from", (F.col("longest_to") + F.col("longest_from") + 1).alias("delay"), F.when(inner, value).otherwise(F.lit(0)).cast("bigint").alias("centrality"), "blocking")
 
 
 def course_metrics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """curriculum_id, vertex, delay, blocking, complexity, centrality, longest_to of every vertex of graphs without cycles."""
-    found = delay_and_centrality(vertices, edges).filter("delay IS NOT NULL")
-    rows = found.join(reach_counts(closure(edges)), ["curriculum_id", "vertex"], "left").withColumn("blocking", F.coalesce("blocking", F.lit(0)).cast("bigint"))
+    """curriculum_id, vertex, delay, blocking, complexity, centrality, longest_to of every vertex of graphs without cycles, out
+    of one sweep; blocking counts the bits of the set of vertices that it leads to."""
+    rows = facts_to_metrics(path_facts(sweep(vertices, edges, "fb", "b")[0]))
     return rows.select("curriculum_id", "vertex", "delay", "blocking", (F.col("delay") + F.col("blocking")).alias("complexity"), "centrality", "longest_to")
 
 
 def delay_and_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return sums_to_metrics(path_sums(graph_levels(vertices, edges)))
+    return facts_to_metrics(path_facts(sweep(vertices, edges)[0])).drop("blocking")
 
 
 def graph_errors(edges: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Term schedules: priorities and groups as tables, then one small grouped helper per curriculum that places groups."""
+"""Term schedules: priorities, groups and what groups need as tables, then a small helper that places a curriculum's groups."""
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .loops import components
@@ -82,41 +82,29 @@ class Terms:
         return min(fits)[1]
 
 
-def group_order(groups: dict[str, list[str]], priority: dict[str, int], before: dict[str, set[str]]) -> list[str]:
-    """Groups so that each follows those it requires; of the free ones, the highest priority and then smallest key first.
-    Where groups require each other in a circle, all go by that rank alone."""
-    group_of = {c: g for g, members in groups.items() for c in members}
-    rank = {g: (-max(priority[c] for c in members), g) for g, members in groups.items()}
-    needs: dict[str, set[str]] = {}
-    for g, members in groups.items():
-        seen: set[str] = set()
-        stack = list(members)
-        while stack:
-            for p in before.get(stack.pop(), ()):
-                if p not in seen:
-                    seen.add(p)
-                    stack.append(p)
-        needs[g] = {group_of[p] for p in seen if p in group_of} - {g}
-    wanted_by: dict[str, list[str]] = {}
-    for g, need in needs.items():
-        for p in need:
-            wanted_by.setdefault(p, []).append(g)
-    open_needs = {g: len(need) for g, need in needs.items()}
-    free = [rank[g] for g, n in open_needs.items() if n == 0]
+def group_order(rank: dict[str, tuple], needs: dict[str, list[str]]) -> list[str]:
+    """Groups so that each follows those it requires; of the free ones, the lowest rank first. Where groups require each other in
+    a circle, all go by rank alone."""
+    followers: dict[str, list[str]] = {}
+    for g, own in needs.items():
+        for p in own:
+            followers.setdefault(p, []).append(g)
+    missing = {g: len(own) for g, own in needs.items()}
+    free = [rank[g] for g, n in missing.items() if n == 0]
     heapq.heapify(free)
     order = []
     while free:
         g = heapq.heappop(free)[1]
         order.append(g)
-        for follower in wanted_by.get(g, ()):
-            open_needs[follower] -= 1
-            if open_needs[follower] == 0:
-                heapq.heappush(free, rank[follower])
-    return order if len(order) == len(groups) else sorted(groups, key=rank.__getitem__)
+        for f in followers.get(g, ()):
+            missing[f] -= 1
+            if missing[f] == 0:
+                heapq.heappush(free, rank[f])
+    return order if len(order) == len(rank) else sorted(rank, key=rank.__getitem__)
 
 
-def even_out(terms: Terms, credits: dict[str, float], movable: set[str], after: dict[str, set[str]], passes: int = 3) -> None:
-    """Moves light courses that nothing later waits for from terms well above the target to terms well below it."""
+def even_out(terms: Terms, movable: dict[str, float], passes: int = 3) -> None:
+    """Moves courses without requisites from terms well above the target to terms well below it."""
     target = terms.target
     for _ in range(passes):
         over = [t for t, load in enumerate(terms.load) if load > target + 3]
@@ -124,58 +112,65 @@ def even_out(terms: Terms, credits: dict[str, float], movable: set[str], after:
         for t in over:
             if not under:
                 break
-            term_of = {c: u for u, own in enumerate(terms.courses) for c in own}
-            for c in [c for c in terms.courses[t] if c in movable and all(term_of.get(d, -1) <= t for d in after.get(c, ()))]:
-                to = next((u for u in under if u != t and terms.load[u] + credits[c] <= target + 1 and terms.load[t] - credits[c] >= target - 3), None)
+            for c in [c for c in terms.courses[t] if c in movable]:
+                to = next((u for u in under if u != t and terms.load[u] + movable[c] <= target + 1 and terms.load[t] - movable[c] >= target - 3), None)
                 if to is not None:
                     terms.courses[t].remove(c)
-                    terms.load[t] -= credits[c]
-                    terms.put(to, [c], credits[c])
-
-
-def place_curriculum(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Schedule of one curriculum's rows (course_key, credits, delay, priority, group_key, is_filler, quarter, target,
-    prereqs)."""
-    rows = pdf.to_dict("records")
-    quarter, target = bool(rows[0]["quarter"]), float(rows[0]["target"])
-    credits = {r["course_key"]: float(r["credits"]) for r in rows}
-    before = {r["course_key"]: set(r["prereqs"]) & credits.keys() for r in rows}
-    after: dict[str, set[str]] = {}
-    for c, own in before.items():
-        for p in own:
-            after.setdefault(p, set()).add(c)
-    groups: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r["course_key"]):
-        groups.setdefault(r["group_key"], []).append(r["course_key"])
-    fillers = sorted({r["group_key"] for r in rows if r["is_filler"]})
-    chained = {g: m for g, m in groups.items() if g not in set(fillers)}
+                    terms.load[t] -= movable[c]
+                    terms.put(to, [c], movable[c])
+
+
+def place_groups(groups: list[dict], quarter: bool, target: float) -> list[tuple[int, int, str, float]]:
+    """(term, pos, course_key, credits) of one curriculum. groups: group_key, priority, members [(course_key, credits)] in
+    order, filler (no member has a prerequisite or dependent), light (its course has no requisite at all), needs (the groups
+    that its members' prerequisites are in)."""
+    credits = {c["course_key"]: c["credits"] for g in groups for c in g["members"]}
+    members = {g["group_key"]: [c["course_key"] for c in g["members"]] for g in groups}
+    total = {g: sum(credits[c] for c in own) for g, own in members.items()}
+    chained = {g["group_key"]: g for g in groups if not g["filler"]}
     terms, term_of = Terms(target, target + SLACK[quarter]), {}
     terms.grow(TERMS[quarter])
-    for g in group_order(chained, {r["course_key"]: int(r["priority"]) for r in rows}, before):
-        total = sum(credits[c] for c in groups[g])
-        start = max((term_of[p] + 1 for c in groups[g] for p in before[c] if p in term_of), default=0)
-        at = terms.earliest_fit(start, total)
-        terms.put(at, groups[g], total)
-        term_of.update(dict.fromkeys(groups[g], at))
-    for g in fillers:
-        total = sum(credits[c] for c in groups[g])
-        terms.put(terms.lightest_fit(total), groups[g], total)
-    even_out(terms, credits, {r["course_key"] for r in rows if r["delay"] <= 1}, after)
-    out = [(rows[0]["curriculum_id"], t + 1, i + 1, c, credits[c]) for t, own in enumerate(terms.courses) for i, c in enumerate(own)]
-    return pd.DataFrame(out, columns=["curriculum_id", "term", "pos", "course_key", "credits"])
+    for g in group_order({k: (-g["priority"], k) for k, g in chained.items()}, {k: g["needs"] for k, g in chained.items()}):
+        at = terms.earliest_fit(max((term_of[p] + 1 for p in chained[g]["needs"] if p in term_of), default=0), total[g])
+        terms.put(at, members[g], total[g])
+        term_of[g] = at
+    for g in sorted(members.keys() - chained.keys()):
+        terms.put(terms.lightest_fit(total[g]), members[g], total[g])
+    even_out(terms, {c: credits[c] for g in groups if g["light"] for c in members[g["group_key"]]})
+    return [(t + 1, i + 1, c, credits[c]) for t, own in enumerate(terms.courses) for i, c in enumerate(own)]
 
 
-def term_schedule(courses: DataFrame, edges: DataFrame, priorities: DataFrame, groups: DataFrame, curriculum: DataFrame, target: float = TARGET) -> DataFrame:
-    """curriculum_id, term, pos, course_key, credits. One shuffle by curriculum; a curriculum's courses are few (its whole
-    plan is one degree), so a group stays small and curricula run in parallel."""
+def group_rows(courses: DataFrame, edges: DataFrame, priorities: DataFrame, groups: DataFrame) -> DataFrame:
+    """curriculum_id, group_key, priority, members, filler, light, needs: what placing looks at, one row per corequisite group.
+
+    A group needs the other groups that prerequisites of its members are in. Groups further back needn't be listed: they are
+    placed before those, and where groups stand in a circle, they do so by the direct needs too."""
     on = ["curriculum_id", "course_key"]
-    pre = edges.filter("kind = 'prereq'").groupBy("curriculum_id", F.col("dst").alias("course_key")).agg(F.collect_set("src").alias("prereqs"))
-    quarter = curriculum.select("curriculum_id", F.contains(F.lower("system_type"), F.lit("quarter")).alias("quarter"))
-    rows = courses.select(*on, "credits").join(priorities, on).join(groups, on).join(pre, on, "left").join(quarter, "curriculum_id", "left")
-    filler = F.min((~F.col("has_prereq") & ~F.col("has_dependent")).cast("int")).over(Window.partitionBy("curriculum_id", "group_key")) == 1
-    rows = rows.select(*on, "credits", "delay", "priority", "group_key", filler.alias("is_filler"), F.coalesce("quarter", F.lit(False)).alias("quarter"), F.lit(float(target)).alias("target"), F.coalesce("prereqs", F.array().cast("array<string>")).alias("prereqs"))
+    rows = courses.select(*on, "credits").join(priorities, on).join(groups, on)
+    member = F.struct("course_key", F.col("credits").cast("double").alias("credits"))
+    per = rows.groupBy("curriculum_id", "group_key").agg(F.max("priority").alias("priority"), F.array_sort(F.collect_list(member)).alias("members"), F.bool_and(~F.col("has_prereq") & ~F.col("has_dependent")).alias("filler"), F.bool_and(F.col("delay") <= 1).alias("light"))
+    of = lambda c, name: groups.select("curriculum_id", F.col("course_key").alias(c), F.col("group_key").alias(name))
+    pairs = edges.filter("kind = 'prereq'").join(of("src", "need"), ["curriculum_id", "src"]).join(of("dst", "group_key"), ["curriculum_id", "dst"])
+    needs = pairs.filter("need <> group_key").groupBy("curriculum_id", "group_key").agg(F.collect_set("need").alias("needs"))
+    return per.join(needs, ["curriculum_id", "group_key"], "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))
+
+
+def term_schedule(courses: DataFrame, edges: DataFrame, priorities: DataFrame, groups: DataFrame, curriculum: DataFrame, target: float = TARGET) -> DataFrame:
+    """curriculum_id, term, pos, course_key, credits. Placing is sequential inside a curriculum, so each is one row of its
+    groups; curricula are placed in parallel."""
+    system = curriculum.select("curriculum_id", F.contains(F.lower("system_type"), F.lit("quarter")).alias("quarter"))
+    found = group_rows(courses, edges, priorities, groups)
+    per = found.groupBy("curriculum_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "curriculum_id"])).alias("groups"))
+    rows = per.join(system, "curriculum_id", "left").select("curriculum_id", F.coalesce("quarter", F.lit(False)).alias("quarter"), "groups")
     kind = courses.schema["curriculum_id"].dataType.simpleString()
-    return rows.groupBy("curriculum_id").applyInPandas(place_curriculum, f"curriculum_id {kind}, term int, pos int, course_key string, credits double")
+
+    def run(stream):
+        for batch in stream:
+            placed = [(cid, *row) for cid, quarter, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for row in place_groups(own, quarter, target)]
+            columns = list(zip(*placed, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["curriculum_id", "term", "pos", "course_key", "credits"])
+
+    return rows.mapInArrow(run, f"curriculum_id {kind}, term int, pos int, course_key string, credits double")
 
 
 def term_totals(schedule: DataFrame) -> DataFrame:

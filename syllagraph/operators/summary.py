@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from syllagraph.functions.fields import number_text, scaled
-from syllagraph.storage import saved
+from syllagraph.storage import bucketed, dealt, saved
 
 
 def ordered_list(order: str, value: str | Column, sep: str) -> Column:
@@ -42,13 +42,15 @@ def traced(ends: DataFrame, best: DataFrame) -> DataFrame:
     """curriculum_id, course_key, path: from a course without prerequisites along best ones to each end course. Every
     round each open row steps one course back, so there are as many rows as ends at all times."""
     open_, done = ends.select("curriculum_id", "course_key", F.col("course_key").alias("head"), F.array("course_key").alias("path")), None
-    step = saved(best.select("curriculum_id", F.col("course_key").alias("head"), "best"), "best")
+    on = ("curriculum_id", "head")
+    step = bucketed(dealt(best.select("curriculum_id", F.col("course_key").alias("head"), "best"), *on), "best", *on)
     while True:
-        rows = saved(open_.join(step, ["curriculum_id", "head"], "left"), "traced")
+        seen = Observation()
+        rows = saved(open_.join(step, list(on), "left").observe(seen, F.count("best").alias("open")), "traced")
         over = rows.filter("best IS NULL").select("curriculum_id", "course_key", "path")
         done = over if done is None else done.union(over)
         open_ = rows.filter("best IS NOT NULL AND NOT array_contains(path, best)").select("curriculum_id", "course_key", F.col("best").alias("head"), F.array_prepend("path", F.col("best")).alias("path"))
-        if open_.isEmpty():
+        if not seen.get["open"]:
             return done
 
 

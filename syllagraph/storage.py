@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of this process's tables inside the shared one.
 RUN = f"run-{uuid.uuid4().hex}"
+#: Names of its bucketed tables in the session's catalog.
+BUCKETED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,8 +35,25 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df as a table of this run in buckets by keys, as many as shuffles have partitions: a join on them leaves it in place."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", os.path.join(shared_folder(spark), table)).bucketBy(n, keys[0], *keys[1:]).saveAsTable(table)
+    BUCKETED.append(table)
+    return spark.table(table)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df as bucketed() writes it in one file per bucket."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes this run's tables. Results that read them and aren't written yet are lost with them."""
+    while BUCKETED:
+        spark.sql(f"DROP TABLE IF EXISTS {BUCKETED.pop()}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from syllagraph.operators import keys, loops, metrics, summary
+from syllagraph.operators import keys, loops, metrics, ranks, summary
+from syllagraph.storage import bucketed, dealt
 
 GRAPHS = {
     "tree": (["A", "B", "C", "D"], [("A", "B"), ("B", "D"), ("A", "C")], {"A": (3, 3, 0), "B": (3, 1, 3), "C": (2, 0, 0), "D": (3, 0, 0)}),
@@ -32,8 +34,7 @@ def found_metrics(rows):
     return out
 
 
-def test_hand_graphs(spark, monkeypatch):
-    monkeypatch.setattr(loops, "PATIENCE", 6)
+def test_hand_graphs(spark):
     vertices, edges = frames(spark, GRAPHS)
     rows = metrics.course_metrics(vertices, edges)
     assert found_metrics(rows) == {g: known for g, (_, _, known) in GRAPHS.items() if known}
@@ -82,6 +83,77 @@ def test_random_graphs_equal_listed_paths(spark):
             assert ends.get((g, v), (False, False)) == known
 
 
+def test_reach_sets_over_several_words(spark):
+    """A graph of 150 vertices (three words a set) next to small ones, against listed pairs; with and without cycles."""
+    rng = random.Random(12)
+    vs = [f"v{i:03}" for i in range(150)]
+    es = [p for p in itertools.combinations(vs, 2) if rng.random() < 0.02]
+    graphs = {"wide": (vs, es), "small": (["a", "b"], [("a", "b")]), "turning": (vs, [*es, (vs[140], vs[3])])}
+    vertices, edges = frames(spark, graphs)
+    pairs = {g: set() for g in graphs}
+    for r in loops.closure(edges).collect():
+        pairs[r["curriculum_id"]].add((r["src"], r["dst"]))
+    for g, (own, links) in graphs.items():
+        after = {}
+        for a, b in links:
+            after.setdefault(a, set()).add(b)
+        want = set()
+        for v in own:
+            stack, seen = list(after.get(v, ())), set()
+            while stack:
+                x = stack.pop()
+                if x not in seen:
+                    seen.add(x)
+                    stack += after.get(x, ())
+            want |= {(v, x) for x in seen}
+        assert pairs[g] == want, g
+    known = listed(vs, es)
+    assert {r["vertex"]: r["blocking"] for r in metrics.course_metrics(vertices, edges).filter("curriculum_id = 'wide'").collect()} == {v: known[v][1] for v in vs}
+
+
+def test_longest_paths(spark):
+    graphs = {"d": (["a", "b", "c", "d", "e"], [("a", "c"), ("b", "c"), ("c", "d"), ("b", "e")]), "long": ([f"{i:02}" for i in range(23)], [(f"{i:02}", f"{i + 1:02}") for i in range(22)]), "one": (["x"], []), "loop": (["y"], [("y", "y")])}
+    vertices, edges = frames(spark, graphs)
+    paths = {}
+    for r in sorted(loops.longest_paths(loops.sweep(vertices, edges, "f")[0]).collect()):
+        paths.setdefault(r["curriculum_id"], []).append(r["vertex"])
+    assert paths == {"d": ["a", "c", "d"], "long": graphs["long"][0], "one": ["x"]}
+
+
+def test_a_round_leaves_the_edges_in_place(spark):
+    """In a round's join only the done vertices may move: no exchange lies between the join and the scan of the edges."""
+    vertices, edges = frames(spark, {g: own for g, own in GRAPHS.items() if own[2]})
+    ways = loops.edge_table(loops.both_ways(edges, "fb"), None, "")
+    start = vertices.selectExpr("curriculum_id", "'f' AS dir", "vertex", "0L AS own_word", "0L AS word", "0L AS bits", "1L AS p", "1L AS lp", "0L AS k")
+    done = bucketed(dealt(start, *loops.AT), "sweep", *loops.AT)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = loops.messages(done, ways)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
+
+
+def test_places_of_one_large_group(spark):
+    """A group with most of the rows is ranked by several tasks."""
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 10 < 8 THEN 'big' ELSE concat('g', id % 97) END AS g", "(id * 7919) % 4001 AS o", "id AS place_of")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # they are small here
+    try:
+        own = ranks.by_range(rows, "g", [F.col("o").desc()]).filter("g = 'big'")
+        assert own.select(F.spark_partition_id()).distinct().count() > 1
+        got = ranks.ranked(rows, "g", [F.col("o").desc()], "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["place"], -r["o"]))
+    assert len(got) == 4000
+    for own in by.values():
+        assert sorted(own) == [(i, o) for i, o in enumerate(sorted(o for _, o in own), 1)]
+    assert ranks.ranked(rows.limit(0), "g", [F.col("o")], "place").count() == 0
+
+
 def test_counts_beyond_64_bits_are_errors(spark):
     """70 layers of three: 3^69 paths."""
     layers = [[f"{i:02}{c}" for c in "abc"] for i in range(70)]
