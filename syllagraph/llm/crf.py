@@ -73,6 +73,7 @@ class Field:
     files: np.ndarray  # file classes x labels
     chain: np.ndarray  # labels x labels
     skips: tuple[np.ndarray, ...] | None = None  # scores of label pairs of linked tokens, for each kind of link
+    sure: np.ndarray | None = None  # least mean belief of an added span of each label
     rows: dict = field(default_factory=dict)
     table: np.ndarray | None = None
     cache: dict = field(default_factory=dict)
@@ -180,10 +181,10 @@ class Field:
         messages are exact where the graph has no loops.
         """
         more = np.zeros(len(scores), dtype=np.float32)
-        gains = [max(float((m - m[:1]).max()), float((m - m[:, :1]).max())) for m in self.skips or ()]
-        for i, j, kind in pairs:
-            more[i] += gains[kind]
-            more[j] += gains[kind]
+        gains = np.array([max(float((m - m[:1]).max()), float((m - m[:, :1]).max())) for m in self.skips or ()], dtype=np.float32)
+        links = np.array(pairs, dtype=np.int64).reshape(-1, 3)
+        for side in (0, 1):
+            np.add.at(more, links[:, side], gains[links[:, 2]] if len(links) else 0)
         places = self.open_tokens(scores, more)
         if not len(places):
             return places, np.zeros((0, self.labels))
@@ -193,34 +194,27 @@ class Field:
         left, right = where[places - 1], where[places + 1]
         own[left < 0] += self.chain[0]
         own[right < 0] += self.chain[:, 0]
-        a, b, kinds = [np.flatnonzero(right >= 0)], [right[right >= 0]], [np.zeros(int((right >= 0).sum()), dtype=np.int64)]
-        for i, j, kind in pairs:
-            x, y = where[i], where[j]
-            m = self.skips[kind]
-            if x >= 0 and y >= 0:
-                a.append(np.array([x]))
-                b.append(np.array([y]))
-                kinds.append(np.array([kind + 1]))
-            elif x >= 0:
-                own[x] += m[:, 0]
-            elif y >= 0:
-                own[y] += m[0]
-        a, b, kinds = map(np.concatenate, (a, b, kinds))
+        a, b, kinds = np.flatnonzero(right >= 0), right[right >= 0], np.zeros(int((right >= 0).sum()), dtype=np.int64)
+        if len(links):
+            x, y, kind, m = where[links[:, 0]], where[links[:, 1]], links[:, 2], np.stack(self.skips)
+            both, first, second = (x >= 0) & (y >= 0), (x >= 0) & (y < 0), (x < 0) & (y >= 0)
+            np.add.at(own, x[first], m[kind[first]][:, :, 0])
+            np.add.at(own, y[second], m[kind[second]][:, 0])
+            a, b, kinds = np.concatenate([a, x[both]]), np.concatenate([b, y[both]]), np.concatenate([kinds, kind[both] + 1])
         text_of = np.searchsorted(starts, places, side="right") if starts is not None else np.zeros(len(places), dtype=np.int64)
         order = np.argsort(text_of[a], kind="stable")
         a, b, kinds = a[order], b[order], kinds[order]
-        potentials = np.stack([self.chain, *(self.skips or ())])
+        forward = np.exp(np.stack([self.chain, *(self.skips or ())]))
+        backward = forward.transpose(0, 2, 1)
         n = len(a)
         message = np.zeros((2, n, self.labels))  # along each edge, from a to b and from b to a
         live = np.arange(n)
         for _ in range(rounds):
             if not len(live):
                 break
-            x, y, factor, now = a[live], b[live], potentials[kinds[live]], message[:, live]
-            belief = own.copy()
-            np.add.at(belief, y, now[0])
-            np.add.at(belief, x, now[1])
-            new = np.stack([logsumexp((belief[x] - now[1])[:, :, None] + factor, axis=1), logsumexp((belief[y] - now[0])[:, None, :] + factor, axis=2)])
+            x, y, factor, now = a[live], b[live], kinds[live], message[:, live]
+            belief = own + gathered(y, now[0], len(own)) + gathered(x, now[1], len(own))
+            new = np.stack([passed(belief[x] - now[1], factor, forward), passed(belief[y] - now[0], factor, backward)])
             new -= new.max(axis=2, keepdims=True)
             texts = text_of[x]
             first = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
@@ -228,12 +222,25 @@ class Field:
             moving = np.repeat(change > 1e-3, np.diff([*first, len(live)]))
             message[:, live] = np.where(moving[None, :, None], 0.5 * now + 0.5 * new, new)
             live = live[moving]
-        belief = own.copy()
-        np.add.at(belief, b, message[0])
-        np.add.at(belief, a, message[1])
+        belief = own + gathered(b, message[0], len(own)) + gathered(a, message[1], len(own))
         return places, np.exp(belief - logsumexp(belief, axis=1)[:, None])
 
 
+def gathered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows by place."""
+    return np.stack([np.bincount(at, rows[:, y], n) for y in range(rows.shape[1])], axis=1)
+
+
+def passed(beliefs: np.ndarray, kinds: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Messages of these log beliefs along edges of these kinds; factors: potentials of each kind."""
+    weights, out = np.exp(np.maximum(beliefs - beliefs.max(axis=1, keepdims=True), -200)), np.empty_like(beliefs)
+    for kind in range(len(factors)):
+        own = kinds == kind
+        if own.any():
+            out[own] = np.einsum("nl,lm->nm", weights[own], factors[kind])  # too small for more threads
+    return np.log(np.maximum(out, 1e-300))
+
+
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)

@@ -5,8 +5,10 @@ potential, and loopy message passing makes their labels agree: part of a number
 is personal data there too. Tokens inside the patterns' finds are known to the field, so they speak for their likes.
 
 The field is trained on a bounded sample of texts: on the patterns' finds, on the same finds rewritten so that every pattern
-misses them, on look-alikes that are no personal data (cards that fail Luhn's test, addresses beyond 255), and on texts that
-name a find again in part. Numbers tell the field whether they would pass as a card, an address or a telephone number. The
+misses them, on look-alikes that are no personal data (cards that fail Luhn's test, addresses beyond 255, dates, times, ISBNs,
+measures and codes), and on texts that name a find again in part. Numbers tell the field whether they would pass as a card, an
+address or a telephone number by their sizes and the marks between them, or stand as a date, a time or thousands; words, whether
+they stand as an address. Look-alikes kept back from training set how sure the field must be of a span. The
 links' potentials are fitted on linked tokens, given what the chain believes of each. Added spans never overlap the
 patterns' ones.
 """
@@ -31,9 +33,11 @@ from .secrets import in_order
 #: As in secrets: shares of the windows without a find, with each kind of find (rewritten or not), and with a look-alike.
 TRAIN_DOCUMENTS = 8000
 TRAIN_WINDOWS = 3000
-SHARES = {0: 6, 1: 2, 2: 2, 3: 2, 4: 2, 5: 5}
+SHARES = {0: 4, 1: 2, 2: 2, 3: 2, 4: 2, 5: 9}
+#: Look-alikes that the field isn't trained on and that set how sure it must be: at most this share of them may be marked.
+HELD_BACK, FALSE_SHARE, LEAST_BELIEF = 4000, 0.0005, 0.95
 #: Rewritings and look-alikes made of each find of the sample; pairs of linked tokens that the potentials are fitted on.
-REWRITTEN, ALIKE = 4, 4
+REWRITTEN, ALIKE = 4, 10
 TRAIN_PAIRS = 3000
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -139,12 +143,28 @@ def skip_pairs(tokens: list[str], marks: list[int] = ()) -> list[tuple[int, int,
 NUMBERS = re.compile(r"\b[0-9]+\b(?:[\x20.,/:()\[\]-]{1,4}\b[0-9]+\b)*")
 DIGITS = re.compile(r"[0-9]+")
 
+#: Sizes of the parts of telephone numbers without a plus sign: with an area code of three digits, maybe after
+#: a prefix; or with a leading 0.
+AREA = ((3, 3, 4), (1, 3, 3, 4), (3, 3, 3, 4))
+TRUNK = ((5, 6), (4, 7), (4, 6), (3, 8), (3, 7), (3, 4, 4), (4, 3, 4), (5, 3, 3), (2, 4, 4))
 
-def number_kinds(groups: list[str]) -> list[str]:
+
+def phone_like(groups: list[str], marks: list[str]) -> bool:
+    """Whether numbers are laid out as a telephone number: an area code with brackets, dashes, dots or slashes, or after a 1
+    or 001; or a leading 0 before the usual sizes. Numbers parted by blanks alone are not enough."""
+    sizes = tuple(map(len, groups))
+    if sizes in AREA:
+        return groups[0] in ("1", "001") or (len(sizes) == 3 and any(m.strip() for m in marks))
+    return sizes in TRUNK and groups[0][0] == "0" and groups[0][1] != "0"
+
+
+def number_kinds(groups: list[str], marks: list[str] | None = None) -> list[str]:
     """What each number of a run of them would pass as: card (12 to 19 digits, alone or in fours, passing Luhn's test), ip
-    (four in a row up to 255), phone (9 to 15 digits in parts), local (three and four digits); a no before the first two
-    for a number of that shape that fails."""
+    (four in a row up to 255, a dot between any two), phone (laid out as one), local (three and four digits, a mark
+    between); a no before the first two for a number of that shape that fails; date, time and money for runs of those forms;
+    number otherwise. marks: what stands between the numbers."""
     n = len(groups)
+    marks = [" "] * (n - 1) if marks is None else marks
     sizes = [len(g) for g in groups]
     out = ["number"] * n
     for i in range(n):
@@ -160,28 +180,61 @@ def number_kinds(groups: list[str]) -> list[str]:
         j = i
         while j < n and not out[j].endswith("card"):
             j += 1
-        own = sizes[i:j]
-        if len(own) == 4 and max(own) <= 3:
-            out[i:j] = ["ip" if all(map(small, groups[i:j])) else "noip"] * 4
-        elif len(own) > 1 and 9 <= sum(own) <= 15:
+        own, between = groups[i:j], [m.strip() for m in marks[i : max(i, j - 1)]]
+        lengths = sizes[i:j]
+        if len(own) == 4 and max(lengths) <= 3 and all("." in m for m in between):
+            out[i:j] = ["ip" if all(map(small, own)) else "noip"] * 4
+        elif len(own) > 1 and phone_like(own, marks[i : j - 1]):
             out[i:j] = ["phone"] * len(own)
+        elif len(own) >= 3 and between[0] in ("-", ".", "/") and between[0] == between[1] and sorted(lengths[:3])[:2] in ([1, 1], [1, 2], [2, 2]) and max(lengths[0], lengths[2]) == 4:
+            out[i:j] = ["date"] * len(own)
+        elif len(own) > 1 and all(m == ":" for m in between) and max(lengths) <= 2:
+            out[i:j] = ["time"] * len(own)
+        elif len(own) > 1 and lengths[0] <= 3 and all(k == 3 for k in lengths[1:]) and len({*between}) == 1 and between[0] in ("", ",", "."):
+            out[i:j] = ["money"] * len(own)
         else:
             for k in range(i, j - 1):
-                if sizes[k : k + 2] == [3, 4]:
+                if sizes[k : k + 2] == [3, 4] and marks[k].strip() in ("-", "."):
                     out[k : k + 2] = ["local", "local"]
         i = j + 1
     return out
 
 
-def number_contexts(text: str, bounds: list[tuple[int, int]]) -> dict[int, str]:
-    """Kinds of the numbers among the tokens."""
+#: What stands for an address's @, and the names before and after it.
+AT = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s")
+DOT = r"(?:\.|\sdot\s|\s?[\[(]\s?dot\s?[\])]\s?)"
+BEFORE = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}\s?\Z")
+AFTER = re.compile(rf"\s?[A-Za-z0-9-]{{1,64}}(?:{DOT}[A-Za-z0-9-]{{1,64}}){{0,5}}")
+
+
+def written_addresses(text: str) -> list[tuple[int, int]]:
+    """Bounds of what is laid out as an address: names on both sides of an @ or (at), or of a plain at if a dot is written out
+    after it; names after a blank or a bracket have a dot."""
+    out = []
+    if "@" not in text and "dot" not in text and "(at" not in text and "[at" not in text:
+        return out
+    for m in AT.finditer(text):
+        after = AFTER.match(text, m.end())
+        dotted = after and ("dot" in after[0] or "." in after[0])
+        if (dotted or after and m[0] == "@" and not after[0][0].isspace()) and (len(m[0].strip()) != 2 or "dot" in after[0]) and (before := BEFORE.search(text, max(0, m.start() - 200), m.start())):
+            out.append((before.start(), after.end()))
+    return out
+
+
+def token_contexts(text: str, bounds: list[tuple[int, int]]) -> dict[int, str]:
+    """What tokens would pass as: numbers by their kind, and mail inside what is laid out as an address."""
     out: dict[int, str] = {}
     place = None
     for m in NUMBERS.finditer(text):
         if place is None:
             place = {a: i for i, (a, _) in enumerate(bounds)}
         found = [(place.get(m.start() + d.start()), d[0]) for d in DIGITS.finditer(m[0])]
-        out.update((i, kind) for (i, _), kind in zip(found, number_kinds([g for _, g in found]), strict=True) if i is not None)
+        marks = DIGITS.split(m[0])[1:-1]
+        if m.start() and text[m.start() - 1] == "(":
+            marks[:1] = ["(" + x for x in marks[:1]]
+        out.update((i, kind) for (i, _), kind in zip(found, number_kinds([g for _, g in found], marks), strict=True) if i is not None)
+    for lo, hi in written_addresses(text):
+        out.update(dict.fromkeys(range(bisect.bisect_left(bounds, (lo, lo)), bisect.bisect_left(bounds, (hi, hi))), "mail"))
     return out
 
 
@@ -213,20 +266,45 @@ def rewritten(found: str, kind: str, rng: random.Random) -> str:
     if kind == "email":
         local, _, domain = found.partition("@")
         at, dot = rng.choice(((" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "."), (" at ", " dot "), (" @ ", "."), ("@", None)))
+        local = local.replace(".", dot) if dot and len(dot) > 2 and rng.random() < 0.5 else local
         return f"{local}{at}{domain.split('.')[0] if dot is None else domain.replace('.', dot)}"
     if kind == "ip":
         parts = [str(rng.randint(1, 255)) for _ in range(4)]
-        return rng.choice((" . ", "[.]", " .", ". ", "(.)", "-")).join(parts)
+        return rng.choice((" . ", "[.]", "(.)", " .", ". ")).join(parts)
     if kind == "card":
         number = digits if rng.random() < 0.3 and len(digits) == 16 else card_number(rng)
         return fours(number, rng.choice((".", "/", "  ", ":", " - ", ",")))
     a, b, c = digits_of(3, rng), rng.choice(("555", digits_of(3, rng))), digits_of(4, rng)
+    if rng.random() < 0.25:
+        own = rng.choice(TRUNK)
+        parts = [digits_of(n, rng) for n in own]
+        return rng.choice((" ", "-", "/")).join(["0" + rng.choice("123456789") + parts[0][2:], *parts[1:]])
     return rng.choice((f"({a}) {b}-{c}", f"1 ({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}", f"+1/{a}/{b}/{c}", f"({a}) {b} {c}", f"{a} {b}-{c}"))
 
 
+def plain_number(rng: random.Random) -> str:
+    """A number, date, time, code or measure as any text may hold."""
+    d = lambda n: digits_of(n, rng)
+    n = rng.randint
+    day, month, year, hour, minute = f"{n(1, 28):02}", f"{n(1, 12):02}", f"{n(1900, 2099)}", f"{n(0, 23):02}", f"{n(0, 59):02}"
+    isbn = rng.choice((f"978{{0}}{d(1)}{{0}}{d(2)}{{0}}{d(6)}{{0}}{d(1)}", f"979{{0}}{d(2)}{{0}}{d(4)}{{0}}{d(3)}{{0}}{d(1)}", f"{d(1)}{{0}}{d(3)}{{0}}{d(5)}{{0}}X")).format(rng.choice("- "))
+    small_numbers = [str(n(1, 99)) for _ in range(n(3, 6))]
+    return rng.choice((
+        f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{day}-{month}-{year[2:]}", f"{year}/{month}/{day}", f"{year}-{month}-{day}T{hour}:{minute}:{day}Z", f"{year}-{month}-{day} {hour}:{minute}:{day}",
+        f"{day}.{month}.{year} {hour}:{minute}", f"{hour}:{minute}:{day}", f"{hour}:{minute}", f"{hour}:{minute}-{n(0, 23):02}:{day}", f"{year}{month}{day}", f"{year}{month}{day}T{hour}{minute}{day}",
+        isbn, f"ISBN {isbn}", f"ISSN {d(4)}-{d(4)}", f"{n(1, 999)} {d(3)} {d(3)}", f"{n(1, 9)} {d(3)} {d(3)} {d(3)}", f"{n(1, 999)},{d(3)},{d(3)}", f"{n(1, 999)}.{d(3)}.{d(3)},{d(2)}", f"{n(1, 99)},{d(3)}.{d(2)}",
+        f"{n(0, 9)}.{d(5)} {d(5)}", f"{n(0, 999)}.{d(n(1, 9))}", f"-{n(0, 99)}.{d(4)}, {n(0, 180)}.{d(4)}", f"{n(0, 89)}°{minute}'{day}\"", f"v{n(0, 20)}.{n(0, 20)}.{n(0, 99)}", f"{n(0, 20)}.{n(0, 20)}.{n(0, 99)}-{n(1, 9)}",
+        "-".join(small_numbers), " ".join(small_numbers), ", ".join(small_numbers), f"{year}-{int(year) + n(1, 9)}", f"pp. {n(1, 400)}-{n(401, 999)}", f"({year}) {d(3)}-{d(3)}", f"{d(3)} ({year}) {d(4)}", f"{n(1, 20)}:{n(1, 50)}-{n(51, 99)}",
+        f"{rng.choice('ABCDEKMX')}{d(n(2, 6))}", f"{rng.choice(('AB', 'PX', 'Mod', 'SKU'))}-{d(4)}-{d(3)}", f"part no. {d(3)} {d(3)} {d(4)}", f"No. {d(n(3, 8))}", f"#{d(n(2, 7))}", f"{d(3)} {d(3)} {d(4)}", f"{d(n(5, 11))}", f"order {d(3)}-{d(7)}-{d(7)}",
+        f"{n(1, 500)}kg", f"{n(1, 90)}th", f"{n(2, 9)}x{n(2, 9)}", f"{n(100, 4000)}x{n(100, 4000)}", f"{d(2)}%", f"${n(1, 999)}.{d(2)}", f"1/{n(2, 9)}", f"{n(1, 9)}e-{n(1, 9)}", f"0x{d(4)}", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(4)} {d(4)}", f"{d(5)}-{d(4)}", f"{n(1, 9)}:{n(1, 9)}",
+    ))
+
+
 def look_alike(kind: str, rng: random.Random) -> str:
-    """What stands where personal data stood and is none."""
+    """What stands where personal data stood and is none: near misses of the kind, and plain numbers and codes."""
     d = lambda n: digits_of(n, rng)
+    if rng.random() < 0.6:
+        return plain_number(rng)
     if kind == "card":
         return fours(card_number(rng, False), rng.choice(("", "", "", " ", "-", ".", "/", ":")))
     if kind == "ip":
@@ -234,7 +312,7 @@ def look_alike(kind: str, rng: random.Random) -> str:
         parts[rng.randrange(4)] = str(rng.randint(256, 999))
         return rng.choice((".".join(parts), " . ".join(parts), "-".join(parts), f"{d(1)}.{d(2)}.{d(1)}", f"{d(1)}.{d(2)}"))
     if kind == "phone":
-        return rng.choice((f"{d(3)}-{d(4)}", f"{d(3)}-{d(4)}", f"({d(3)})", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"+{d(2)}", f"{d(4)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(5)}", f"1{d(3)}-1{d(3)}", f"ending {d(4)}", f"{d(16)}"[:13]))
+        return rng.choice((f"{d(3)}-{d(4)}", f"({d(3)})", f"+{d(2)}", f"{d(4)}", f"ending {d(4)}", f"{d(13)}"))
     return rng.choice(("we met at home", "it was at ten dot on", "@name", "mail at once", "up (at) last", "see example.org", "mail7.example.com", "at mail", "a @ b", "name.", "dot com", "at 10.30", "at. at. at. at.", "at at at at", "dot dot dot", "at. dot. at. dot.", "[at]", "(dot)"))
 
 
@@ -251,10 +329,13 @@ def echo(found: str, kind: str, rng: random.Random) -> str | None:
 COLUMNS = ("hash", "kind", "tokens", "marks", "file", "contexts", "source")
 
 
-def window_rows(text: str, spans: list[tuple[str, int, int]], kind: int | None, at: int | None = None, file: int | None = None) -> list[tuple]:
-    """COLUMNS but the last of windows of one text, as in secrets. kind: None for the rarest label of a window, else 0."""
+def window_rows(text: str, spans: list[tuple[str, int, int]], kind: int | None, at: int | None = None, file: int | None = None, alike: int = 0) -> list[tuple]:
+    """COLUMNS but the last of windows of one text, as in secrets. kind: None for the rarest label of a window. alike: length of
+    the look-alike at `at`, whose tokens are marked -1."""
     bounds, tokens, marks = labelled(text, spans)
-    contexts, file = number_contexts(text, bounds), crf.file_class(text) if file is None else file
+    if alike:
+        marks = [-1 if not y and at <= a < at + alike else y for y, (a, _) in zip(marks, bounds, strict=True)]
+    contexts, file = token_contexts(text, bounds), crf.file_class(text) if file is None else file
     held = Counter(marks)
     if at is None:
         hard = [i for i, t in enumerate(tokens) if not marks[i] and len(t) >= 4 and not t.isalpha()]
@@ -275,7 +356,7 @@ def pair_rows(text: str, base: list[tuple[str, int, int]], spans: list[tuple[str
     both windows one after the other, where the second begins, both places, both labels, and whether a pattern knows them."""
     bounds, tokens, known = labelled(text, base)
     marks = labelled(text, spans)[2] if spans is not base else known
-    contexts, file = number_contexts(text, bounds), crf.file_class(text)
+    contexts, file = token_contexts(text, bounds), crf.file_class(text)
     out, plain = [], set()
     for i, j, kind in skip_pairs(tokens, known if base else ()):
         if known[i] and known[j] or not marks[i] and not marks[j] and kind in plain:
@@ -312,7 +393,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         known = base_spans(changed)
                         if any(a < at + len(new) and at < b for _, a, b in known):
                             continue  # a pattern finds it, or some of it
-                        windows += [(*r, source) for r in window_rows(changed, known + [(kind, at, at + len(new))] * (n < REWRITTEN), label if n < REWRITTEN else 5, at, file)]
+                        windows += [(*r, source) for r in window_rows(changed, known + [(kind, at, at + len(new))] * (n < REWRITTEN), label if n < REWRITTEN else 5, at, file, 0 if n < REWRITTEN else len(new))]
                     if (again := echo(found, kind, rng)) is not None:
                         words = text[:200].split()[:12]
                         changed = text + "\n" + " ".join(words[:6]) + " "
@@ -366,21 +447,46 @@ def linked_pairs(model: crf.Field, rows: list) -> list[tuple[int, int, int, np.n
 
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> crf.Field:
     rows = training_rows(common.sample_of(docs, TRAIN_DOCUMENTS, text_col), id_col, text_col)
-    windows = common.fair_share(rows.filter("pair IS NULL").drop("pair"), TRAIN_WINDOWS, SHARES).collect()
+    back = (F.col("kind") == 5) & (F.pmod("hash", F.lit(4)) == 0)
+    held = rows.filter("pair IS NULL").drop("pair")
+    windows = common.fair_share(held.filter(~back), TRAIN_WINDOWS, SHARES).collect()
     pairs = rows.filter("pair IS NOT NULL").select("hash", "pair.skip", "pair").dropDuplicates(["hash"])
     pairs = common.fair_share(pairs.withColumnRenamed("skip", "kind"), TRAIN_PAIRS, dict.fromkeys(range(SKIPS), 1)).collect()
-    model = crf.train([(r["tokens"], r["marks"], r["file"], r["contexts"], r["source"]) for r in windows], len(BASE_KINDS) + 1)
+    model = crf.train([(r["tokens"], [max(y, 0) for y in r["marks"]], r["file"], r["contexts"], r["source"]) for r in windows], len(BASE_KINDS) + 1)
     model.skips = crf.fit_skips(model, linked_pairs(model, [r["pair"] for r in pairs]), SKIPS)
+    model.sure = least_belief(model, common.fair_share(held.filter(back), HELD_BACK, {5: 1}).collect())
     return model
 
 
+def least_belief(model: crf.Field, rows: list) -> np.ndarray:
+    """For each label the belief that at most FALSE_SHARE of these windows reach at a token of their look-alikes, but for numbers
+    that pass as a card. LEAST_BELIEF at least, as few windows tell little."""
+    scores, starts = model.scores(["" for _ in rows], [r["tokens"] for r in rows], [{i: c for i, c in enumerate(r["contexts"]) if c} for r in rows])
+    counted = np.zeros(len(scores), bool)
+    for start, r in zip(starts.tolist(), rows, strict=True):
+        here = slice(start, start + len(r["tokens"]))
+        scores[here] += (model.files[r["file"]] - model.files[crf.file_class("")]).astype(np.float32)
+        for i, y in enumerate(r["marks"]):
+            if y > 0:
+                scores[start + i] = crf.NEVER
+                scores[start + i, y] = 0
+        counted[here] = [y < 0 and c != "card" for y, c in zip(r["marks"], r["contexts"], strict=True)]
+    places, beliefs = model.loopy(scores, [], starts)
+    top = np.zeros(scores.shape)
+    top[places] = beliefs
+    top[~counted] = 0
+    most = np.array([top[s : s + len(r["tokens"])].max(axis=0) for s, r in zip(starts.tolist(), rows, strict=True)]).reshape(-1, model.labels)
+    bound = -np.sort(-most, axis=0)[int(FALSE_SHARE * len(most))] if len(most) else np.zeros(model.labels)
+    return np.maximum(LEAST_BELIEF, bound)
+
+
 def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) by the field, for each text and its patterns' spans."""
     tokens, contexts, known = [], [], []
     for text, base in zip(texts, bases, strict=True):
-        if base or DIGIT.search(text):
+        if base or DIGIT.search(text) or written_addresses(text):
             bounds, own, marks = labelled(text, base)
-            contexts.append(number_contexts(text, bounds))
+            contexts.append(token_contexts(text, bounds))
         else:
             own, marks = crf.TOKEN.findall(text), []
             contexts.append({})
@@ -398,9 +504,10 @@ def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str,
     labels = beliefs.argmax(axis=1)
     marked = places[labels > 0]
     label_at = dict(zip(marked.tolist(), labels[labels > 0].tolist(), strict=True))
+    belief_at = dict(zip(marked.tolist(), beliefs.max(axis=1)[labels > 0].tolist(), strict=True))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for k in sorted(set((starts.searchsorted(marked, side="right") - 1).tolist())):
-        before, own, spans = (-2, 0), False, out[k]
+        before, own, spans, held = (-2, 0), False, out[k], []
         for i, m in enumerate(crf.TOKEN.finditer(texts[k])):
             y = label_at.get(int(starts[k]) + i, 0)
             if not y:
@@ -413,8 +520,12 @@ def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str,
             elif not joined:
                 own = True
                 spans.append((f"crf_{BASE_KINDS[y - 1]}", *m.span()))
+                held.append([belief_at[int(starts[k]) + i]])
             elif own:
                 spans[-1] = (spans[-1][0], spans[-1][1], m.end())
+                held[-1].append(belief_at[int(starts[k]) + i])
+        least = model.sure if model.sure is not None else np.zeros(model.labels)
+        out[k] = [s for s, own in zip(spans, held, strict=True) if sum(own) > least[1 + KINDS.index(s[0]) - len(BASE_KINDS)] * len(own)]
     return out
 
 
