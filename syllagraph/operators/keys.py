@@ -53,10 +53,10 @@ def resolved(items: DataFrame, courses: DataFrame) -> DataFrame:
 
 def edges_of(required: DataFrame, courses: DataFrame) -> DataFrame:
     """curriculum_id, src, dst, kind, ord: requirements whose key is a course of the same curriculum, each pair once per
-    kind (strict ones count as corequisites) at its first place."""
+    kind (strict ones count as corequisites) at its first place. ord is (strict, place): strict ones come after listed ones."""
     known = courses.select("curriculum_id", F.col("course_key").alias("required_key"))
     kind = F.when(F.col("kind") == "prereq", "prereq").otherwise("coreq")
-    rows = required.join(known, ["curriculum_id", "required_key"], "left_semi").withColumn("strict_last", F.col("ord") + F.when(F.col("kind") == "strict", 10_000).otherwise(0))
+    rows = required.join(known, ["curriculum_id", "required_key"], "left_semi").withColumn("strict_last", F.struct((F.col("kind") == "strict").alias("strict"), "ord"))
     return rows.groupBy("curriculum_id", F.col("required_key").alias("src"), F.col("course_key").alias("dst"), kind.alias("kind")).agg(F.min("strict_last").alias("ord"))
 
 
@@ -78,7 +78,7 @@ def ends(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def first_by_natural_key(courses: DataFrame) -> DataFrame:
     """The storage key found for each natural key: of several, the first in the plan."""
-    return courses.groupBy("curriculum_id", "natural_key").agg(F.min_by("course_key", "course_id").alias("course_key"))
+    return courses.groupBy("curriculum_id", "natural_key").agg(F.min_by("course_key", "plan_pos").alias("course_key"))
 
 
 def courses_by_key(courses: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -131,10 +131,11 @@ def missing_from_plans(plan_courses: DataFrame, courses: DataFrame) -> DataFrame
 
 def missing_requisites(required: DataFrame, courses: DataFrame) -> DataFrame:
     """curriculum_id, course_key, kind, required_key, message for prerequisites and corequisites that the school doesn't
-    have; strict ones aren't checked."""
+    have; strict ones aren't checked. The message names the course by its natural key."""
     lost = required.filter("kind <> 'strict'").join(courses.select("curriculum_id", F.col("course_key").alias("required_key")), ["curriculum_id", "required_key"], "left_anti")
+    named = lost.join(courses.select("curriculum_id", "course_key", "natural_key"), ["curriculum_id", "course_key"], "left")
     word = F.when(F.col("kind") == "prereq", "prerequisite").otherwise("corequisite")
-    return lost.select("curriculum_id", "course_key", "kind", "required_key", F.format_string("Course '%s': missing %s '%s'", F.col("course_key"), word, F.col("required_key")).alias("message"))
+    return named.select("curriculum_id", "course_key", "kind", "required_key", F.format_string("Course '%s': missing %s '%s'", F.coalesce("natural_key", "course_key"), word, F.col("required_key")).alias("message"))
 
 
 def plan_edit(plan_courses: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:

@@ -1,16 +1,15 @@
 """Loops over many small graphs at once, keyed by curriculum.
 
-Edges are written once in buckets by the vertex they leave; the rows of a round are written in buckets by vertex too, so a
-round shuffles its own rows alone. Tables lie in the shared folder: the lineage stays short and a lost executor costs one
-round.
+Edges are written once in buckets by the vertex they leave, so a round shuffles (or broadcasts, where they are few) its own
+rows alone. Tables lie in the shared folder: the lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from syllagraph.storage import bucketed, dealt, saved
+from syllagraph.storage import Rounds, bucketed, dealt, saved
 
 from .ranks import ranked
 
@@ -35,100 +34,104 @@ def cyclic_curricula(edges: DataFrame) -> DataFrame:
 
 
 def numbered(vertices: DataFrame) -> DataFrame:
-    """curriculum_id, vertex, word, bit: each vertex's place in the reach sets of its curriculum."""
-    places = ranked(vertices.select("curriculum_id", "vertex"), "curriculum_id", [F.col("vertex")], "place")
-    return places.select("curriculum_id", "vertex", F.expr(f"(place - 1) DIV {WORD}").alias("word"), F.expr(f"shiftleft(1L, CAST((place - 1) % {WORD} AS INT))").alias("bit"))
+    """curriculum_id, vertex, place: the vertices of each curriculum from 1 on, in their order."""
+    return saved(ranked(vertices.select("curriculum_id", "vertex"), "curriculum_id", [F.col("vertex")], "place"), "numbers")
 
 
-def both_ways(edges: DataFrame, dirs: str) -> DataFrame:
-    """curriculum_id, dir, a, b: each distinct edge, forward (f) and backward (b)."""
+def by_place(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """edges between the places of their vertices."""
+    of = lambda c: numbers.select("curriculum_id", F.col("vertex").alias(c), F.col("place").alias(f"{c}_place"))
+    rows = edges.select("curriculum_id", "src", "dst").distinct().join(of("src"), ["curriculum_id", "src"]).join(of("dst"), ["curriculum_id", "dst"])
+    return rows.select("curriculum_id", F.col("src_place").alias("src"), F.col("dst_place").alias("dst"))
+
+
+def edge_table(edges: DataFrame, dirs: str) -> DataFrame:
+    """curriculum_id, dir, vertex, to, to_need: each distinct edge, forward (f) and backward (b), and how many lead to its
+    later vertex; in buckets by the vertex it leaves."""
     pairs = edges.select("curriculum_id", "src", "dst").distinct()
     ends = {"f": ("src", "dst"), "b": ("dst", "src")}
-    ways = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.col(ends[d][0]).alias("a"), F.col(ends[d][1]).alias("b")) for d in dirs]))
-    return pairs.select("curriculum_id", ways.alias("w")).select("curriculum_id", "w.*")
-
-
-def edge_table(ways: DataFrame, numbers: DataFrame | None, reach: str) -> DataFrame:
-    """ways with what their later vertex needs: how many edges lead to it, and its place in the reach sets; in buckets by the
-    vertex they leave."""
-    needs = ways.groupBy("curriculum_id", "dir", "b").agg(F.count("*").alias("need"))
-    rows = ways.join(needs, ["curriculum_id", "dir", "b"])
-    if numbers is not None:
-        rows = rows.join(numbers.select("curriculum_id", F.col("vertex").alias("b"), "word", "bit"), ["curriculum_id", "b"])
-    kept = lambda c: (F.when(F.col("dir") == reach, F.col(c)).otherwise(0) if numbers is not None else F.lit(0)).cast("long")
-    rows = rows.select("curriculum_id", "dir", F.col("a").alias("vertex"), F.col("b").alias("to"), F.col("need").alias("to_need"), kept("word").alias("to_word"), kept("bit").alias("to_bit"))
+    ways = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.col(ends[d][0]).alias("vertex"), F.col(ends[d][1]).alias("to")) for d in dirs]))
+    rows = pairs.select("curriculum_id", ways.alias("w")).select("curriculum_id", "w.*")
+    needs = rows.groupBy("curriculum_id", "dir", "to").agg(F.count("*").alias("to_need"))
+    rows = rows.join(needs, ["curriculum_id", "dir", "to"]).select(*AT, "to", "to_need")
     return bucketed(dealt(rows, *AT), "ways", *AT)
 
 
-def messages(done: DataFrame, ways: DataFrame) -> DataFrame:
-    """What each vertex that is done sends along its edges: its counts once, and the words of its reach set. The counts lie on
-    the row of the vertex's own word; a receiver whose own word isn't among those sent gets a row for it."""
-    rows = done.join(ways, list(AT))
-    main = F.col("word") == F.col("own_word")
-    counted = lambda c: F.when(main, c).otherwise(F.lit(0)).cast("long")
-    sent = F.struct(
-        "word", F.when(F.col("word") == F.col("to_word"), F.col("bits").bitwiseOR(F.col("to_bit"))).otherwise(F.col("bits")).alias("bits"),
-        counted(F.col("p")).alias("p"), counted(F.try_add("lp", "p")).alias("lp"), counted(F.lit(1)).alias("got"),
-        F.when(main, F.struct((-1 - F.col("k")).alias("less"), F.col("vertex").alias("via"))).alias("far"),
-    )
-    zero, far = F.lit(0).cast("long"), F.lit(None).cast(f"struct<less: long, via: {done.schema['vertex'].dataType.simpleString()}>")
-    own = F.struct(F.col("to_word").alias("word"), F.col("to_bit").alias("bits"), zero.alias("p"), zero.alias("lp"), zero.alias("got"), far.alias("far"))
-    both = F.explode(F.when(main & (F.col("word") != F.col("to_word")), F.array(sent, own)).otherwise(F.array(sent)))
-    return rows.select("curriculum_id", "dir", F.col("to").alias("vertex"), F.col("to_need").alias("need"), F.col("to_word").alias("own_word"), both.alias("m")).select(*AT, "need", "own_word", "m.*")
+def word_of(vertex: str, reach: str) -> str:
+    """The word of a reach set that a vertex lies in; 0 in a direction without sets."""
+    return f"IF(dir = '{reach}', ({vertex} - 1) DIV {WORD}, 0L)"
+
+
+def bit_of(vertex: str, reach: str) -> str:
+    return f"IF(dir = '{reach}', shiftleft(1L, CAST(({vertex} - 1) % {WORD} AS INT)), 0L)"
+
+
+#: What a vertex that is done sends along its edges: its counts once, on the row of its own word, and the words of its reach
+#: set. A receiver whose own word isn't among those sent gets a row for it.
+SENT = """
+  SELECT curriculum_id, dir, to AS vertex, to_need AS need, m.* FROM (
+    SELECT *, explode(IF(main AND word <> own_word, array(own, other), array(own))) AS m FROM (
+      SELECT *,
+        named_struct('word', word, 'bits', IF(word = own_word, bits | own_bit, bits), 'p', IF(main, p, 0L), 'lp', IF(main, try_add(lp, p), 0L), 'got', IF(main, 1L, 0L), 'far', IF(main, named_struct('less', coalesce(far.less, 0L) - 1L, 'via', vertex), NULL)) AS own,
+        named_struct('word', own_word, 'bits', own_bit, 'p', 0L, 'lp', 0L, 'got', 0L, 'far', CAST(NULL AS STRUCT<less: BIGINT, via: BIGINT>)) AS other
+      FROM (SELECT *, word = {word} AS main, {to_word} AS own_word, {to_bit} AS own_bit FROM (SELECT * FROM {held} WHERE got = need) JOIN {ways} USING (curriculum_id, dir, vertex))
+    )
+  )"""
+
+#: A round: what is sent and what waits is added up by vertex and word. Counts lie on any row of a vertex while they are
+#: gathered, and on all once it is done. Rows are dealt by vertex, so that its words are added up and looked at together
+#: without another shuffle.
+ROUND = """
+SELECT curriculum_id, dir, vertex, need, word, bits, IF(whole, all_p, p) AS p, IF(whole, all_lp, lp) AS lp, IF(whole, all_got, got) AS got, IF(whole, all_far, far) AS far FROM (
+  SELECT *, all_got = need AS whole FROM (
+    SELECT *, IF(count(*) OVER v = count(p) OVER v, try_sum(p) OVER v, NULL) AS all_p, IF(count(*) OVER v = count(lp) OVER v, try_sum(lp) OVER v, NULL) AS all_lp, sum(got) OVER v AS all_got, min(far) OVER v AS all_far FROM (
+      SELECT curriculum_id, dir, vertex, word, first(need) AS need, bit_or(bits) AS bits, IF(count(*) = count(p), try_sum(p), NULL) AS p, IF(count(*) = count(lp), try_sum(lp), NULL) AS lp, sum(got) AS got, min(far) AS far
+      FROM (SELECT /*+ REPARTITION({tasks}, curriculum_id, dir, vertex) */ * FROM ({sent}
+        UNION ALL SELECT curriculum_id, dir, vertex, need, word, bits, p, lp, got, far FROM {held} WHERE got <> need))
+      GROUP BY curriculum_id, dir, vertex, word
+    ) WINDOW v AS (PARTITION BY curriculum_id, dir, vertex)
+  )
+)"""
+
+START = """
+SELECT curriculum_id, dir, vertex, 1L AS need, {word} AS word, {bit} AS bits, 1L AS p, 1L AS lp, 1L AS got, CAST(NULL AS STRUCT<less: BIGINT, via: BIGINT>) AS far
+FROM {ends} LEFT ANTI JOIN (SELECT curriculum_id, dir, to AS vertex FROM {ways}) USING (curriculum_id, dir, vertex)"""
 
 
-def whole_sum(column: str, over: WindowSpec | None = None) -> Column:
-    """Sum in 64 bits; null if any part is null or it outgrows them."""
-    n, own, total = F.count("*"), F.count(column), F.try_sum(column)
-    return F.when(n == own, total) if over is None else F.when(n.over(over) == own.over(over), total.over(over))
+def stated(text: str, spark: SparkSession, reach: str, **frames: DataFrame) -> DataFrame:
+    """A statement of a round over frames."""
+    text = text.replace("{sent}", SENT).replace("{tasks}", spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, of in (("{word}", word_of("vertex", reach)), ("{to_word}", word_of("to", reach)), ("{bit}", bit_of("vertex", reach)), ("{to_bit}", bit_of("to", reach))):
+        text = text.replace(name, of)
+    return spark.sql(text, **frames)
 
 
-def sweep(vertices: DataFrame, edges: DataFrame, dirs: str = "fb", reach: str = "") -> tuple[DataFrame, DataFrame | None]:
-    """Every vertex of graphs without cycles once it is reached by all edges that lead to it: curriculum_id, dir, vertex,
-    own_word, word, bits, p, lp, k, via; and the numbering of the vertices in reach sets.
+def sweep(vertices: DataFrame, edges: DataFrame, dirs: str = "fb", reach: str = "") -> DataFrame:
+    """Every vertex of graphs without cycles once it is reached by all edges that lead to it: curriculum_id, dir, vertex, main,
+    word, bits, p, lp, k, via. Vertices are numbers from 1 on in their curriculum.
 
     dir f goes along the edges, b against them. p: paths that end at the vertex, lp: their lengths in vertices together, null
-    where they outgrow 64 bits; k: the longest in edges, via: the vertex before it on one of these, the smallest of several. In the direction `reach` there is a row per word of the set of vertices
-    before it (itself included), elsewhere one row. Each edge is used once; there are as many rounds as the longest path has
-    vertices. Graphs with cycles, whose vertices wait for each other, are left out.
+    where they outgrow 64 bits; k: the longest in edges, via: the vertex before it on one of these, the smallest of several.
+    In the direction `reach` there is a row per word of the set of vertices before it (itself included), elsewhere one row; main
+    tells one of them. Each edge is used once; there are as many rounds as the longest path has vertices. Graphs with cycles,
+    whose vertices wait for each other, are left out.
     """
-    numbers = saved(numbered(vertices), "numbers") if reach else None
-    ways = both_ways(edges, dirs)
-    table = edge_table(ways, numbers, reach)
-    ends = vertices.select("curriculum_id", "vertex", F.explode(F.array(*map(F.lit, dirs))).alias("dir"))
-    if numbers is not None:
-        ends = ends.join(numbers, ["curriculum_id", "vertex"])
-    own = lambda c: (F.when(F.col("dir") == reach, F.col(c)).otherwise(0) if numbers is not None else F.lit(0)).cast("long")
-    entered = ways.select("curriculum_id", "dir", F.col("b").alias("vertex")).distinct()
-    one = F.lit(1).cast("long")
-    start = ends.join(entered, list(AT), "left_anti").select(*AT, one.alias("need"), own("word").alias("own_word"), own("word").alias("word"), own("bit").alias("bits"), one.alias("p"), one.alias("lp"), one.alias("got"), F.lit(None).cast(f"struct<less: long, via: {vertices.schema['vertex'].dataType.simpleString()}>").alias("far"))
-    rounds, finished, rows = [], 0, dealt(start, *AT)
-    together = Window.partitionBy(*AT)
+    spark, ways = vertices.sparkSession, edge_table(edges, dirs)
+    ends = vertices.select("curriculum_id", F.explode(F.array(*map(F.lit, dirs))).alias("dir"), F.col("vertex").cast("long").alias("vertex"))
+    main, rows = F.expr(f"got = need AND word = {word_of('vertex', reach)}"), stated(START, spark, reach, ends=ends, ways=ways)
+    rounds, finished = Rounds(spark, "sweep"), 0
     while True:
         seen = Observation()
-        complete = F.col("got") == F.col("need")
-        main = complete & (F.col("word") == F.col("own_word"))
-        held = bucketed(rows.observe(seen, F.count_if(main).alias("done"), F.count_if(~complete).alias("waiting")), "sweep", *AT)
+        held = rounds.add(rows.observe(seen, F.count_if(main).alias("done")))
         if not seen.get["done"]:
             break
         finished += seen.get["done"]
-        done = held.filter(complete).withColumn("k", F.coalesce(-F.col("far.less"), F.lit(0)))
-        rounds.append(done)
-        sent = messages(done, table)
-        if seen.get["waiting"]:
-            sent = sent.unionByName(held.filter(~complete))
-        added = sent.groupBy(*AT, "word").agg(F.first("need").alias("need"), F.first("own_word").alias("own_word"), F.bit_or("bits").alias("bits"), whole_sum("p").alias("p"), whole_sum("lp").alias("lp"), F.sum("got").alias("got"), F.min("far").alias("far"))
-        # counts lie on any row of a vertex while they are gathered, and on all once it is done
-        total = {"p": whole_sum("p", together), "lp": whole_sum("lp", together), "got": F.sum("got").over(together), "far": F.min("far").over(together)}
-        summed = added.select("*", *[t.alias(f"all_{c}") for c, t in total.items()])
-        rows = summed.select(*AT, "need", "own_word", "word", "bits", *[F.when(F.col("all_got") == F.col("need"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in total])
-    out = rounds[0] if rounds else held.limit(0).withColumn("k", F.lit(0).cast("long"))
-    for x in rounds[1:]:
-        out = out.union(x)
-    if finished < len(dirs) * vertices.count():
-        lost = ends.join(out, list(AT), "left_anti").select("curriculum_id").distinct()
-        out = out.join(saved(lost, "cyclic"), "curriculum_id", "left_anti")
-    return out.select(*AT, "own_word", "word", "bits", "p", "lp", "k", F.col("far.via").alias("via")), numbers
+        rows = stated(ROUND, spark, reach, held=held, ways=ways)
+    out = rounds.rows().filter("got = need").select(*AT, main.alias("main"), "word", "bits", "p", "lp", F.coalesce(-F.col("far.less"), F.lit(0).cast("long")).alias("k"), F.col("far.via").alias("via"))
+    if finished == len(dirs) * vertices.count():
+        return out
+    lost = ends.join(out, list(AT), "left_anti").select("curriculum_id").distinct()
+    return out.join(saved(lost, "cyclic"), "curriculum_id", "left_anti")
 
 
 def longest_paths(swept: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def longest_paths(swept: DataFrame) -> DataFrame:
     the smallest of those that the longest ways end at. Ways back are walked by doubling: each round every vertex on the path
     jumps twice as far, so a path of n vertices takes log n rounds."""
     on = ("curriculum_id", "vertex")
-    rows = swept.filter("dir = 'f' AND word = own_word").select(*on, "k", "via")
+    rows = swept.filter("dir = 'f' AND main").select(*on, "k", "via")
     ends = rows.groupBy("curriculum_id").agg(F.min(F.struct((-F.col("k")).alias("less"), "vertex")).alias("last")).select("curriculum_id", "last.vertex")
     jumps = bucketed(dealt(rows.filter("via IS NOT NULL").select(*on, F.col("via").alias("to")), *on), "jumps", *on)
     path = bucketed(dealt(ends, *on), "path", *on)
@@ -151,24 +154,24 @@ def longest_paths(swept: DataFrame) -> DataFrame:
             return path.join(rows, list(on)).select("curriculum_id", F.col("k").alias("place"), "vertex")
 
 
-def reach_sets(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """curriculum_id, vertex, word, bits of the vertices that each vertex leads to, and the numbering; with cycles too. Words
-    without a vertex are left out."""
-    swept, numbers = sweep(vertices, edges, "b", "b")
-    own = numbers.select("curriculum_id", "vertex", F.col("word").alias("own"), "bit")
-    bits = F.when(F.col("word") == F.col("own"), F.col("bits").bitwiseAND(F.bitwise_not("bit"))).otherwise(F.col("bits"))
-    found = swept.select("curriculum_id", "vertex", "word", "bits").join(own, ["curriculum_id", "vertex"]).select("curriculum_id", "vertex", "word", bits.alias("bits")).filter("bits <> 0")
+def reach_sets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """curriculum_id, vertex, word, bits of the vertices that each vertex leads to; with cycles too. Vertices are numbers from 1
+    on in their curriculum; words without a vertex are left out."""
+    swept = sweep(vertices, edges, "b", "b")
+    own = F.when(F.col("main"), F.expr(bit_of("vertex", "b"))).otherwise(F.lit(0).cast("long"))
+    found = swept.select("curriculum_id", "vertex", "word", F.col("bits").bitwiseAND(F.bitwise_not(own)).alias("bits")).filter("bits <> 0")
     rest = vertices.select("curriculum_id").distinct().join(swept.select("curriculum_id").distinct(), "curriculum_id", "left_anti")
     rest = saved(edges.select("curriculum_id", "src", "dst").distinct().join(rest, "curriculum_id", "left_semi"), "rest")
-    return (found if rest.isEmpty() else found.union(cyclic_reach(rest, numbers))), numbers
+    return found if rest.isEmpty() else found.union(cyclic_reach(rest))
 
 
-def cyclic_reach(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+def cyclic_reach(edges: DataFrame) -> DataFrame:
     """The same for graphs with cycles: words grow along the edges until no vertex gains a bit; each round passes on what the
     last one gained."""
     back = bucketed(dealt(edges.select("curriculum_id", F.col("dst").alias("vertex"), "src"), "curriculum_id", "vertex"), "back", "curriculum_id", "vertex")
     spot = ["curriculum_id", "vertex", "word"]
-    first = edges.join(numbers.select("curriculum_id", F.col("vertex").alias("dst"), "word", "bit"), ["curriculum_id", "dst"]).groupBy("curriculum_id", F.col("src").alias("vertex"), "word").agg(F.bit_or("bit").alias("bits"))
+    ahead = edges.withColumn("dir", F.lit("b")).select("curriculum_id", F.col("src").alias("vertex"), F.expr(word_of("dst", "b")).alias("word"), F.expr(bit_of("dst", "b")).alias("bit"))
+    first = ahead.groupBy(*spot).agg(F.bit_or("bit").alias("bits"))
     seen = gained = saved(first, "reach")
     while not gained.isEmpty():
         offered = gained.join(back, ["curriculum_id", "vertex"]).groupBy("curriculum_id", F.col("src").alias("vertex"), "word").agg(F.bit_or("bits").alias("bits"))
@@ -182,11 +185,12 @@ def closure(edges: DataFrame) -> DataFrame:
     """curriculum_id, src, dst: every pair with a path, in graphs with cycles too. Pairs are listed out of the reach sets at
     the end; no loop carries them."""
     pairs = edges.select("curriculum_id", "src", "dst")
-    ends = saved(pairs.select("curriculum_id", F.col("src").alias("vertex")).union(pairs.select("curriculum_id", F.col("dst").alias("vertex"))).distinct(), "ends")
-    words, numbers = reach_sets(ends, edges)
-    set_ = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)"))
-    rows = words.select("curriculum_id", F.col("vertex").alias("src"), "word", set_.alias("i")).withColumn("bit", F.expr("shiftleft(1L, i)"))
-    return rows.join(numbers.select("curriculum_id", "word", "bit", F.col("vertex").alias("dst")), ["curriculum_id", "word", "bit"]).select("curriculum_id", "src", "dst")
+    numbers = numbered(pairs.select("curriculum_id", F.col("src").alias("vertex")).union(pairs.select("curriculum_id", F.col("dst").alias("vertex"))).distinct())
+    words = reach_sets(numbers.select("curriculum_id", F.col("place").alias("vertex")), by_place(pairs, numbers))
+    bits = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)"))
+    rows = words.select("curriculum_id", F.col("vertex").alias("a"), "word", bits.alias("i")).select("curriculum_id", "a", (F.col("word") * WORD + F.col("i") + 1).alias("b"))
+    of = lambda place, c: numbers.select("curriculum_id", F.col("place").alias(place), F.col("vertex").alias(c))
+    return rows.join(of("a", "src"), ["curriculum_id", "a"]).join(of("b", "dst"), ["curriculum_id", "b"]).select("curriculum_id", "src", "dst")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .loops import cyclic_curricula, sweep
+from .loops import by_place, numbered, sweep
 
 
 def requisite_edges(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,7 @@ def requisite_edges(edges: DataFrame) -> DataFrame:
 def path_facts(swept: DataFrame) -> DataFrame:
     """Per vertex of a sweep: longest path to and from it in edges, number of paths and their lengths in vertices either way, and
     the vertices it leads to where the sweep kept their sets."""
-    own = F.col("word") == F.col("own_word")
-    at = lambda d, c: F.max(F.when(own & (F.col("dir") == d), F.col(c)))
+    at = lambda d, c: F.max(F.when(F.col("main") & (F.col("dir") == d), F.col(c)))
     reached = F.sum(F.when(F.col("dir") == "b", F.bit_count("bits")).otherwise(0))
     return swept.groupBy("curriculum_id", "vertex").agg(at("f", "k").alias("longest_to"), at("b", "k").alias("longest_from"), at("f", "p").alias("p"), at("f", "lp").alias("lp"), at("b", "p").alias("s"), at("b", "lp").alias("ls"), (reached - 1).cast("bigint").alias("blocking"))
 
@@ -29,19 +28,33 @@ def facts_to_metrics(facts: DataFrame) -> DataFrame:
     return facts.select("curriculum_id", "vertex", "longest_to", "longest_from", (F.col("longest_to") + F.col("longest_from") + 1).alias("delay"), F.when(inner, value).otherwise(F.lit(0)).cast("bigint").alias("centrality"), "blocking")
 
 
-def course_metrics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """curriculum_id, vertex, delay, blocking, complexity, centrality, longest_to of every vertex of graphs without cycles, out
-    of one sweep; blocking counts the bits of the set of vertices that it leads to."""
-    rows = facts_to_metrics(path_facts(sweep(vertices, edges, "fb", "b")[0]))
+def numbered_metrics(vertices: DataFrame, edges: DataFrame, blocking: bool = True) -> DataFrame:
+    """Metrics of vertices that are numbers from 1 on in their curriculum, out of one sweep; blocking counts the bits of the set
+    of vertices that one leads to."""
+    return facts_to_metrics(path_facts(sweep(vertices, edges, "fb", "b" if blocking else "")))
+
+
+def named_metrics(vertices: DataFrame, edges: DataFrame, blocking: bool = True) -> DataFrame:
+    """The same of vertices of any kind."""
+    numbers = numbered(vertices)
+    rows = numbered_metrics(numbers.select("curriculum_id", F.col("place").alias("vertex")), by_place(edges, numbers), blocking)
+    return rows.withColumnRenamed("vertex", "place").join(numbers, ["curriculum_id", "place"]).drop("place")
+
+
+def course_metrics(vertices: DataFrame, edges: DataFrame, numbers: bool = False) -> DataFrame:
+    """curriculum_id, vertex, delay, blocking, complexity, centrality, longest_to of every vertex of graphs without cycles.
+    numbers: vertices are numbers from 1 on in their curriculum."""
+    rows = (numbered_metrics if numbers else named_metrics)(vertices, edges)
     return rows.select("curriculum_id", "vertex", "delay", "blocking", (F.col("delay") + F.col("blocking")).alias("complexity"), "centrality", "longest_to")
 
 
-def delay_and_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return facts_to_metrics(path_facts(sweep(vertices, edges)[0])).drop("blocking")
+def delay_and_centrality(vertices: DataFrame, edges: DataFrame, numbers: bool = False) -> DataFrame:
+    return (numbered_metrics if numbers else named_metrics)(vertices, edges, blocking=False).drop("blocking")
 
 
-def graph_errors(edges: DataFrame, metrics: DataFrame) -> DataFrame:
-    """curriculum_id, stage, message: graphs with a cycle, and graphs whose path counts outgrow 64 bits."""
-    cycles = cyclic_curricula(edges).select("curriculum_id", F.lit("metrics").alias("stage"), F.lit("cycle").alias("message"))
+def graph_errors(cyclic: DataFrame, metrics: DataFrame) -> DataFrame:
+    """curriculum_id, stage, message: graphs with a cycle (loops.cyclic_curricula), and graphs whose path counts outgrow 64
+    bits."""
+    cycles = cyclic.select("curriculum_id", F.lit("metrics").alias("stage"), F.lit("cycle").alias("message"))
     lost = metrics.filter("centrality IS NULL").select("curriculum_id").distinct()
     return cycles.union(lost.select("curriculum_id", F.lit("metrics").alias("stage"), F.lit("overflow").alias("message")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syllagraph.functions.fields import is_quarter, node_id, node_label, years_of
 
+from .ranks import ranked
 from .summary import ordered_list, with_defaults
 
 
@@ -32,7 +33,7 @@ def report_terms(schedule: DataFrame, courses: DataFrame) -> DataFrame:
 
 def metrics_ranked(rows: DataFrame) -> DataFrame:
     """Plan rows with metrics and their place by falling complexity, in plan order among equal ones."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("curriculum_id").orderBy(F.col("complexity").desc(), "plan_pos")).cast("bigint"))
+    return ranked(rows, "curriculum_id", [F.col("complexity").desc(), F.col("plan_pos")], "place")
 
 
 def node_lines(rows: DataFrame, indent: str) -> Column:
@@ -83,6 +84,18 @@ def plan_edges(edges: DataFrame, schedule: DataFrame) -> DataFrame:
     return between(edges, schedule).select("curriculum_id", F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("kind") == "coreq").alias("dashes"))
 
 
+def plan_edges_json(edges: DataFrame, courses: DataFrame) -> DataFrame:
+    """curriculum_id, edges_json: the requisites between a curriculum's courses (curriculum_id, course_key, plan_pos) as one JSON
+    list, prerequisites first, by the place of the later course and list order; [] without any."""
+    rows = between(edges, courses).join(courses.select("curriculum_id", F.col("course_key").alias("dst"), "plan_pos"), ["curriculum_id", "dst"])
+    dashes = F.col("kind") == "coreq"
+    order = F.struct(dashes.alias("d"), "plan_pos", "ord", "src")
+    edge = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), dashes.alias("dashes"))
+    lists = rows.groupBy("curriculum_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), edge.alias("e")))), lambda x: x["e"]).alias("edges"))
+    every = courses.select("curriculum_id").distinct().join(lists, "curriculum_id", "left")
+    return every.select("curriculum_id", F.coalesce(F.to_json("edges"), F.lit("[]")).alias("edges_json"))
+
+
 #: Introduction and legend of the document's diagram.
 GRAPH_NOTE = """The following diagram shows the prerequisite relationships between courses.
 - **Solid arrows** (→) indicate prerequisites
@@ -135,8 +148,8 @@ def compare_totals(expected: DataFrame, found: DataFrame) -> DataFrame:
     return rows.filter(~F.coalesce(F.abs(F.col("expected_total") - F.col("found_total")) <= 0.5 + 1e-9, F.lit(False)))
 
 
-def compare_summary(expected: DataFrame, differences: DataFrame) -> DataFrame:
-    """curricula, passed, failed over all expected curricula."""
-    bad = differences.select("curriculum_id").distinct().withColumn("bad", F.lit(True))
+def compare_summary(expected: DataFrame, differences: DataFrame, totals: DataFrame) -> DataFrame:
+    """curricula, passed, failed over all expected curricula; a course that differs or a wrong total (compare_totals) fails."""
+    bad = differences.select("curriculum_id").union(totals.select("curriculum_id")).distinct().withColumn("bad", F.lit(True))
     rows = expected.select("curriculum_id").distinct().join(bad, "curriculum_id", "left")
     return rows.agg(F.count("*").alias("curricula"), F.count_if(F.col("bad").isNull()).alias("passed"), F.count_if(F.col("bad")).alias("failed"))

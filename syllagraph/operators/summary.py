@@ -60,6 +60,12 @@ def longest_path(paths: DataFrame, positions: DataFrame) -> DataFrame:
     return rows.groupBy("curriculum_id").agg(F.max_by("path", F.struct(F.size("path").alias("n"), -F.col("plan_pos"))).alias("path"))
 
 
+def critical_paths(steps: DataFrame) -> DataFrame:
+    """curriculum_id, length, path of a longest way through each curriculum's requisites; steps: curriculum_id, place,
+    course_key. Its length is the longest delay, which the traced path may miss."""
+    return steps.groupBy("curriculum_id").agg(F.count("*").alias("length"), F.transform(F.array_sort(F.collect_list(F.struct("place", "course_key"))), lambda x: x["course_key"]).alias("path"))
+
+
 def grouped_path(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """curriculum_id, steps: each course of a path with its corequisites as one step (A+B), each course once.
 

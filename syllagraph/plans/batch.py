@@ -36,7 +36,7 @@ class Batch:
 
     @cached_property
     def curriculum(self) -> DataFrame:
-        return files.metadata(self.texts).join(self.bad_texts, "curriculum_id", "left_anti")
+        return files.metadata(self.texts.filter("value IS NOT NULL")).join(self.bad_texts, "curriculum_id", "left_anti")
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -74,7 +74,7 @@ class Batch:
     @cached_property
     def errors(self) -> DataFrame:
         """curriculum_id, stage, message: bad texts, cycles, counts beyond 64 bits."""
-        return self.bad_texts.union(metrics.graph_errors(self.all_edges, self.metrics))
+        return self.bad_texts.union(metrics.graph_errors(self.cyclic, self.metrics))
 
     @cached_property
     def plan(self) -> DataFrame:
@@ -103,9 +103,35 @@ class Batch:
     def metric_rows(self) -> DataFrame:
         return summary.export_rows(self.courses, self.required, self.metrics, self.curriculum)
 
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """curriculum_id, course_key, kind, required_key, message: requisites of the plans' courses that no course has."""
+        return keys.missing_requisites(self.required.join(self.cyclic, "curriculum_id", "left_anti"), self.courses)
+
+    @cached_property
+    def critical_paths(self) -> DataFrame:
+        """curriculum_id, length, path: a longest way through each curriculum's requisites."""
+        numbers = loops.numbered(self.courses.select("curriculum_id", F.col("course_key").alias("vertex")))
+        swept = loops.sweep(numbers.select("curriculum_id", F.col("place").alias("vertex")), loops.by_place(self.edges, numbers), "f")
+        steps = loops.longest_paths(swept).withColumnRenamed("vertex", "at")
+        return summary.critical_paths(steps.join(numbers.select("curriculum_id", F.col("place").alias("at"), F.col("vertex").alias("course_key")), ["curriculum_id", "at"]))
+
     def metric_files(self) -> DataFrame:
-        """curriculum_id, body."""
-        return summary.export_text(self.metric_rows(), self.summary, self.steps, self.curriculum)
+        """curriculum_id, file_name, body."""
+        name = F.concat(F.replace(F.col("curriculum_id").cast("string"), F.lit("/"), F.lit("_")), F.lit("_w_metrics.csv"))
+        return summary.export_text(self.metric_rows(), self.summary, self.steps, self.curriculum).select("curriculum_id", name.alias("file_name"), "body")
+
+    def totals(self) -> DataFrame:
+        """curriculum_id, total: scaled complexity, as report.compare_totals takes it."""
+        return self.summary.select("curriculum_id", F.col("scaled_total").alias("total"))
+
+    def edge_documents(self) -> DataFrame:
+        """curriculum_id, edges_json."""
+        return report.plan_edges_json(self.edges, self.courses)
+
+    def write(self, path: str) -> None:
+        """A metrics file and a report of every curriculum, in one folder."""
+        files.write_documents(self.metric_files().select("file_name", "body").union(self.reports().select("file_name", "body")), path)
 
     def reports(self) -> DataFrame:
         """curriculum_id, file_name, body."""

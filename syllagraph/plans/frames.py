@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllagraph.operators import keys, metrics, schedule, summary
+from syllagraph.operators import keys, loops, metrics, schedule, summary
 from syllagraph.sources import tables
 from syllagraph.storage import saved
 
@@ -40,7 +40,7 @@ class Frames:
         """By course key, kinds prereq and coreq; strict edges are corequisites after the listed ones."""
         ids = self.course.select("curriculum_id", "course_id", "course_key")
         kind = F.when(F.col("kind") == "prereq", "prereq").otherwise("coreq")
-        rows = self.edges.withColumn("ord", F.col("ord") + F.when(F.col("kind") == "strict", 10_000).otherwise(0)).withColumn("kind", kind)
+        rows = self.edges.withColumn("ord", F.struct((F.col("kind") == "strict").alias("strict"), "ord")).withColumn("kind", kind)
         rows = rows.groupBy("curriculum_id", "src", "dst", "kind").agg(F.min("ord").alias("ord"))
         rows = rows.join(ids.select("curriculum_id", F.col("course_id").alias("src"), F.col("course_key").alias("a")), ["curriculum_id", "src"]).join(ids.select("curriculum_id", F.col("course_id").alias("dst"), F.col("course_key").alias("b")), ["curriculum_id", "dst"])
         return saved(rows.select("curriculum_id", F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "ord"), "key-edges")
@@ -61,14 +61,20 @@ class Frames:
     @cached_property
     def metrics(self) -> DataFrame:
         """curriculum_id, course_id, the four metrics and longest_to."""
-        return saved(metrics.course_metrics(self.vertices, self.edges).withColumnRenamed("vertex", "course_id"), "metrics")
+        return saved(metrics.course_metrics(self.vertices, self.edges, numbers=True).withColumnRenamed("vertex", "course_id"), "metrics")
 
     @cached_property
     def delays(self) -> DataFrame:
         # the same columns are in the metrics, where a query needs these anyway
-        rows = self.metrics if "metrics" in self.__dict__ else saved(metrics.delay_and_centrality(self.vertices, self.edges).withColumnRenamed("vertex", "course_id"), "delays")
+        rows = self.metrics if "metrics" in self.__dict__ else saved(metrics.delay_and_centrality(self.vertices, self.edges, numbers=True).withColumnRenamed("vertex", "course_id"), "delays")
         return rows.join(self.course, ["curriculum_id", "course_id"])
 
+    @cached_property
+    def critical(self) -> DataFrame:
+        """curriculum_id, length, path: a longest way through the requisites, by course key."""
+        steps = loops.longest_paths(loops.sweep(self.vertices, self.edges, "f")).withColumnRenamed("vertex", "course_id")
+        return summary.critical_paths(steps.join(self.course.select("curriculum_id", "course_id", "course_key"), ["curriculum_id", "course_id"]))
+
     @cached_property
     def plan(self) -> DataFrame:
         """Courses with their metrics."""

@@ -206,13 +206,13 @@ JOIN (SELECT curriculum_id, nk, count(*) AS n FROM (SELECT curriculum_id, natura
     "degrees": sql("SELECT c.curriculum_id, c.course_key, coalesce(i, 0) AS indegree, coalesce(o, 0) AS outdegree FROM course AS c LEFT JOIN (SELECT curriculum_id, dst, count(*) AS i FROM req GROUP BY curriculum_id, dst) AS a ON a.curriculum_id = c.curriculum_id AND a.dst = c.course_id LEFT JOIN (SELECT curriculum_id, src, count(*) AS o FROM req GROUP BY curriculum_id, src) AS b ON b.curriculum_id = c.curriculum_id AND b.src = c.course_id"),
     "sources_sinks": sql("SELECT * FROM (SELECT c.curriculum_id, c.course_key, NOT EXISTS (SELECT 1 FROM req AS r WHERE r.curriculum_id = c.curriculum_id AND r.dst = c.course_id) AS is_source, NOT EXISTS (SELECT 1 FROM req AS r WHERE r.curriculum_id = c.curriculum_id AND r.src = c.course_id) AS is_sink FROM course AS c) AS x WHERE is_source OR is_sink"),
     "validate_plans": sql("SELECT curriculum_id, 'plan0' AS plan_id, 'Plan ''plan0'': missing course ''' || course_key || '?''' AS message FROM course WHERE course_id % 50 = 0"),
-    "validate_requisites": sql("SELECT curriculum_id, course_key, kind, 'Course ''' || course_key || ''': missing ' || CASE WHEN kind = 'prereq' THEN 'prerequisite' ELSE 'corequisite' END || ' ''' || required_key || '''' AS message FROM required AS r WHERE kind <> 'strict' AND NOT EXISTS (SELECT 1 FROM course AS c WHERE c.curriculum_id = r.curriculum_id AND c.course_key = r.required_key)", ITEMS),
+    "validate_requisites": sql("SELECT curriculum_id, course_key, kind, 'Course ''' || (SELECT natural_key FROM course AS n WHERE n.curriculum_id = r.curriculum_id AND n.course_key = r.course_key) || ''': missing ' || CASE WHEN kind = 'prereq' THEN 'prerequisite' ELSE 'corequisite' END || ' ''' || required_key || '''' AS message FROM required AS r WHERE kind <> 'strict' AND NOT EXISTS (SELECT 1 FROM course AS c WHERE c.curriculum_id = r.curriculum_id AND c.course_key = r.required_key)", ITEMS),
     "plans_for_degree": sql("SELECT degree_type || ' ' || k.name AS degree_id, k.curriculum_id, plan_id FROM curriculum AS k JOIN (SELECT DISTINCT curriculum_id, 'plan' || (course_id % 2) AS plan_id FROM course) AS p ON p.curriculum_id = k.curriculum_id WHERE system_type = 'quarter'"),
     "plan_edit": sql("SELECT curriculum_id, course_key, CASE WHEN course_id % 2 = 1 THEN course_id ELSE course_id + 1000 END AS pos FROM course WHERE (course_id % 2 = 1 OR course_id % 3 = 0) AND course_id % 4 <> 1"),
     "course_upsert": sql("SELECT curriculum_id, course_key, credits + CASE WHEN course_id % 6 = 0 THEN 1 ELSE 0 END AS credits, course_id + CASE WHEN course_id % 6 = 0 THEN 1000 ELSE 0 END AS seq, course_id % 6 = 0 AS replaced FROM course"),
     "plan_edges": sql("SELECT curriculum_id, src AS \"from\", dst AS \"to\", kind = 'coreq' AS dashes FROM kedge"),
     "compare_metrics": sql("SELECT curriculum_id, course_id, field FROM different", METRICS, EXPECTED),
-    "compare_summary": sql("SELECT count(*) AS curricula, count(*) FILTER (WHERE NOT bad) AS passed, count(*) FILTER (WHERE bad) AS failed FROM (SELECT DISTINCT curriculum_id, curriculum_id IN (SELECT curriculum_id FROM different) AS bad FROM course) AS x", METRICS, EXPECTED),
+    "compare_summary": sql("SELECT count(*) AS curricula, count(*) FILTER (WHERE NOT bad) AS passed, count(*) FILTER (WHERE bad) AS failed FROM (SELECT DISTINCT curriculum_id, curriculum_id IN (SELECT curriculum_id FROM different) OR curriculum_id % 9 = 0 AS bad FROM course) AS x", METRICS, EXPECTED),
     "compare_totals": sql(f"SELECT m.curriculum_id, CAST(round(sum({SCALED}) + 1, 1) AS DOUBLE) AS expected_total, CAST(round(sum({SCALED}), 1) AS DOUBLE) AS found_total FROM metrics AS m JOIN curriculum AS k ON k.curriculum_id = m.curriculum_id WHERE m.curriculum_id % 9 = 0 GROUP BY m.curriculum_id", METRICS),
     "curriculum_summary": sql(SUMMARY, METRICS),
     "metrics_ranked": sql("SELECT curriculum_id, row_number() OVER (PARTITION BY curriculum_id ORDER BY complexity DESC, course_id) AS place, course_key, complexity, blocking, delay, centrality FROM metrics", METRICS),
@@ -239,6 +239,21 @@ SELECT curriculum_id, course_id, member FROM chain UNION SELECT c.curriculum_id,
     "best_prereq": sql("SELECT curriculum_id, course_key, best FROM best", BEST),
     "delay_paths": sql("SELECT curriculum_id, course_key, path FROM traced", TRACES),
     "longest_delay_path": sql("SELECT curriculum_id, path FROM (SELECT *, row_number() OVER (PARTITION BY curriculum_id ORDER BY n DESC, pos) AS q FROM traced) AS x WHERE q = 1", TRACES),
+    "critical_path": sql(
+        """, before AS (
+  SELECT r.curriculum_id, r.dst, min(r.src) AS src FROM req AS r JOIN delays AS x ON x.curriculum_id = r.curriculum_id AND x.course_id = r.src JOIN delays AS y ON y.curriculum_id = r.curriculum_id AND y.course_id = r.dst
+  WHERE x.a = y.a - 1 GROUP BY r.curriculum_id, r.dst
+), way(curriculum_id, v, path, length) AS (
+  SELECT curriculum_id, course_id, course_key, 1 FROM (SELECT *, row_number() OVER (PARTITION BY curriculum_id ORDER BY a DESC, course_id) AS r FROM delays) AS x WHERE r = 1
+  UNION ALL SELECT w.curriculum_id, b.src, c.course_key || '->' || w.path, w.length + 1 FROM way AS w JOIN before AS b ON b.curriculum_id = w.curriculum_id AND b.dst = w.v JOIN course AS c ON c.curriculum_id = b.curriculum_id AND c.course_id = b.src
+)
+SELECT w.curriculum_id, CAST(w.length AS BIGINT) AS length, w.path FROM way AS w JOIN (SELECT curriculum_id, max(delay) AS delay FROM delays GROUP BY curriculum_id) AS m ON m.curriculum_id = w.curriculum_id AND m.delay = w.length""",
+        DELAYS,
+    ),
+    "plan_edges_json": sql(
+        """SELECT c.curriculum_id, coalesce('[' || edges || ']', '[]') AS edges_json FROM (SELECT DISTINCT curriculum_id FROM course) AS c
+LEFT JOIN (SELECT curriculum_id, string_agg('{"from":"' || src || '","to":"' || dst || '","dashes":' || CASE WHEN kind = 'coreq' THEN 'true' ELSE 'false' END || '}', ',' ORDER BY CASE WHEN kind = 'prereq' THEN 0 ELSE 1 END, dst_pos, ord, src) AS edges FROM kedge GROUP BY curriculum_id) AS e ON e.curriculum_id = c.curriculum_id"""
+    ),
     "chain_priority": sql("SELECT curriculum_id, course_key, priority FROM priority", DELAYS, FLAGS),
     "coreq_groups": sql("SELECT curriculum_id, course_key, group_key FROM grouped", GROUPS),
     "filler_groups": sql("SELECT p.curriculum_id, group_key, count(*) AS members FROM priority AS p JOIN grouped AS g ON g.curriculum_id = p.curriculum_id AND g.course_key = p.course_key GROUP BY p.curriculum_id, group_key HAVING bool_and(NOT has_prereq AND NOT has_dependent)", DELAYS, FLAGS, GROUPS),

@@ -258,6 +258,11 @@ def plan_edges(f: Frames) -> DataFrame:
     return report.plan_edges(f.key_edges, f.schedule)
 
 
+@query
+def plan_edges_json(f: Frames) -> DataFrame:
+    return report.plan_edges_json(f.key_edges, f.course)
+
+
 def found_metrics(f: Frames) -> DataFrame:
     return f.metrics.withColumn("complexity", F.col("complexity").cast("double"))
 
@@ -276,7 +281,7 @@ def compare_metrics(f: Frames) -> DataFrame:
 
 @query
 def compare_summary(f: Frames) -> DataFrame:
-    return report.compare_summary(expected_metrics(f), compare_metrics(f))
+    return report.compare_summary(expected_metrics(f), compare_metrics(f), compare_totals(f))
 
 
 @query
@@ -390,6 +395,11 @@ def longest_delay_path(f: Frames) -> DataFrame:
     return f.longest.select("curriculum_id", F.array_join("path", "->").alias("path"))
 
 
+@query
+def critical_path(f: Frames) -> DataFrame:
+    return f.critical.select("curriculum_id", "length", F.array_join("path", "->").alias("path"))
+
+
 @query
 def longest_delay_path_grouped(f: Frames) -> DataFrame:
     return f.steps.select("curriculum_id", F.array_join("steps", "->").alias("path"))

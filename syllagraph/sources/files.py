@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from syllagraph.functions.fields import clean_field, split_fields
 
+from .named_files import write_named_files
+
 #: Header keys are looked for in so many lines; one misspelling is accepted.
 HEADER_LINES = 10
 #: Columns of the course section.
@@ -14,10 +16,11 @@ NAMES = ("course id", "course name", "prefix", "number", "prerequisites", "coreq
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """curriculum_id, source_file, value: one row per file. The id is the file's stem or, where files of several folders
-    share one, its whole path without scheme and ending. Only paths are shuffled to find these."""
-    uri = F.col("_metadata.file_path")
-    rows = spark.read.text(paths, wholetext=True).select(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))).alias("source_file"), "value")
+    """curriculum_id, source_file, value: one row per file; value is null where its bytes aren't UTF-8. The id is the file's
+    stem or, where files of several folders share one, its whole path without scheme and ending. Only paths are shuffled to
+    find these."""
+    uri, text = F.col("_metadata.file_path"), F.col("content").cast("string")
+    rows = spark.read.format("binaryFile").load(paths).select(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))).alias("source_file"), F.when(F.is_valid_utf8(text), text).alias("value"))
     stem = F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1)
     shared = rows.select("source_file").groupBy(stem.alias("stem")).agg(F.count("*").alias("files")).filter("files > 1").select("stem")
     whole = F.regexp_extract("source_file", r"^(?:\w+:)?/*(.+?)(?:\.[^./]*)?$", 1)
@@ -89,18 +92,45 @@ def kept_courses(rows: DataFrame) -> DataFrame:
 
 
 def file_errors(texts: DataFrame) -> DataFrame:
-    """curriculum_id, stage, message: texts without name, institution or course section. A bad file is a row here."""
+    """curriculum_id, stage, message: texts that can't be decoded, and texts without name, institution or course section. A bad
+    file is a row here."""
+    lost = texts.filter("value IS NULL").select("curriculum_id", F.lit("read").alias("stage"), F.lit("not UTF-8").alias("message"))
+    texts = texts.filter("value IS NOT NULL")
     meta = metadata(texts)
     at = section_start(F.col("lines"))
     bad = lines_of(texts).filter((at == 0) | (at >= F.size("lines"))).select("curriculum_id", F.lit("sections").alias("stage"), F.lit("no course section").alias("message"))
     no = lambda column, message: meta.filter(F.col(column) == "").select("curriculum_id", F.lit("metadata").alias("stage"), F.lit(message).alias("message"))
-    return no("name", "no curriculum name").union(no("institution", "no institution")).union(bad)
+    return lost.union(no("name", "no curriculum name")).union(no("institution", "no institution")).union(bad)
+
+
+def expected_totals(texts: DataFrame) -> DataFrame:
+    """curriculum_id, total, longest_delay, highest_centrality of finished metric tables, out of the lines before their courses;
+    null where a table doesn't tell."""
+    lines = F.slice("lines", 1, F.greatest(section_start(F.col("lines")).cast("int") - 1, F.lit(0)))
+
+    def told(key: str, place: int) -> Column:
+        """A field of the first line that begins with the key; from the right, as the field before it may hold commas."""
+        fields = F.transform(F.split(F.get(F.filter(lines, lambda x: F.lower(clean_field(F.split(x, ",")[0])) == key), F.lit(0)), ","), clean_field)
+        return F.get(F.filter(fields, lambda x: x != ""), F.lit(place)) if place >= 0 else F.element_at(F.filter(fields, lambda x: x != ""), place)
+
+    return lines_of(texts.filter("value IS NOT NULL")).select("curriculum_id", told("total structural complexity", 1).try_cast("double").alias("total"), told("longest delay", 1).try_cast("double").cast("bigint").alias("longest_delay"), told("highest centrality course", -1).try_cast("double").cast("bigint").alias("highest_centrality"))
+
+
+def read_expected_totals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """curriculum_id, total, longest_delay, highest_centrality of finished metric tables: what they tell before their courses, or
+    else the sum of their courses' complexities; null for the others."""
+    texts = read_texts(spark, paths)
+    summed = expected_metrics(texts).groupBy("curriculum_id").agg(F.sum("complexity").alias("sum"))
+    return expected_totals(texts).join(summed, "curriculum_id", "left").select("curriculum_id", F.coalesce("total", "sum").alias("total"), "longest_delay", "highest_centrality")
 
 
 def read_expected_metrics(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return expected_metrics(read_texts(spark, paths))
+
+
+def expected_metrics(texts: DataFrame) -> DataFrame:
     """curriculum_id, course_id, complexity, blocking, delay, centrality of finished metric tables (quoted fields);
     rows of under 14 fields are left out and what is no number is 0."""
-    texts = read_texts(spark, paths)
     rows = lines_of(texts).select("curriculum_id", F.posexplode("lines").alias("pos", "line"), section_start(F.col("lines")).alias("at")).filter("pos > at")
     fields = F.from_csv("line", ", ".join(f"f{i} string" for i in range(14)), {"quote": '"', "mode": "PERMISSIVE"})
     enough = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ",")) >= 14  # the last field may be empty
@@ -110,8 +140,8 @@ def read_expected_metrics(spark: SparkSession, paths: str | list[str]) -> DataFr
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """(file_name, body): one text per file name, in folders named after it."""
-    documents.select("file_name", "body").repartition("file_name").write.partitionBy("file_name").text(path)
+    """(file_name, body): one text per file name, as the file of that name in the folder."""
+    write_named_files(documents, path)
 
 
 def write_course_metrics(rows: DataFrame, path: str) -> None:

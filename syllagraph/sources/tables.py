@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from syllagraph.operators.ranks import ranked
+
 #: Order of a curriculum's courses; order and line number alone are not unique.
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
 
@@ -14,14 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """curriculum_id, course_id, name, prefix, number, credits, natural_key, course_key. One shuffle, by curriculum."""
+    """curriculum_id, course_id, name, prefix, number, credits, natural_key, course_key. A curriculum's lines are numbered by several tasks if they are many."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
-    own = Window.partitionBy("curriculum_id")
     rows = joined.select(F.col("o_custkey").alias("curriculum_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("prefix"), F.col("p_size").cast("string").alias("number"), (1 + F.col("l_quantity") % 4).cast("double").alias("credits"), *LINE_ORDER)
-    rows = rows.withColumn("course_id", F.row_number().over(own.orderBy(*LINE_ORDER)).cast("bigint")).withColumn("natural_key", F.concat("prefix", "number"))
+    rows = ranked(rows, "curriculum_id", [F.col(c) for c in LINE_ORDER], "course_id").withColumn("natural_key", F.concat("prefix", "number"))
     repeated = F.count("*").over(Window.partitionBy("curriculum_id", "natural_key")) > 1
     key = F.when(repeated, F.concat_ws("_", "natural_key", F.col("course_id").cast("string"))).otherwise(F.col("natural_key"))
     return rows.select("curriculum_id", "course_id", "name", "prefix", "number", "credits", "natural_key", key.alias("course_key"))
@@ -65,11 +66,11 @@ def listed_edges(course: DataFrame) -> DataFrame:
 def requisite_texts(course: DataFrame) -> DataFrame:
     """course columns with prereq_text, coreq_text, strict_text as files write them: ids, blanks, an id that no course has
     and keys in words."""
-    own = Window.partitionBy("curriculum_id").orderBy("course_id")
     same = Window.partitionBy("curriculum_id", "prefix").orderBy("course_id")
     cid = F.col("course_id")
     text = lambda c: c.cast("string")
-    rows = course.withColumn("same_prefix", F.lag("course_id").over(same)).withColumn("words", F.lag(F.concat(F.col("prefix"), F.lit(" "), F.col("number"), F.lit(" (note)"))).over(own))
+    words = course.select("curriculum_id", (F.col("course_id") + 1).alias("course_id"), F.concat(F.col("prefix"), F.lit(" "), F.col("number"), F.lit(" (note)")).alias("words"))
+    rows = course.withColumn("same_prefix", F.lag("course_id").over(same)).join(words, ["curriculum_id", "course_id"], "left")
     prereqs = F.concat_ws("; ", text(F.col("same_prefix")), F.when((cid > 3) & (cid % 5 == 0), text(cid - 3)), F.when(cid % 13 == 0, F.lit("9999")), F.when(cid % 17 == 0, F.col("words")))
     return rows.select(
         *course.columns,

@@ -35,6 +35,23 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The tables of a loop's rounds in one folder, which one scan reads at the end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}"), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """df as the next round's table."""
+        path, self.n, self.schema = os.path.join(self.path, f"round={self.n}"), self.n + 1, df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """The rows of all rounds."""
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """df as a table of this run in buckets by keys, as many as shuffles have partitions: a join on them leaves it in place."""
     spark = df.sparkSession

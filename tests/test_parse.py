@@ -1,12 +1,16 @@
 """Fields, curriculum texts with every kind of fault, and whole batches out of them."""
 
+import json
+import os
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from syllagraph.functions import fields
 from syllagraph.operators import keys, report, summary
 from syllagraph.plans.batch import Batch
-from syllagraph.sources import files
+from syllagraph.sources import files, named_files
 
 
 def value(spark, column, **columns):
@@ -89,8 +93,61 @@ def test_files_and_documents(spark, tmp_path):
     assert [r["file_name"] for r in report] == ["plan one_report.md"] and "# Curriculum Report: Plan" in report[0]["body"] and "| 1 | MA10 -  | 2.0 |" in report[0]["body"]
     text = b.metric_files().collect()[0]["body"].split("\n")
     assert text[0] == "Curriculum,Plan" and text[-1].startswith('1,,"MA","10",') and text[-1].endswith(",1.0,0,1,0")
-    files.write_documents(b.reports(), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() > 10
+    b.write(str(tmp_path / "out"))
+    b.write(str(tmp_path / "out"))  # a second run replaces the files
+    assert sorted(os.listdir(tmp_path / "out")) == ["plan one_report.md", "plan one_w_metrics.csv"]
+    assert (tmp_path / "out" / "plan one_report.md").read_bytes().decode() == report[0]["body"]
+    assert (tmp_path / "out" / "plan one_w_metrics.csv").read_bytes().decode() == "\n".join(text)
+    told = files.read_expected_totals(spark, str(tmp_path / "out" / "plan one_w_metrics.csv")).collect()[0]
+    assert (told["total"], told["longest_delay"], told["highest_centrality"]) == (1.0, 1, 0)
+
+
+def test_only_committed_attempts_leave_files(tmp_path):
+    """A task that runs twice, or fails, leaves one file per name; names that are no file names are refused."""
+    writer = named_files.NamedFilesWriter(str(tmp_path / "out"))
+    rows = [Row(file_name="a.txt", body="one"), Row(file_name="b.txt", body=None)]
+    lost, kept = writer.write(iter([Row(file_name="a.txt", body="half")])), writer.write(iter(rows))
+    writer.commit([None, kept])
+    assert lost.folder != kept.folder and sorted(os.listdir(tmp_path / "out")) == ["a.txt", "b.txt"]
+    assert (tmp_path / "out" / "a.txt").read_text() == "one" and (tmp_path / "out" / "b.txt").read_bytes() == b""
+    again = named_files.NamedFilesWriter(str(tmp_path / "out"))
+    again.write(iter([Row(file_name="c.txt", body="x")]))
+    again.abort([])
+    assert sorted(os.listdir(tmp_path / "out")) == ["a.txt", "b.txt"]
+    for name in ("", "..", "x/y"):
+        with pytest.raises(ValueError):
+            again.write(iter([Row(file_name=name, body="")]))
+
+
+def test_a_file_that_is_not_utf8_is_an_error_row(spark, tmp_path):
+    (tmp_path / "bad.csv").write_bytes(TEXTS["moved"].encode() + b"\xff\xfe")
+    (tmp_path / "fine.csv").write_bytes(TEXTS["moved"].encode())
+    b = Batch.of_files(spark, str(tmp_path))
+    assert [tuple(r) for r in b.errors.collect()] == [("bad", "read", "not UTF-8")]
+    assert {r["curriculum_id"] for r in b.plan.collect()} == {"fine"} and b.reports().count() == b.metric_files().count() == 1
+
+
+def test_the_first_course_of_a_natural_key_is_the_first_in_the_plan(spark):
+    rows = spark.createDataFrame([("g", "9", 1, "CS1", "CS1_9"), ("g", "10", 2, "CS1", "CS1_10")], "curriculum_id string, course_id string, plan_pos long, natural_key string, course_key string")
+    assert [r["course_key"] for r in keys.first_by_natural_key(rows).collect()] == ["CS1_9"]
+    required = spark.createDataFrame([("g", "CS1_10", "prereq", 1, "X")], "curriculum_id string, course_key string, kind string, ord long, required_key string")
+    assert [r["message"] for r in keys.missing_requisites(required, rows).collect()] == ["Course 'CS1': missing prerequisite 'X'"]
+
+
+def test_edges_as_json_and_critical_paths(batch):
+    edges = {r["curriculum_id"]: json.loads(r["edges_json"]) for r in batch.edge_documents().collect()}
+    assert edges["moved"] == [] and [(e["from"], e["to"], e["dashes"]) for e in edges["good"]] == [("CS1_1", "CS2_2", False), ("CS2_2", "CS2_3", False), ("CS1_1", "EE9", False), ("EE9", "CS2_3", True), ("CS2_2", "EE9", True)]
+    paths = {r["curriculum_id"]: (r["length"], r["path"]) for r in batch.critical_paths.collect()}
+    assert paths == {"good": (4, ["CS1_1", "CS2_2", "EE9", "CS2_3"]), "moved": (1, ["MA10"])}
+    assert {r["curriculum_id"]: r["longest_delay"] for r in batch.summary.collect()} == {g: n for g, (n, _) in paths.items()}
+    assert {(r["course_key"], r["required_key"]) for r in batch.warnings.collect()} == {("CS2_2", "CS1"), ("CS2_2", "77")}
+
+
+def test_a_wrong_total_fails_a_curriculum(spark):
+    schema = "curriculum_id string, course_id string, complexity double, delay long, blocking long, centrality long"
+    expected = spark.createDataFrame([("a", "1", 1.0, 1, 0, 5), ("b", "1", 1.0, 1, 0, 5)], schema)
+    totals = report.compare_totals(spark.createDataFrame([("a", 3.0), ("b", 4.0)], "curriculum_id string, total double"), spark.createDataFrame([("a", 3.0), ("b", 9.0)], "curriculum_id string, total double"))
+    assert [tuple(r) for r in report.compare_summary(expected, report.compare_metrics(expected, expected), totals).collect()] == [(2, 1, 1)]
 
 
 def test_files_of_one_stem_stay_apart(spark, tmp_path):

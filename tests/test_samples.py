@@ -30,6 +30,12 @@ def test_metrics_equal_the_known_ones(spark, batch):
     assert batch.errors.collect() == []
 
 
+def test_totals_equal_the_known_ones(spark, batch):
+    totals = files.read_expected_totals(spark, f"{SAMPLES}/correct/*.csv").withColumn("curriculum_id", F.regexp_replace("curriculum_id", "_w_metrics$", ""))
+    assert totals.count() == len(glob.glob(f"{SAMPLES}/correct/*.csv"))
+    assert report.compare_totals(totals, batch.totals()).collect() == []
+
+
 def test_schedules_equal_the_known_ones(batch):
     found = {}
     for r in batch.schedule.join(batch.courses.select("curriculum_id", "course_key", "name"), ["curriculum_id", "course_key"]).orderBy("curriculum_id", "term", "pos").collect():
