@@ -269,9 +269,31 @@ def test_loopy_marginals_with_loops_are_near_the_exact_ones():
 def test_number_kinds_are_the_patterns_own_tests():
     kinds = pii.number_kinds
     assert kinds(["4539", "1488", "0343", "6467"]) == ["card"] * 4 and kinds(["4539", "1488", "0343", "6468"]) == ["nocard"] * 4
-    assert kinds(["10", "0", "0", "255"]) == ["ip"] * 4 and kinds(["10", "0", "0", "256"]) == ["noip"] * 4
-    assert kinds(["1", "017", "555", "7713"]) == ["phone"] * 4 and kinds(["555", "7713"]) == ["local"] * 2 and kinds(["7"]) == ["number"]
+    assert kinds(["10", "0", "0", "255"], ["."] * 3) == ["ip"] * 4 and kinds(["10", "0", "0", "256"], [" . "] * 3) == ["noip"] * 4
+    assert kinds(["1", "017", "555", "7713"]) == ["phone"] * 4 and kinds(["555", "7713"], ["-"]) == ["local"] * 2 and kinds(["7"]) == ["number"]
     assert kinds(["1", "578", "555", "6437", "4918187128635271"]) == ["phone"] * 4 + ["card"]
+    assert kinds(["800", "555", "1000"], [" ", " "]) == ["number"] * 3 and kinds(["800", "555", "1000"], ["-", "-"]) == ["phone"] * 3
+    assert kinds(["12", "34", "56", "78"], [" "] * 3) == ["number"] * 4 and kinds(["12", "345", "678"], [" "] * 2) == ["money"] * 3
+    assert kinds(["2024", "11", "28"], ["-", "-"]) == ["date"] * 3 and kinds(["10", "20", "30"], [":", ":"]) == ["time"] * 3
+    assert kinds(["07700", "900123"], [" "]) == ["phone"] * 2 and kinds(["17700", "900123"], [" "]) == ["number"] * 2
+
+
+#: Forms written apart from the generators that the fields learn from: plain ones, and personal data that no pattern finds.
+PLAIN_FORMS = "2024-11-28T10:20:30Z|2024-11-28 10:20:30|28.11.2024 10:20|11/28/2024|978-3-16-148410-0|ISBN 978 3 16 148410 0|1 000 000 000|12 345 678|1,234,567.89|1.234.567,89|3.14159 26535|10-20-30-40|grid 12 34 56 78|(1999) 123-145|part no. 800 555 1000|v2.10.3|48.8566, 2.3522|page 12-15, 22|SKU 4411-8820-17|20241128T102030|10:20:30.456|Rs. 12,34,567|2:30 pm|9/11|1/2/3/4|7 x 24 x 365|EN 60950-1:2006|RFC 2822|0.001 0.002 0.003|120/80 mmHg|12 000 km|1999-2004|ratio 16:9|Psalm 119:105|$1,299.00|1e-10|UTC+02:00|#1234567|chapter 3.2.1|flight LH 1234|room 4.012|no. 12345678|2^31-1 = 2147483647|EUR 12.345,67|1920x1080|id 8839201|2024/11/28".split("|")
+PERSONAL_FORMS = "(415) 555-0132|415-555-0132|1 (415) 555-0132|001 415 555 0132|anna.meier (at) example (dot) org|anna.meier [at] uni-example [dot] de|192[.]168[.]1[.]20|10 . 20 . 30 . 40|4539.1488.0343.6467|4539/1488/0343/6467|4539:1488:0343:6467|4539  1488  0343  6467".split("|")
+
+
+def test_personal_field_on_forms_it_has_not_learned_from(corpus, personal_field):
+    _, clean, _ = corpus
+
+    def share(form):
+        texts = [(t[: (i := t.find(" ", len(t) // 2) + 1)] + form + " " + t[i:], i) for t in clean[:40]]
+        return sum(any(a < i + len(form) and i < b for _, a, b in base + added) for (_, i), (base, added) in zip(texts, pii.all_spans(personal_field, [t for t, _ in texts]), strict=True)) / len(texts)
+
+    wrong = {f: n for f in PLAIN_FORMS if (n := share(f)) > 0.01}
+    assert not wrong
+    found = {f: share(f) for f in PERSONAL_FORMS}
+    assert sum(found.values()) >= 0.8 * len(found), found
 
 
 def test_free_spans_equal_the_plain_ones():
