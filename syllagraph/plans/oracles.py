@@ -1,5 +1,5 @@
-"""SQL of the registered queries, on the relational tables. Queries of schedules and of texts with grouped paths have
-none; tests hold those against samples and hand-made graphs."""
+"""SQL of the registered queries, on the relational tables. Queries of schedules have none; tests hold those against the rules
+told course by course, samples and hand-made cases."""
 
 from __future__ import annotations
 
@@ -78,6 +78,24 @@ trace(curriculum_id, course_key, pos, head, path, n) AS (
   SELECT curriculum_id, course_key, pos, path, n FROM (SELECT *, row_number() OVER (PARTITION BY curriculum_id, course_key ORDER BY n DESC) AS r FROM trace) AS x WHERE r = 1
 )"""
 
+STEPS = TRACES + """,
+way AS (SELECT curriculum_id, string_split(path, '->') AS path FROM (SELECT *, row_number() OVER (PARTITION BY curriculum_id ORDER BY n DESC, pos) AS q FROM traced) AS x WHERE q = 1),
+asks AS (SELECT curriculum_id, dst AS c, list(DISTINCT src) AS near FROM kedge WHERE kind = 'coreq' GROUP BY curriculum_id, dst),
+asked AS (SELECT curriculum_id, src AS c, list(DISTINCT dst) AS near FROM kedge WHERE kind = 'coreq' GROUP BY curriculum_id, src),
+item AS (
+  SELECT i.curriculum_id, i.pos, i.c, list_concat(coalesce(a.near, []), list_intersect(coalesce(b.near, []), i.path)) AS near
+  FROM (SELECT curriculum_id, path, generate_subscripts(path, 1) AS pos, unnest(path) AS c FROM way) AS i
+  LEFT JOIN asks AS a ON a.curriculum_id = i.curriculum_id AND a.c = i.c LEFT JOIN asked AS b ON b.curriculum_id = i.curriculum_id AND b.c = i.c
+), fold(curriculum_id, pos, seen, steps) AS (
+  SELECT curriculum_id, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM way
+  UNION ALL SELECT curriculum_id, pos, CASE WHEN again THEN seen ELSE list_distinct(list_concat(seen, own)) END,
+    CASE WHEN again THEN steps ELSE list_append(steps, CASE WHEN len(own) = 1 THEN c ELSE '(' || array_to_string(list_transform(own, lambda x: CASE WHEN x = c THEN own[1] WHEN x = own[1] THEN c ELSE x END), '+') || ')' END) END
+  FROM (
+    SELECT f.curriculum_id, i.pos, i.c, f.seen, f.steps, list_contains(f.seen, i.c) AS again, list_sort(list_distinct(list_prepend(i.c, list_filter(i.near, lambda x: NOT list_contains(f.seen, x))))) AS own
+    FROM fold AS f JOIN item AS i ON i.curriculum_id = f.curriculum_id AND i.pos = f.pos + 1
+  ) AS x
+), steps AS (SELECT f.curriculum_id, f.steps FROM fold AS f JOIN way AS w ON w.curriculum_id = f.curriculum_id AND f.pos = len(w.path))"""
+
 ITEMS = """,
 listed AS (
   SELECT curriculum_id, course_id, 'prereq' AS kind, 1 AS pos, CAST(same_prefix AS VARCHAR) AS item FROM spot WHERE same_prefix IS NOT NULL
@@ -254,6 +272,8 @@ SELECT w.curriculum_id, CAST(w.length AS BIGINT) AS length, w.path FROM way AS w
         """SELECT c.curriculum_id, coalesce('[' || edges || ']', '[]') AS edges_json FROM (SELECT DISTINCT curriculum_id FROM course) AS c
 LEFT JOIN (SELECT curriculum_id, string_agg('{"from":"' || src || '","to":"' || dst || '","dashes":' || CASE WHEN kind = 'coreq' THEN 'true' ELSE 'false' END || '}', ',' ORDER BY CASE WHEN kind = 'prereq' THEN 0 ELSE 1 END, dst_pos, ord, src) AS edges FROM kedge GROUP BY curriculum_id) AS e ON e.curriculum_id = c.curriculum_id"""
     ),
+    "longest_delay_path_grouped": sql("SELECT curriculum_id, array_to_string(steps, '->') AS path FROM steps", STEPS),
+    "critical_path_ids": sql("SELECT curriculum_id, step, unnest(string_split(trim(one, '()'), '+')) AS course_key FROM (SELECT curriculum_id, CAST(generate_subscripts(steps, 1) - 1 AS BIGINT) AS step, unnest(steps) AS one FROM steps) AS x", STEPS),
     "chain_priority": sql("SELECT curriculum_id, course_key, priority FROM priority", DELAYS, FLAGS),
     "coreq_groups": sql("SELECT curriculum_id, course_key, group_key FROM grouped", GROUPS),
     "filler_groups": sql("SELECT p.curriculum_id, group_key, count(*) AS members FROM priority AS p JOIN grouped AS g ON g.curriculum_id = p.curriculum_id AND g.course_key = p.course_key GROUP BY p.curriculum_id, group_key HAVING bool_and(NOT has_prereq AND NOT has_dependent)", DELAYS, FLAGS, GROUPS),
@@ -264,3 +284,16 @@ LEFT JOIN (SELECT curriculum_id, string_agg('    ' || replace(src, '#', '_') ||
         METRICS,
     ),
 }
+
+SQL["export_text"] = sql(
+    f"""SELECT k.curriculum_id, concat_ws(chr(10), 'Curriculum,' || k.name, 'Institution,' || k.institution, 'Degree Type,"' || degree_type || '"', 'System Type,' || system_type, 'CIP,"' || cip_code || '"',
+  'Total Structural Complexity,' || printf('%.1f', t.scaled_total), 'Longest Delay,' || s.longest_delay || ',' || array_to_string(g.steps, '->'), 'Highest Centrality Course,"' || s.highest_centrality_course || '",' || s.highest_centrality,
+  'Courses', '{HEADER},Complexity,Blocking,Delay,Centrality', e.lines) AS body
+FROM curriculum AS k JOIN steps AS g ON g.curriculum_id = k.curriculum_id JOIN ({SUMMARY}) AS s ON s.curriculum_id = k.curriculum_id
+JOIN (SELECT m.curriculum_id, round(sum({SCALED}), 1) AS scaled_total FROM metrics AS m JOIN curriculum AS c ON c.curriculum_id = m.curriculum_id GROUP BY m.curriculum_id) AS t ON t.curriculum_id = k.curriculum_id
+JOIN (SELECT curriculum_id, string_agg(concat_ws(',', course_id, name, '"' || prefix || '"', '"' || number || '"', '"' || prereq_ids || '"', '"' || coreq_ids || '"', '"' || strict_ids || '"', credits, '"' || institution || '"', '"' || canonical_name || '"', complexity, blocking, delay, centrality), chr(10) ORDER BY place) AS lines
+  FROM ({SQL["export_rows"][SQL["export_rows"].rindex("SELECT m.curriculum_id, m.course_id AS place") :]}) AS x GROUP BY curriculum_id) AS e ON e.curriculum_id = k.curriculum_id""",
+    METRICS,
+    ITEMS,
+    STEPS.removeprefix(PATHS),
+)
