@@ -35,11 +35,14 @@ TRAIN_DOCUMENTS = 8000
 TRAIN_WINDOWS = 3000
 SHARES = {0: 4, 1: 2, 2: 2, 3: 2, 4: 2, 5: 9}
 #: Look-alikes that the field isn't trained on and that set how sure it must be: at most this share of them may be marked.
-HELD_BACK, FALSE_SHARE, LEAST_BELIEF = 4000, 0.0005, 0.95
+HELD_BACK, FALSE_SHARE, LEAST_BELIEF = 4000, 0.0005, 0.8
 #: Rewritings and look-alikes made of each find of the sample; pairs of linked tokens that the potentials are fitted on.
 REWRITTEN, ALIKE = 4, 10
 TRAIN_PAIRS = 3000
 
+#: Characters whose tokens are held together.
+SPAN_CHARS = 1 << 19
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds of links between tokens: the same, alike, the same word of a find, the last digits of a number of a find.
 SKIPS = 4
@@ -530,9 +533,17 @@ def tagged_spans(model: crf.Field, texts: list[str], bases: list[list[tuple[str,
 
 
 def all_spans(model: crf.Field, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """The patterns' spans and the added ones of each text; an added span holds a letter or digit."""
-    bases = [base_spans(t) for t in texts]
-    return [(base, [s for s in crf.free_of(added, base) if any(map(str.isalnum, text[s[1] : s[2]]))]) for text, base, added in zip(texts, bases, tagged_spans(model, texts, bases), strict=True)]
+    """The patterns' spans and the added ones of each text; an added span holds a letter or digit. Texts are tagged together
+    up to SPAN_CHARS characters, so that the tokens of few are held at a time."""
+    out, lo, held = [], 0, 0
+    for hi, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= SPAN_CHARS or hi == len(texts):
+            part = texts[lo:hi]
+            bases = [base_spans(t) for t in part]
+            out += [(base, [s for s in crf.free_of(added, base) if any(map(str.isalnum, t[s[1] : s[2]]))]) for t, base, added in zip(part, bases, tagged_spans(model, part, bases), strict=True)]
+            lo, held = hi, 0
+    return out
 
 
 def find_personal_data(docs: DataFrame, model: crf.Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
