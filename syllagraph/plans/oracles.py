@@ -1,8 +1,9 @@
-"""SQL of the registered queries, on the relational tables. Queries of schedules have none; tests hold those against the rules
-told course by course, samples and hand-made cases."""
+"""SQL of the registered queries, on the relational tables."""
 
 from __future__ import annotations
 
+from syllagraph.operators.report import GRAPH_NOTE
+
 BASE = """
 course AS (
   SELECT curriculum_id, course_id, name, prefix, number, credits, prefix || number AS natural_key,
@@ -142,6 +143,64 @@ joined(curriculum_id, a, b) AS (
   UNION SELECT j.curriculum_id, j.a, t.b FROM joined AS j JOIN tie AS t ON t.curriculum_id = j.curriculum_id AND t.a = j.b
 ), grouped AS (SELECT curriculum_id, a AS course_key, min(b) AS group_key FROM joined GROUP BY curriculum_id, a)"""
 
+#: Schedules, told one step a row: the order of groups, their terms, then the moves of light courses. Groups are numbered with
+#: the chained ones first, by rank; lists hold a curriculum's state by group number or term.
+SCHEDULE = DELAYS + FLAGS + GROUPS + """,
+grp AS (
+  SELECT *, row_number() OVER (PARTITION BY curriculum_id ORDER BY chained DESC, CASE WHEN chained THEN -prio ELSE 0 END, group_key) AS g FROM (
+    SELECT p.curriculum_id, group_key, max(priority) AS prio, sum(p.credits) AS credits, bool_or(has_prereq OR has_dependent) AS chained, bool_and(delay <= 1) AS light
+    FROM priority AS p JOIN grouped AS o ON o.curriculum_id = p.curriculum_id AND o.course_key = p.course_key GROUP BY p.curriculum_id, group_key) AS x
+), need AS (
+  SELECT curriculum_id, g, list(DISTINCT p) AS needs FROM (
+    SELECT e.curriculum_id, b.g, a.g AS p FROM kedge AS e JOIN grouped AS x ON x.curriculum_id = e.curriculum_id AND x.course_key = e.src JOIN grouped AS y ON y.curriculum_id = e.curriculum_id AND y.course_key = e.dst
+    JOIN grp AS a ON a.curriculum_id = e.curriculum_id AND a.group_key = x.group_key JOIN grp AS b ON b.curriculum_id = e.curriculum_id AND b.group_key = y.group_key WHERE e.kind = 'prereq' AND a.g <> b.g) AS z GROUP BY curriculum_id, g
+), job AS (
+  SELECT r.curriculum_id, list(r.credits ORDER BY r.g) AS c, list(coalesce(n.needs, []) ORDER BY r.g) AS needs, list(r.light ORDER BY r.g) AS light, count(*) FILTER (r.chained) AS k, count(*) AS m,
+    any_value(CASE WHEN system_type = 'quarter' THEN 12 ELSE 8 END) AS terms, 15.0::DOUBLE AS target, any_value(CASE WHEN system_type = 'quarter' THEN 19.0 ELSE 21.0 END)::DOUBLE AS most
+  FROM grp AS r JOIN curriculum AS u ON u.curriculum_id = r.curriculum_id LEFT JOIN need AS n ON n.curriculum_id = r.curriculum_id AND n.g = r.g GROUP BY r.curriculum_id
+), kahn(curriculum_id, done) AS (
+  SELECT curriculum_id, CAST([] AS BIGINT[]) FROM job
+  UNION ALL SELECT curriculum_id, list_append(done, free) FROM (
+    SELECT q.curriculum_id, q.done, list_filter(range(1, j.k + 1), lambda i: NOT list_contains(q.done, i) AND len(list_filter(j.needs[i], lambda p: NOT list_contains(q.done, p))) = 0)[1] AS free
+    FROM kahn AS q JOIN job AS j ON j.curriculum_id = q.curriculum_id) AS x WHERE free IS NOT NULL
+), line AS (
+  SELECT j.*, list_concat(CASE WHEN len(q.done) = j.k THEN q.done ELSE range(1, j.k + 1) END, range(j.k + 1, j.m + 1)) AS line
+  FROM job AS j JOIN (SELECT curriculum_id, arg_max(done, len(done)) AS done FROM kahn GROUP BY curriculum_id) AS q ON q.curriculum_id = j.curriculum_id
+), berth(curriculum_id, n, tm, held) AS (
+  SELECT curriculum_id, 0, list_transform(range(0, m), lambda i: CAST(0 AS BIGINT)), list_transform(range(0, terms), lambda i: 0.0::DOUBLE) FROM line
+  UNION ALL SELECT curriculum_id, n, list_transform(tm, lambda v, i: CASE WHEN i = g THEN t ELSE v END), list_transform(range(1, greatest(len(held), t) + 1), lambda i: coalesce(held[i], 0.0) + CASE WHEN i = t THEN cr ELSE 0.0 END)
+  FROM (
+    SELECT *, CASE WHEN g <= k THEN coalesce(
+        list_filter(range(start, len(held) + 1), lambda t: held[t] + cr <= target)[1], list_filter(range(start, len(held) + 1), lambda t: held[t] + cr <= most)[1], len(held) + 1)
+      ELSE coalesce(list_sort(list_transform(list_filter(range(1, len(held) + 1), lambda t: held[t] + cr <= most), lambda t: {'l': held[t], 't': t}))[1].t, len(held) + 1) END AS t
+    FROM (
+      SELECT s.curriculum_id, s.n + 1 AS n, s.tm, l.k, l.target, l.most, l.line[s.n + 1] AS g, l.c[l.line[s.n + 1]] AS cr, 1 + coalesce(list_max(list_transform(l.needs[l.line[s.n + 1]], lambda p: s.tm[p])), 0) AS start,
+        CASE WHEN l.line[s.n + 1] <= l.k AND len(s.held) < 1 + coalesce(list_max(list_transform(l.needs[l.line[s.n + 1]], lambda p: s.tm[p])), 0) THEN list_resize(s.held, 1 + list_max(list_transform(l.needs[l.line[s.n + 1]], lambda p: s.tm[p])), 0.0::DOUBLE) ELSE s.held END AS held
+      FROM berth AS s JOIN line AS l ON l.curriculum_id = s.curriculum_id WHERE s.n < l.m) AS x) AS y
+), placed AS (
+  SELECT s.curriculum_id, s.tm, s.held, list_transform(range(1, l.m + 1), lambda g: list_position(l.line, g)) AS seq, l.m, l.c, l.light, l.target FROM berth AS s JOIN line AS l ON l.curriculum_id = s.curriculum_id AND s.n = l.m
+), move(curriculum_id, n, pass, i, j, heavy, easy, own, tm, held, seq, top) AS (
+  SELECT curriculum_id, 0, 0, 1, 1, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT[]), tm, held, seq, m FROM placed
+  UNION ALL SELECT curriculum_id, n + 1,
+    CASE WHEN turn THEN pass + 1 ELSE pass END, CASE WHEN turn THEN 1 WHEN opens OR tries THEN i ELSE i + 1 END, CASE WHEN tries THEN j + 1 ELSE 1 END,
+    CASE WHEN turn THEN list_filter(range(1, len(held) + 1), lambda t: held[t] > target + 3) ELSE heavy END,
+    CASE WHEN turn THEN list_filter(range(1, len(held) + 1), lambda t: held[t] < target - 3 AND list_contains(tm, t)) ELSE easy END,
+    CASE WHEN opens THEN list_transform(list_sort(list_transform(list_filter(range(1, m + 1), lambda g: light[g] AND tm[g] = heavy[i]), lambda g: {'s': seq[g], 'g': g})), lambda x: x.g) WHEN tries THEN own END,
+    CASE WHEN goes IS NULL THEN tm ELSE list_transform(tm, lambda v, g: CASE WHEN g = own[j] THEN goes ELSE v END) END,
+    CASE WHEN goes IS NULL THEN held ELSE list_transform(held, lambda v, t: v + CASE WHEN t = goes THEN c[own[j]] WHEN t = heavy[i] THEN -c[own[j]] ELSE 0.0 END) END,
+    CASE WHEN goes IS NULL THEN seq ELSE list_transform(seq, lambda v, g: CASE WHEN g = own[j] THEN top + 1 ELSE v END) END, CASE WHEN goes IS NULL THEN top ELSE top + 1 END
+  FROM (
+    SELECT *, CASE WHEN tries THEN list_filter(easy, lambda u: u <> heavy[i] AND held[u] + c[own[j]] <= target + 1 AND held[heavy[i]] - c[own[j]] >= target - 3)[1] END AS goes
+    FROM (
+      SELECT v.*, p.m, p.c, p.light, p.target, i > len(heavy) OR len(easy) = 0 AS turn, i <= len(heavy) AND len(easy) > 0 AND own IS NULL AS opens, i <= len(heavy) AND len(easy) > 0 AND own IS NOT NULL AND j <= len(own) AS tries
+      FROM move AS v JOIN placed AS p ON p.curriculum_id = v.curriculum_id) AS x
+    WHERE NOT (pass = 3 AND turn)) AS y
+), settled AS (SELECT curriculum_id, arg_max(tm, n) AS tm, arg_max(seq, n) AS seq FROM move GROUP BY curriculum_id),
+schedule AS (
+  SELECT o.curriculum_id, CAST(s.tm[r.g] AS INTEGER) AS term, CAST(row_number() OVER (PARTITION BY o.curriculum_id, s.tm[r.g] ORDER BY s.seq[r.g], o.course_key) AS INTEGER) AS pos, o.course_key, p.credits, o.group_key
+  FROM grouped AS o JOIN grp AS r ON r.curriculum_id = o.curriculum_id AND r.group_key = o.group_key JOIN settled AS s ON s.curriculum_id = o.curriculum_id JOIN priority AS p ON p.curriculum_id = o.curriculum_id AND p.course_key = o.course_key
+)"""
+
 
 def sql(select: str, *parts: str) -> str:
     return f"WITH RECURSIVE {BASE}{''.join(parts)}\n{select}"
@@ -297,3 +356,55 @@ JOIN (SELECT curriculum_id, string_agg(concat_ws(',', course_id, name, '"' || pr
     ITEMS,
     STEPS.removeprefix(PATHS),
 )
+
+#: Everything that reports are made of.
+REPORT = METRICS + STEPS.removeprefix(PATHS) + SCHEDULE.removeprefix(DELAYS) + f""",
+header AS (
+  SELECT k.curriculum_id, k.name AS plan_name, institution, degree_type || ' ' || k.name AS degree_name, system_type, CAST(ceil(u.used / CASE WHEN system_type = 'quarter' THEN 3.0 ELSE 2.0 END) AS BIGINT) AS years, cip_code,
+    printf('%.1f', t.credits) AS total_credits, t.n AS course_count, s.total_complexity, s.longest_delay, s.longest_delay_course, s.highest_centrality, s.highest_centrality_course, array_to_string(g.steps, ' → ') AS delay_path
+  FROM curriculum AS k JOIN (SELECT curriculum_id, sum(credits) AS credits, count(*) AS n FROM course GROUP BY curriculum_id) AS t ON t.curriculum_id = k.curriculum_id JOIN ({SUMMARY}) AS s ON s.curriculum_id = k.curriculum_id
+  JOIN steps AS g ON g.curriculum_id = k.curriculum_id JOIN (SELECT curriculum_id, count(DISTINCT term) AS used FROM schedule GROUP BY curriculum_id) AS u ON u.curriculum_id = k.curriculum_id
+), term_row AS (
+  SELECT s.curriculum_id, s.term, string_agg(s.course_key || ' - ' || c.name, ', ' ORDER BY s.pos) AS courses, printf('%.1f', sum(s.credits)) AS credits FROM schedule AS s JOIN course AS c ON c.curriculum_id = s.curriculum_id AND c.course_key = s.course_key GROUP BY s.curriculum_id, s.term
+), span AS (
+  SELECT k.curriculum_id, CASE WHEN system_type = 'quarter' THEN 'Quarter' ELSE 'Semester' END AS label, greatest(max(term), CASE WHEN system_type = 'quarter' THEN 12 ELSE 8 END) AS terms
+  FROM curriculum AS k JOIN schedule AS s ON s.curriculum_id = k.curriculum_id GROUP BY k.curriculum_id, system_type
+), node AS (
+  SELECT curriculum_id, term, string_agg('        ' || replace(course_key, '#', '_') || '["' || label || '"]', chr(10) ORDER BY pos) AS nodes FROM (
+    SELECT s.curriculum_id, s.term, s.pos, m.course_key, {LABEL.replace("course_key", "m.course_key")} AS label FROM schedule AS s JOIN metrics AS m ON m.curriculum_id = s.curriculum_id AND m.course_key = s.course_key) AS x GROUP BY curriculum_id, term
+), diagram AS (
+  SELECT b.curriculum_id, '```mermaid' || chr(10) || 'flowchart LR' || chr(10) || blocks || list_aggregate(list_transform(range(1, b.terms), lambda i: '    term' || i || ' ~~~ term' || (i + 1) || chr(10)), 'string_agg', '') || chr(10) || coalesce(links || chr(10), '') || '```' || chr(10) AS body
+  FROM (
+    SELECT e.curriculum_id, any_value(e.terms) AS terms, string_agg('    subgraph term' || e.term || '["' || e.label || ' ' || e.term || '"]' || chr(10) || coalesce(n.nodes, '        empty' || e.term || '[" "]' || chr(10) || '        style empty' || e.term || ' fill:none,stroke:none') || chr(10) || '    end' || chr(10) || chr(10), '' ORDER BY e.term) AS blocks
+    FROM (SELECT curriculum_id, label, terms, unnest(range(1, terms + 1)) AS term FROM span) AS e LEFT JOIN node AS n ON n.curriculum_id = e.curriculum_id AND n.term = e.term GROUP BY e.curriculum_id) AS b
+  LEFT JOIN (SELECT curriculum_id, string_agg('    ' || replace(src, '#', '_') || CASE WHEN kind = 'prereq' THEN ' --> ' ELSE ' -.-> ' END || replace(dst, '#', '_'), chr(10) ORDER BY CASE WHEN kind = 'prereq' THEN 0 ELSE 1 END, dst_pos, ord, src) AS links FROM kedge GROUP BY curriculum_id) AS l ON l.curriculum_id = b.curriculum_id
+)"""
+
+SQL |= {
+    "schedule_violations": sql(
+        """SELECT e.curriculum_id, 'prerequisite not earlier' AS problem, CASE WHEN a.group_key = b.group_key THEN 'own group' ELSE 'order of groups' END AS reason, e.dst AS course_key
+FROM kedge AS e JOIN schedule AS a ON a.curriculum_id = e.curriculum_id AND a.course_key = e.src JOIN schedule AS b ON b.curriculum_id = e.curriculum_id AND b.course_key = e.dst WHERE e.kind = 'prereq' AND a.term >= b.term
+UNION ALL SELECT e.curriculum_id, 'corequisite in another term', 'moved', e.dst FROM kedge AS e JOIN schedule AS a ON a.curriculum_id = e.curriculum_id AND a.course_key = e.src JOIN schedule AS b ON b.curriculum_id = e.curriculum_id AND b.course_key = e.dst WHERE e.kind = 'coreq' AND a.term <> b.term
+UNION ALL SELECT s.curriculum_id, 'term too heavy', 'load', '' FROM schedule AS s JOIN curriculum AS k ON k.curriculum_id = s.curriculum_id GROUP BY s.curriculum_id, s.term, system_type
+HAVING sum(s.credits) > CASE WHEN system_type = 'quarter' THEN 19 ELSE 21 END AND count(DISTINCT s.group_key) > 1""",
+        SCHEDULE,
+    ),
+    "report_header": sql("SELECT * FROM header", REPORT),
+    "mermaid_terms": sql("SELECT curriculum_id, body FROM diagram", REPORT),
+    "report_markdown": sql(
+        f"""SELECT h.curriculum_id, h.curriculum_id || '_report.md' AS file_name, concat_ws(chr(10), '# Curriculum Report: ' || plan_name, '', '## Overview', '', '| Property | Value |', '|----------|-------|',
+  '| **Institution** | ' || institution || ' |', '| **Degree** | ' || degree_name || ' |', '| **System** | ' || system_type || ' |', '| **Years** | ' || years || ' |', '| **CIP Code** | ' || cip_code || ' |', '| **Total Credits** | ' || total_credits || ' |', '| **Total Courses** | ' || course_count || ' |',
+  '', '## Complexity Metrics Summary', '', '| Metric | Value | Details |', '|--------|-------|---------|', '| **Total Structural Complexity** | ' || total_complexity || ' | Sum of all course complexities |',
+  '| **Longest Delay** | ' || longest_delay || ' | Course: ' || longest_delay_course || ' |', '| **Highest Centrality** | ' || highest_centrality || ' | Course: ' || highest_centrality_course || ' |',
+  '', '### Longest Delay Path (Critical Path)', '', delay_path, '', '---', '', '## Term-by-Term Schedule', '', '| ' || s.label || ' | Courses | Credits |', '|---|---|---|', t.rows, '', '---', '', '## Course Metrics', '',
+  '| Course | Name | Credits | Complexity | Blocking | Delay | Centrality |', '|---|---|---|---|---|---|---|', m.rows, '', '---', '', '## Curriculum Graph', '', $note$
+{GRAPH_NOTE}$note$[2:], d.body) AS body
+FROM header AS h JOIN span AS s ON s.curriculum_id = h.curriculum_id JOIN diagram AS d ON d.curriculum_id = h.curriculum_id
+JOIN (SELECT curriculum_id, string_agg('| ' || term || ' | ' || courses || ' | ' || credits || ' |', chr(10) ORDER BY term) AS rows FROM term_row GROUP BY curriculum_id) AS t ON t.curriculum_id = h.curriculum_id
+JOIN (SELECT curriculum_id, string_agg('| ' || concat_ws(' | ', course_key, name, printf('%.1f', credits), complexity, blocking, delay, centrality) || ' |', chr(10) ORDER BY complexity DESC, course_id) AS rows FROM metrics GROUP BY curriculum_id) AS m ON m.curriculum_id = h.curriculum_id""",
+        REPORT,
+    ),
+    "term_schedule": sql("SELECT curriculum_id, term, pos, course_key, credits FROM schedule", SCHEDULE),
+    "term_totals": sql("SELECT curriculum_id, term, sum(credits) AS term_credits, count(*) AS courses FROM schedule GROUP BY curriculum_id, term", SCHEDULE),
+    "report_terms": sql("SELECT s.curriculum_id, CAST(s.term AS BIGINT) AS term, string_agg(s.course_key || ' - ' || c.name, ', ' ORDER BY s.pos) AS courses, printf('%.1f', sum(s.credits)) AS credits FROM schedule AS s JOIN course AS c ON c.curriculum_id = s.curriculum_id AND c.course_key = s.course_key GROUP BY s.curriculum_id, s.term", SCHEDULE),
+}
