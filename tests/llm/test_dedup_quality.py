@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from syllagraph.llm import components, exact_dedup, near_join, quality_gbt, quality_rules
+from syllagraph.llm import components, exact_dedup, near_join, pii, quality_gbt, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
