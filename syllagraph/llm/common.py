@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from syllagraph import storage
 #: Texts handled together inside one task; a batch ends when either bound is reached.
 BATCH_ROWS = 2000
 BATCH_CHARS = 4_000_000
+#: Bytes of an Arrow batch of texts, of which an executor and its Python workers hold several at a time.
+ARROW_BYTES = 2 << 20
 
 #: Word bound of the contracts: everything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +32,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session end at ARROW_BYTES (a longer row stands alone), as lazy results are only
+    planned when they are read; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(name).lower()).groups()
+    now = int(size) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def slices(lengths: Iterable[int]) -> Iterator[tuple[int, int]]:
     """(from, to) of consecutive rows of these lengths, within both bounds of a batch (a longer row stands alone)."""
     lo = held = i = 0

@@ -26,7 +26,7 @@ from . import common
 #: Pieces that one group packs, on average.
 GROUP_PIECES = 8192
 #: Distinct words, and letter runs of words, whose ids are remembered in one Python worker, and the longest of them.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
 #: Letter runs that the library encodes in one call, joined by blanks.
 JOINED = 256
@@ -168,6 +168,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, doc_tokens, crcs (one for each cut of `capacity` ids), and a salt for the random groups."""
+    common.bounded_batches(docs.sparkSession)
 
     def make():
         encoder, end, step, seen = word_ids(vocabulary), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity, [0]

@@ -586,6 +586,7 @@ def redact_personal_data(docs: DataFrame, model: crf.Field | None = None, id_col
     """All rows and columns of docs, with the personal data of the text replaced: of spans that overlap, the first by start and
     kind names what stands there. A null text stays null, an empty one empty; repeated rows are treated alike; an empty
     table stays empty."""
+    common.bounded_batches(docs.sparkSession)
     field = model or train_field(docs, id_col, text_col)
 
     @F.pandas_udf("string")
