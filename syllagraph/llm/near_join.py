@@ -253,6 +253,7 @@ def verified(groups: DataFrame, n: int, threshold: float) -> DataFrame:
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block_nodes: int = BLOCK_NODES, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, h, class_id, class_h, n_links of every row; h is the hash of the text, class_id and class_h those of the
     class's first row by doc_id and h (a null doc_id first)."""
+    common.bounded_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     signed = signatures(docs, n, bands, rows, id_col, text_col)
     some = signed.filter("key IS NOT NULL")
@@ -268,7 +269,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     known = own.join(placed, own["doc_id"].eqNullSafe(placed["doc_id"]) & (own["h"] == placed["h"])).select("part", "key", "copies", "blocks", "block", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     meets = known.withColumn("other", other).select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "key", "copies", "text")
-    links = common.saved(verified(meets, n, threshold), "near-links")
+    # block pairs that tied a node to the same root are one row, and small tables few files
+    decided = verified(meets, n, threshold).groupBy("key", "root", "split").agg(F.sum("links").alias("links"))
+    links = common.saved(decided, "near-links")
 
     whole = links.filter(~F.col("split")).select("key", "root")
     across = links.filter("split AND key <> root").select(F.col("root").alias("a"), F.col("key").alias("b"))

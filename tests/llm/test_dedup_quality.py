@@ -5,11 +5,13 @@ import hashlib
 import re
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from syllagraph.llm import components, exact_dedup, near_join, pii, quality_gbt, quality_rules
+from syllagraph.llm import components, exact_dedup, near_join, packing, pii, quality_gbt, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -129,6 +131,40 @@ def test_jaccard_join_of_blocks(spark, bounds):
     assert near_join.jaccard_join(frame(spark, []), ).count() == 0
 
 
+@pytest.mark.parametrize("build", [near_join.jaccard_join, lambda d: pii.redact_personal_data(d, model=object()), lambda d: packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json"))])
+@pytest.mark.parametrize("bound", ["64m", "67108864b", "1m"])
+def test_arrow_batches_are_bounded(spark, build, bound):
+    """What an operator on texts has planned gets them in small batches: at most one row beyond the bound; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, bound)
+        build(frame(spark, []))
+        rows = spark.range(0, 160, 1, 1).select("id", F.repeat(F.lit("x"), 50_000).alias("text"))
+        sizes = rows.mapInArrow(lambda stream: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in stream), "n long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r["n"] for r in sizes) == 160
+    assert max(r["n"] for r in sizes) <= (2 << 20 if bound != "1m" else 1 << 20) // 50_000 + 1
+
+
+def test_links_of_block_pairs_are_summed(spark, monkeypatch):
+    """Of a group that is cut into blocks, the saved links have one row for each node and root, not one for each block pair."""
+    kept, saved = {}, near_join.common.saved
+
+    def keep(df, name, by=None):
+        kept[name] = saved(df, name, by)
+        return kept[name]
+
+    monkeypatch.setattr(near_join.common, "saved", keep)
+    rows = [(i, " ".join([f"w{k}" for k in range(119)] + [f"x{i}"])) for i in range(40)]
+    found = near_join.jaccard_classes(frame(spark, rows), block_nodes=7).collect()
+    assert {(r["class_id"], r["n_links"]) for r in found} == {(0, 39)}
+    links = kept["near-links"]
+    assert links.filter("split").count() > 0
+    assert links.count() == links.select("key", "root", "split").distinct().count()
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = near_join.bands_for(threshold, 0.999, 64)
