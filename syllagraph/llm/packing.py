@@ -18,14 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .token_count import byte_letters
 
 #: Pieces that one group packs, on average.
 GROUP_PIECES = 8192
-#: Distinct words, and letter runs of words, whose ids are remembered in one Python worker, and the longest of them.
+#: Distinct words of texts that are not plain, and letter runs of these words, whose ids are remembered in one Python worker, and
+#: the longest of them.
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
 #: Letter runs that the library encodes in one call, joined by blanks.
@@ -33,17 +36,54 @@ JOINED = 256
 
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = re.compile(f"[{SPACE}]+")
 #: A letter run between ASCII marks other than the apostrophe: the vocabulary always cuts between these. (In lower case,
 #: U+0130 ends in a mark.)
 MARKED = re.compile(r"""([!-&(-/:-@\[-`{-~]*)([^\W\d_]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([!-&(-/:-@\[-`{-~]*)""")
 #: How a vocabulary cuts texts so that words and their parts can be encoded one by one.
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The rules of a vocabulary whose plain texts tiktoken can encode.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: Plain texts: printable ASCII, composed Latin letters but U+0130, dashes and quotation marks. NFC leaves them as they are, and
+#: each character has one in lower case, whatever stands beside it.
+PLAIN = re.compile(rf"[!-~\u00ab\u00bb\u00c0-\u012f\u0131-\u017f\u2010-\u2027{SPACE}]*")
+#: SPLIT for plain texts in lower case, and the longest part that tiktoken encodes.
+PLAIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f{SPACE}]+")
+PART_CHARS = 255
+
+
+def part_encoder(spec: dict) -> tiktoken.Encoding | None:
+    """tiktoken's encoder of parts that end in a blank, which stands for the end of a word; None for other vocabularies.
+
+    tiktoken merges two neighbours whenever they make an entry, the library only the pair that the entry's merge names. Both
+    give the same ids if these follow the merges and each entry, merged alone by the library, becomes itself: before an entry
+    is made nothing crosses its ends, so it is made as it is made alone.
+    """
+    from tokenizers import Tokenizer, models
+
+    vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")} != MODEL or any(t["normalized"] for t in spec["added_tokens"]):
+        return None
+    end, letters = MODEL["end_of_word_suffix"], byte_letters()
+    blank = {t: t[: -len(end)] + " " if t.endswith(end) else t for t in vocab}
+    if sorted(vocab, key=vocab.get) != [*sorted(letters, key=lambda x: vocab.get(x, -1)), *sorted((x + end for x in letters), key=lambda x: vocab.get(x, -1)), *(a + b for a, b in merges)]:
+        return None
+    entries = [blank[t] for t in sorted(vocab, key=vocab.get)]
+    numbers = {t: i for i, t in enumerate([*entries, " "])}
+    alone = Tokenizer(models.BPE(vocab=numbers, merges=[*((x, " ") for x in letters), *((blank[a], blank[b]) for a, b in merges)]))
+    if any(e.ids != [i] for i, e in enumerate(alone.encode_batch_fast(entries, add_special_tokens=False))):
+        return None
+    byte = {x: bytes([b]) for b, x in enumerate(letters)} | {" ": b" "}
+    return tiktoken.Encoding("parts", pat_str="[^ ]+ ", mergeable_ranks={b"".join(map(byte.get, t)): vocab[k] for k, t in blank.items()}, special_tokens={})
 
 
 class WordIds:
-    """Texts' ids as little-endian unsigned 32-bit bytes; the library encodes each distinct letter run once.
+    """Texts' ids as little-endian unsigned 32-bit bytes: plain texts by tiktoken, of others the library encodes each distinct
+    letter run once.
 
     A vocabulary of the known kind drops white space and none of its rules looks across it, so words are encoded one by
     one; texts of any other vocabulary go through the library whole.
@@ -61,6 +101,7 @@ class WordIds:
         own = lambda kind, name: [x for x in ((spec[kind] or {}).get(name) or [])]
         cuts = [p.get("pattern", {}).get("Regex") for p in own("pre_tokenizer", "pretokenizers")]
         self.by_word = tuple(x["type"] for x in own("normalizer", "normalizers")) == NORMALIZERS and cuts[:1] == [SPLIT] and spec["model"].get("end_of_word_suffix") == "</w>" and all((m := MARKED.fullmatch(x)) and m[1] and m[3] for x in self.special)
+        self.parts = part_encoder(spec) if self.by_word else None
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -109,19 +150,30 @@ class WordIds:
             known[w] = ids + known[after] if after else ids
         return [x for part in (new, whole, [c[0] for c in cut]) for x in part if len(x) > CACHE_CHARS]
 
+    def plain(self, text: str) -> bytes | None:
+        """Ids of a plain text without special strings and long parts; None for any other."""
+        if self.parts is None or not PLAIN.fullmatch(text) or any(x in text for x in self.special):
+            return None
+        parts = PLAIN_PARTS.findall(text.lower())
+        if len(max(parts, key=len, default="")) > PART_CHARS:
+            return None
+        return array("I", self.parts.encode_ordinary(" ".join([*parts, ""]))).tobytes()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.library(texts)
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        split = [SPACES.split(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
+        out = [self.plain(t) for t in texts]
+        split = {i: SPACES.split(t) if any(c in t for c in SEPARATORS) else t.split() for i, t in enumerate(texts) if out[i] is None}
         words: set[str] = set()
-        for own in split:
+        for own in split.values():
             words.update(own)
         words.difference_update(known)
-        long = self.learn(words)
-        out = [b"".join(map(known.__getitem__, own)) for own in split]
+        long = self.learn(words) if words else []
+        for i, own in split.items():
+            out[i] = b"".join(map(known.__getitem__, own))
         for w in long:
             known.pop(w, None)
         return out

@@ -1,5 +1,6 @@
 """Token counts, piece ids and packing against the tokenizer libraries."""
 
+import json
 import random
 import zlib
 
@@ -143,6 +144,51 @@ def test_word_ids_of_words_with_marks():
         assert x == np.array(e.ids, dtype="<u4").tobytes(), t
 
 
+def as_the_library(own, path, texts):
+    lib = Tokenizer.from_file(path)
+    for t, x, e in zip(texts, own.encode_all(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert x == np.array(e.ids, dtype="<u4").tobytes(), t
+
+
+def test_plain_texts_need_no_library_and_no_memory(sf_dir):
+    import pyarrow.parquet as pq
+
+    own = packing.WordIds(WORD)
+    own.tokenizer = None
+    texts = [t for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist() if t and packing.PLAIN.fullmatch(t) and not any(x in t for x in own.special)]
+    as_the_library(own, WORD, [*texts, "don't «I'LL» we’ve\u2026 O'Neill's 3.14 ''s 's'S \xa0 \u3000x ", "Ÿſŉ ×÷", "<|ENDOFTEXT|> <|StartOfText|>"])
+    assert texts and not own.known
+
+
+def test_plain_characters_equal_the_library():
+    own = packing.WordIds(WORD)
+    chars = [c for c in map(chr, range(1, 0x3001)) if packing.PLAIN.fullmatch(c)]
+    as_the_library(own, WORD, [x for c in chars for x in (c, c * 3, f"a{c}b", f"{c}1{c}", f"'{c}", f".{c}.", f"A {c} Z")])
+    assert len(chars) > 300 and not own.known
+
+
+def test_plain_texts_among_others():
+    rng, own = random.Random(4), packing.WordIds(WORD)
+    parts = ["The", "Straße,", "it's", "x" * 300, "<|endoftext|>", "a<|startoftext|>b", "<|EndOfText|>", "日本", "ΣΑΣ", "İ", "e\u0301", "½", "\x1c", "\x00", "(42)", "“q”"]
+    as_the_library(own, WORD, [rng.choice((" ", "\n", "\xa0")).join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)])
+
+
+@pytest.mark.parametrize(("pairs", "proper"), [([("a", "b"), ("ab", "c"), ("d", "e</w>")], True), ([("a", "b"), ("b", "c"), ("a", "bc"), ("d", "e</w>")], False)])
+def test_vocabularies_that_merge_otherwise_stay_with_the_library(tmp_path, pairs, proper):
+    """In the second one abc is an entry that its own merges never make, as a and b merge first."""
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = token_count.byte_letters()
+    entries = [*letters, *(f"{x}</w>" for x in letters), *(a + b for a, b in pairs)]
+    spec["model"] |= {"vocab": {t: i for i, t in enumerate(entries)}, "merges": [list(p) for p in pairs]}
+    spec["added_tokens"] = [t | {"id": len(entries) + i} for i, t in enumerate(spec["added_tokens"])]
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own = packing.WordIds(str(path))
+    assert (own.parts is not None) == proper
+    as_the_library(own, str(path), ["abcz abc de. ABCDE bcbc", "é abcab"])
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, length string, ids string")
 
