@@ -34,11 +34,9 @@ def storage_keys(courses: DataFrame) -> DataFrame:
 
 def requisite_items(rows: DataFrame, kinds: tuple[str, ...] = tuple(LISTS)) -> DataFrame:
     """curriculum_id, course_id, kind, ord (from 1), item: the lists of each course, repeated items once."""
-    parts = [rows.select("curriculum_id", "course_id", F.lit(k).alias("kind"), F.posexplode(F.array_distinct(split_ids(F.col(LISTS[k])))).alias("pos", "item")) for k in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("curriculum_id", "course_id", "kind", (F.col("pos") + 1).cast("bigint").alias("ord"), "item")
+    lists = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(split_ids(F.col(LISTS[k]))).alias("items")) for k in kinds]))
+    items = rows.select("curriculum_id", "course_id", lists.alias("l")).select("curriculum_id", "course_id", "l.kind", F.posexplode("l.items").alias("pos", "item"))
+    return items.select("curriculum_id", "course_id", "kind", (F.col("pos") + 1).cast("bigint").alias("ord"), "item")
 
 
 def resolved(items: DataFrame, courses: DataFrame) -> DataFrame:

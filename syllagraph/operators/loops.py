@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from syllagraph.storage import Rounds, bucketed, dealt, saved
+from syllagraph.storage import Rounds, bucketed, dealt, lean
 
+from . import local
 from .ranks import ranked
 
 #: Bits of a word of a reach set.
@@ -21,12 +22,12 @@ AT = ("curriculum_id", "dir", "vertex")
 def cyclic_curricula(edges: DataFrame) -> DataFrame:
     """curriculum_id of every graph with a cycle. Edges whose source has no incoming edge are peeled off until none is
     left to peel; only graphs with a cycle keep any."""
-    left = saved(edges.select("curriculum_id", "src", "dst").distinct(), "peel")
+    left = lean(edges.select("curriculum_id", "src", "dst").distinct(), "peel")
     n = left.count()
     while n:
         entered = left.select("curriculum_id", F.col("dst").alias("src")).distinct()
         seen = Observation()
-        left = saved(left.join(entered, ["curriculum_id", "src"], "left_semi").observe(seen, F.count("*").alias("n")), "peel")
+        left = lean(left.join(entered, ["curriculum_id", "src"], "left_semi").observe(seen, F.count("*").alias("n")), "peel")
         if seen.get["n"] == n:
             break
         n = seen.get["n"]
@@ -35,7 +36,7 @@ def cyclic_curricula(edges: DataFrame) -> DataFrame:
 
 def numbered(vertices: DataFrame) -> DataFrame:
     """curriculum_id, vertex, place: the vertices of each curriculum from 1 on, in their order."""
-    return saved(ranked(vertices.select("curriculum_id", "vertex"), "curriculum_id", [F.col("vertex")], "place"), "numbers")
+    return lean(ranked(vertices.select("curriculum_id", "vertex"), "curriculum_id", [F.col("vertex")], "place"), "numbers")
 
 
 def by_place(edges: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def sweep(vertices: DataFrame, edges: DataFrame, dirs: str = "fb", reach: str =
     if finished == len(dirs) * vertices.count():
         return out
     lost = ends.join(out, list(AT), "left_anti").select("curriculum_id").distinct()
-    return out.join(saved(lost, "cyclic"), "curriculum_id", "left_anti")
+    return out.join(lean(lost, "cyclic"), "curriculum_id", "left_anti")
 
 
 def longest_paths(swept: DataFrame) -> DataFrame:
@@ -154,15 +155,33 @@ def longest_paths(swept: DataFrame) -> DataFrame:
             return path.join(rows, list(on)).select("curriculum_id", F.col("k").alias("place"), "vertex")
 
 
-def reach_sets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def reach_sets(vertices: DataFrame, edges: DataFrame, small: bool = False, own: bool = False) -> DataFrame:
     """curriculum_id, vertex, word, bits of the vertices that each vertex leads to; with cycles too. Vertices are numbers from 1
-    on in their curriculum; words without a vertex are left out."""
+    on in their curriculum; words without a vertex are left out. small: all curricula are known to be so. own: each
+    vertex lies in its set."""
+    known = local.sizes(vertices)
+    found, large = local.reach_sets(known, edges, own), known.filter("NOT small").select("curriculum_id")
+    if not small and not large.isEmpty():
+        found = found.union(swept_sets(*[rows.join(large, "curriculum_id", "left_semi") for rows in (vertices, edges)], own))
+    found = bucketed(dealt(found, "curriculum_id"), "sets", "curriculum_id")
+    # without a cycle, a vertex that an edge leaves has a word
+    rest = edges.select("curriculum_id", "src", "dst").distinct().join(found.select("curriculum_id").distinct(), "curriculum_id", "left_anti")
+    if rest.isEmpty():
+        return found
+    rest = lean(rest, "rest")
+    if own:
+        alone = vertices.join(rest.select("curriculum_id").distinct(), "curriculum_id", "left_semi").withColumn("dir", F.lit("b"))
+        found = found.union(alone.select("curriculum_id", "vertex", F.expr(word_of("vertex", "b")).alias("word"), F.expr(bit_of("vertex", "b")).alias("bits")))
+    return found.union(cyclic_reach(rest))
+
+
+def swept_sets(vertices: DataFrame, edges: DataFrame, itself: bool) -> DataFrame:
+    """The same of large curricula without cycles; itself: each vertex lies in its set."""
     swept = sweep(vertices, edges, "b", "b")
+    if itself:
+        return swept.select("curriculum_id", "vertex", "word", "bits")
     own = F.when(F.col("main"), F.expr(bit_of("vertex", "b"))).otherwise(F.lit(0).cast("long"))
-    found = swept.select("curriculum_id", "vertex", "word", F.col("bits").bitwiseAND(F.bitwise_not(own)).alias("bits")).filter("bits <> 0")
-    rest = vertices.select("curriculum_id").distinct().join(swept.select("curriculum_id").distinct(), "curriculum_id", "left_anti")
-    rest = saved(edges.select("curriculum_id", "src", "dst").distinct().join(rest, "curriculum_id", "left_semi"), "rest")
-    return found if rest.isEmpty() else found.union(cyclic_reach(rest))
+    return swept.select("curriculum_id", "vertex", "word", F.col("bits").bitwiseAND(F.bitwise_not(own)).alias("bits")).filter("bits <> 0")
 
 
 def cyclic_reach(edges: DataFrame) -> DataFrame:
@@ -172,30 +191,52 @@ def cyclic_reach(edges: DataFrame) -> DataFrame:
     spot = ["curriculum_id", "vertex", "word"]
     ahead = edges.withColumn("dir", F.lit("b")).select("curriculum_id", F.col("src").alias("vertex"), F.expr(word_of("dst", "b")).alias("word"), F.expr(bit_of("dst", "b")).alias("bit"))
     first = ahead.groupBy(*spot).agg(F.bit_or("bit").alias("bits"))
-    seen = gained = saved(first, "reach")
+    seen = gained = lean(first, "reach")
     while not gained.isEmpty():
         offered = gained.join(back, ["curriculum_id", "vertex"]).groupBy("curriculum_id", F.col("src").alias("vertex"), "word").agg(F.bit_or("bits").alias("bits"))
         old = F.coalesce("had", F.lit(0).cast("long"))
-        new = saved(offered.join(seen.select(*spot, F.col("bits").alias("had")), spot, "left").select(*spot, F.col("bits").bitwiseAND(F.bitwise_not(old)).alias("bits")).filter("bits <> 0"), "gained")
-        seen, gained = saved(seen.union(new).groupBy(*spot).agg(F.bit_or("bits").alias("bits")), "reach"), new
+        new = lean(offered.join(seen.select(*spot, F.col("bits").alias("had")), spot, "left").select(*spot, F.col("bits").bitwiseAND(F.bitwise_not(old)).alias("bits")).filter("bits <> 0"), "gained")
+        seen, gained = lean(seen.union(new).groupBy(*spot).agg(F.bit_or("bits").alias("bits")), "reach"), new
     return seen
 
 
+def listed_pairs(words: DataFrame) -> DataFrame:
+    """curriculum_id, src, dst of reach sets."""
+    bits = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)"))
+    rows = words.select("curriculum_id", F.col("vertex").alias("src"), "word", bits.alias("i"))
+    return rows.select("curriculum_id", "src", (F.col("word") * WORD + F.col("i") + 1).alias("dst"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """curriculum_id, src, dst: every pair with a path, in graphs with cycles too. Pairs are listed out of the reach sets at
     the end; no loop carries them."""
     pairs = edges.select("curriculum_id", "src", "dst")
     numbers = numbered(pairs.select("curriculum_id", F.col("src").alias("vertex")).union(pairs.select("curriculum_id", F.col("dst").alias("vertex"))).distinct())
     words = reach_sets(numbers.select("curriculum_id", F.col("place").alias("vertex")), by_place(pairs, numbers))
-    bits = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)"))
-    rows = words.select("curriculum_id", F.col("vertex").alias("a"), "word", bits.alias("i")).select("curriculum_id", "a", (F.col("word") * WORD + F.col("i") + 1).alias("b"))
+    rows = listed_pairs(words).select("curriculum_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     of = lambda place, c: numbers.select("curriculum_id", F.col("place").alias(place), F.col("vertex").alias(c))
     return rows.join(of("a", "src"), ["curriculum_id", "a"]).join(of("b", "dst"), ["curriculum_id", "b"]).select("curriculum_id", "src", "dst")
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """curriculum_id, vertex, root: the smallest vertex that undirected edges join it to. Labels spread one edge and
-    jump to their label's label each round; pairs and labels lie in buckets, so only what spreads is shuffled."""
+def numbered_closure(vertices: DataFrame, edges: DataFrame, small: bool = False, own: bool = False) -> DataFrame:
+    """The same of vertices that are numbers from 1 on in their curriculum. own: with the pair of each vertex and itself."""
+    return listed_pairs(reach_sets(vertices, edges, small, own))
+
+
+def components(vertices: DataFrame, edges: DataFrame, small: bool = False) -> DataFrame:
+    """curriculum_id, vertex, root: the smallest vertex that undirected edges join it to."""
+    on = ["curriculum_id", "vertex"]
+    return vertices.select(*on).join(joined(edges, small), on, "left").select(*on, F.coalesce("root", "vertex").alias("root"))
+
+
+def joined(edges: DataFrame, small: bool = False) -> DataFrame:
+    """The same of the vertices of edges. Curricula of few edges are a row each; small: all are known to be so."""
+    return local.parted(local.components, spread_labels, small, edges.select("curriculum_id", "src", "dst"))
+
+
+def spread_labels(edges: DataFrame) -> DataFrame:
+    """The same of the vertices of edges. Labels spread one edge and jump to their label's label each round; pairs and labels lie
+    in buckets, so only what spreads is shuffled."""
     pairs = edges.select("curriculum_id", F.col("src").alias("vertex"), F.col("dst").alias("other"))
     pairs = pairs.union(pairs.select("curriculum_id", F.col("other").alias("vertex"), F.col("vertex").alias("other"))).distinct()
     on = ("curriculum_id", "vertex")
@@ -210,5 +251,4 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         new = bucketed(dealt(new, *on).observe(seen, F.count_if(F.col("root") != F.col("old")).alias("changed")), "labels", *on)
         now = new.select("curriculum_id", "vertex", "root")
         if not seen.get["changed"]:
-            break
-    return vertices.select(*on).join(now, list(on), "left").select(*on, F.coalesce("root", "vertex").alias("root"))
+            return now

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syllagraph.storage import saved
+from syllagraph.storage import lean
 
 #: Bits that monotonically_increasing_id leaves for the rows of a partition.
 ROW_BITS = 33
@@ -23,7 +23,7 @@ def ranked(rows: DataFrame, group: str, order: list[Column], name: str) -> DataF
     most one row per group and one per partition. Rows of equal order have any order among them.
     """
     ids = "__at"
-    held = saved(by_range(rows, group, order).withColumn(ids, F.monotonically_increasing_id()), "ranked")
+    held = lean(by_range(rows, group, order).withColumn(ids, F.monotonically_increasing_id()), "ranked")
     part = F.shiftright(ids, ROW_BITS).alias("__part")
     slices = held.groupBy(group, part).agg(F.min(ids).alias("__first"), F.count("*").alias("__rows"))
     earlier = F.sum("__rows").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllagraph.functions.fields import is_quarter, node_id, node_label, years_of
@@ -31,8 +31,11 @@ def report_terms(schedule: DataFrame, courses: DataFrame) -> DataFrame:
     return rows.groupBy("curriculum_id", F.col("term").cast("bigint").alias("term")).agg(ordered_list("pos", text, ", ").alias("courses"), F.format_string("%.1f", F.sum("credits")).alias("credits"))
 
 
-def metrics_ranked(rows: DataFrame) -> DataFrame:
-    """Plan rows with metrics and their place by falling complexity, in plan order among equal ones."""
+def metrics_ranked(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """Plan rows with metrics and their place by falling complexity, in plan order among equal ones. whole: a curriculum's rows
+    lie together, so that one task numbers them."""
+    if whole:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("curriculum_id").orderBy(F.col("complexity").desc(), "plan_pos")).cast("bigint"))
     return ranked(rows, "curriculum_id", [F.col("complexity").desc(), F.col("plan_pos")], "place")
 
 
@@ -56,7 +59,7 @@ def mermaid_dag(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mermaid_terms(rows: DataFrame, edges: DataFrame, schedule: DataFrame, curriculum: DataFrame, least: dict[bool, int]) -> DataFrame:
-    """curriculum_id, body: a subgraph per term, empty ones included, and the requisites between scheduled courses."""
+    """curriculum_id, body: a subgraph per term, empty ones included, and the requisites (edges) between scheduled courses."""
     last = schedule.groupBy("curriculum_id").agg(F.max("term").alias("last"))
     quarter = is_quarter(F.col("system_type"))
     terms = curriculum.join(last, "curriculum_id").select("curriculum_id", F.when(quarter, "Quarter").otherwise("Semester").alias("label"), F.greatest("last", F.when(quarter, least[True]).otherwise(least[False])).alias("terms"))
@@ -68,7 +71,7 @@ def mermaid_terms(rows: DataFrame, edges: DataFrame, schedule: DataFrame, curric
     block = F.concat(F.lit("    subgraph term"), number, F.lit('["'), F.col("label"), F.lit(" "), number, F.lit('"]\n'), F.coalesce("nodes", empty), F.lit("\n    end\n\n"))
     blocks = every.join(nodes, ["curriculum_id", "term"], "left").withColumn("block", block).groupBy("curriculum_id", "terms").agg(ordered_list("term", "block", "").alias("blocks"))
     order = F.transform(F.sequence(F.lit(1), F.col("terms") - 1), lambda i: F.concat(F.lit("    term"), i.cast("string"), F.lit(" ~~~ term"), (i + 1).cast("string"), F.lit("\n")))
-    links = edge_lines(between(edges, schedule), rows).groupBy("curriculum_id").agg(ordered_list("o", "line", "\n").alias("links"))
+    links = edge_lines(edges, rows).groupBy("curriculum_id").agg(ordered_list("o", "line", "\n").alias("links"))
     joined = blocks.join(links, "curriculum_id", "left")
     return joined.select("curriculum_id", F.concat(F.lit("```mermaid\nflowchart LR\n"), "blocks", F.array_join(order, ""), F.lit("\n"), F.coalesce(F.concat("links", F.lit("\n")), F.lit("")), F.lit("```\n")).alias("body"))
 

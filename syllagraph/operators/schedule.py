@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .loops import components
+from syllagraph.storage import small_batches
+
+from . import local
+from .loops import components, joined
 
 TARGET = 15.0
 #: Fixed values by system: credits above the target that a term may reach, and terms at least.
@@ -18,31 +23,51 @@ TERMS = {False: 8, True: 12}
 
 
 def chain_flags(courses: DataFrame, edges: DataFrame) -> DataFrame:
-    """curriculum_id, course_key, has_prereq, has_dependent, by prerequisite edges inside the plan."""
-    on = ["curriculum_id", "course_key"]
-    pre = edges.filter("kind = 'prereq'")
-    have = pre.select("curriculum_id", F.col("dst").alias("course_key")).distinct().withColumn("has_prereq", F.lit(True))
-    lead = pre.select("curriculum_id", F.col("src").alias("course_key")).distinct().withColumn("has_dependent", F.lit(True))
-    return courses.select(*on).join(have, on, "left").join(lead, on, "left").select(*on, F.coalesce("has_prereq", F.lit(False)).alias("has_prereq"), F.coalesce("has_dependent", F.lit(False)).alias("has_dependent"))
+    """courses with has_prereq, has_dependent, by prerequisite edges inside the plan."""
+    ends = F.explode(F.array(F.struct(F.col("dst").alias("course_key"), F.lit(True).alias("pre")), F.struct(F.col("src").alias("course_key"), F.lit(False).alias("pre"))))
+    flags = edges.filter("kind = 'prereq'").select("curriculum_id", ends.alias("e")).groupBy("curriculum_id", F.col("e.course_key").alias("course_key")).agg(F.bool_or("e.pre").alias("has_prereq"), F.bool_or(~F.col("e.pre")).alias("has_dependent"))
+    has = [F.coalesce(c, F.lit(False)).alias(c) for c in ("has_prereq", "has_dependent")]
+    return courses.join(flags, ["curriculum_id", "course_key"], "left").select(*courses.columns, *has)
 
 
-def chain_priority(courses: DataFrame, edges: DataFrame, delays: DataFrame) -> DataFrame:
-    """Adds priority: courses that begin a chain first, then those inside one, then the rest, each by delay."""
-    rows = chain_flags(courses, edges).join(delays.select("curriculum_id", "course_key", "delay"), ["curriculum_id", "course_key"], "left").withColumn("delay", F.coalesce("delay", F.lit(0)))
+def chain_priority(courses: DataFrame, edges: DataFrame, delays: DataFrame | None = None, *more: str) -> DataFrame:
+    """Adds priority: courses that begin a chain first, then those inside one, then the rest, each by delay. Without delays the
+    courses have them; more: other columns of the courses that stay."""
+    on = ["curriculum_id", "course_key"]
+    if delays is None:
+        rows = chain_flags(courses.select(*on, *more, "delay"), edges)
+    else:
+        rows = chain_flags(courses.select(*on, *more), edges).join(delays.select(*on, "delay"), on, "left").withColumn("delay", F.coalesce("delay", F.lit(0)))
     score = F.when(~F.col("has_prereq") & F.col("has_dependent"), F.col("delay") * 10 + 100).when(F.col("has_dependent"), F.col("delay") * 5).otherwise(F.col("delay"))
     return rows.withColumn("priority", score.cast("bigint"))
 
 
-def coreq_groups(courses: DataFrame, edges: DataFrame) -> DataFrame:
+def coreq_groups(courses: DataFrame, edges: DataFrame, small: bool = False) -> DataFrame:
     """curriculum_id, course_key, group_key: courses that corequisites join share the smallest key among them."""
     co = edges.filter("kind = 'coreq'").select("curriculum_id", "src", "dst")
-    return components(courses.select("curriculum_id", F.col("course_key").alias("vertex")), co).select("curriculum_id", F.col("vertex").alias("course_key"), F.col("root").alias("group_key"))
+    return components(courses.select("curriculum_id", F.col("course_key").alias("vertex")), co, small).select("curriculum_id", F.col("vertex").alias("course_key"), F.col("root").alias("group_key"))
+
+
+def shared_groups(edges: DataFrame, small: bool = False) -> DataFrame:
+    """The same without courses that no corequisite joins: the functions below take such a course as its own group."""
+    return joined(edges.filter("kind = 'coreq'"), small).select("curriculum_id", F.col("vertex").alias("course_key"), F.col("root").alias("group_key"))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, course: str = "course_key", name: str = "group_key") -> DataFrame:
+    """rows with the group of a course."""
+    own = groups.select("curriculum_id", F.col("course_key").alias(course), F.col("group_key").alias(name))
+    return rows.join(own, ["curriculum_id", course], "left").withColumn(name, F.coalesce(name, course))
+
+
+def member_rows(courses: DataFrame, priorities: DataFrame, groups: DataFrame) -> DataFrame:
+    """Courses with credits, priority and group. Courses are only read where the priorities come without credits."""
+    on = ["curriculum_id", "course_key"]
+    return with_group(priorities if "credits" in priorities.columns else courses.select(*on, "credits").join(priorities, on), groups)
 
 
 def group_table(courses: DataFrame, priorities: DataFrame, groups: DataFrame) -> DataFrame:
     """Per group: highest priority, credits, members, and whether no member has a prerequisite or dependent."""
-    on = ["curriculum_id", "course_key"]
-    rows = courses.select(*on, "credits").join(priorities, on).join(groups, on)
+    rows = member_rows(courses, priorities, groups)
     return rows.groupBy("curriculum_id", "group_key").agg(F.max("priority").alias("group_priority"), F.sum("credits").alias("group_credits"), F.count("*").alias("members"), F.bool_and(~F.col("has_prereq") & ~F.col("has_dependent")).alias("is_filler"))
 
 
@@ -145,16 +170,27 @@ def group_rows(courses: DataFrame, edges: DataFrame, priorities: DataFrame, grou
 
     A group needs the other groups that prerequisites of its members are in. Groups further back needn't be listed: they are
     placed before those, and where groups stand in a circle, they do so by the direct needs too."""
-    on = ["curriculum_id", "course_key"]
-    rows = courses.select(*on, "credits").join(priorities, on).join(groups, on)
+    rows = member_rows(courses, priorities, groups)
     member = F.struct("course_key", F.col("credits").cast("double").alias("credits"))
     per = rows.groupBy("curriculum_id", "group_key").agg(F.max("priority").alias("priority"), F.array_sort(F.collect_list(member)).alias("members"), F.bool_and(~F.col("has_prereq") & ~F.col("has_dependent")).alias("filler"), F.bool_and(F.col("delay") <= 1).alias("light"))
-    of = lambda c, name: groups.select("curriculum_id", F.col("course_key").alias(c), F.col("group_key").alias(name))
-    pairs = edges.filter("kind = 'prereq'").join(of("src", "need"), ["curriculum_id", "src"]).join(of("dst", "group_key"), ["curriculum_id", "dst"])
+    pairs = with_group(with_group(edges.filter("kind = 'prereq'"), groups, "src", "need"), groups, "dst")
     needs = pairs.filter("need <> group_key").groupBy("curriculum_id", "group_key").agg(F.collect_set("need").alias("needs"))
     return per.join(needs, ["curriculum_id", "group_key"], "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))
 
 
+def group_lists(column: pa.ListArray) -> Iterator[list[dict]]:
+    """What place_groups takes of each curriculum of a batch, out of a column with a list of group_rows."""
+    groups = column.flatten()
+    members, needs = groups.field("members"), groups.field("needs")
+    keys, credits = map(local.plain, members.flatten().flatten())
+    need = local.plain(needs.flatten())
+    courses = [{"course_key": k, "credits": c} for k, c in zip(keys, credits, strict=True)]
+    flat = [local.plain(groups.field(c)) for c in ("group_key", "priority", "filler", "light")]
+    rows = [{"group_key": g, "priority": p, "filler": f, "light": x, "members": courses[m], "needs": need[n]} for g, p, f, x, m, n in zip(*flat, local.cuts(members), local.cuts(needs), strict=True)]
+    for own in local.cuts(column):
+        yield rows[own]
+
+
 def term_schedule(courses: DataFrame, edges: DataFrame, priorities: DataFrame, groups: DataFrame, curriculum: DataFrame, target: float = TARGET) -> DataFrame:
     """curriculum_id, term, pos, course_key, credits. Placing is sequential inside a curriculum, so each is one row of its
     groups; curricula are placed in parallel."""
@@ -163,12 +199,18 @@ def term_schedule(courses: DataFrame, edges: DataFrame, priorities: DataFrame, g
     per = found.groupBy("curriculum_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "curriculum_id"])).alias("groups"))
     rows = per.join(system, "curriculum_id", "left").select("curriculum_id", F.coalesce("quarter", F.lit(False)).alias("quarter"), "groups")
     kind = courses.schema["curriculum_id"].dataType.simpleString()
+    small_batches(courses.sparkSession)
 
     def run(stream):
         for batch in stream:
-            placed = [(cid, *row) for cid, quarter, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for row in place_groups(own, quarter, target)]
-            columns = list(zip(*placed, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["curriculum_id", "term", "pos", "course_key", "credits"])
+            placed, each = [], []
+            for quarter, own in zip(batch.column(1).to_pylist(), group_lists(batch.column(2)), strict=True):
+                before = len(placed)
+                placed += place_groups(own, quarter, target)
+                each.append(len(placed) - before)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(each)), each), pa.int64()))
+            columns = list(zip(*placed, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True))], names=["curriculum_id", "term", "pos", "course_key", "credits"])
 
     return rows.mapInArrow(run, f"curriculum_id {kind}, term int, pos int, course_key string, credits double")
 
@@ -184,12 +226,13 @@ def schedule_violations(schedule: DataFrame, edges: DataFrame, groups: DataFrame
     be earlier in any schedule; another one stands where groups require each other in a circle or a light course was moved."""
     at = schedule.select("curriculum_id", "course_key", "term")
     pairs = edges.join(at.select("curriculum_id", F.col("course_key").alias("src"), F.col("term").alias("src_term")), ["curriculum_id", "src"]).join(at.select("curriculum_id", F.col("course_key").alias("dst"), F.col("term").alias("dst_term")), ["curriculum_id", "dst"])
-    in_group = lambda c: groups.select("curriculum_id", F.col("course_key").alias(c), F.col("group_key").alias(f"{c}_group"))
-    early = pairs.filter("kind = 'prereq' AND src_term >= dst_term").join(in_group("src"), ["curriculum_id", "src"]).join(in_group("dst"), ["curriculum_id", "dst"])
-    own = F.when(F.col("src_group") == F.col("dst_group"), "own group").otherwise("order of groups")
-    early = early.select("curriculum_id", F.lit("prerequisite not earlier").alias("problem"), own.alias("reason"), F.col("dst").alias("course_key"))
-    apart = pairs.filter("kind = 'coreq' AND src_term <> dst_term").select("curriculum_id", F.lit("corequisite in another term").alias("problem"), F.lit("moved").alias("reason"), F.col("dst").alias("course_key"))
+    wrong = pairs.filter("IF(kind = 'prereq', src_term >= dst_term, src_term <> dst_term)")
+    wrong = with_group(with_group(wrong, groups, "src", "src_group"), groups, "dst", "dst_group")
+    early = F.col("kind") == "prereq"
+    reason = F.when(~early, "moved").when(F.col("src_group") == F.col("dst_group"), "own group").otherwise("order of groups")
+    problem = F.when(early, "prerequisite not earlier").otherwise("corequisite in another term")
+    wrong = wrong.select("curriculum_id", problem.alias("problem"), reason.alias("reason"), F.col("dst").alias("course_key"))
     most = F.lit(target) + F.when(F.contains(F.lower("system_type"), F.lit("quarter")), SLACK[True]).otherwise(SLACK[False])
-    loads = schedule.join(groups, ["curriculum_id", "course_key"]).groupBy("curriculum_id", "term").agg(F.sum("credits").alias("load"), F.countDistinct("group_key").alias("groups"))
+    loads = with_group(schedule, groups).groupBy("curriculum_id", "term").agg(F.sum("credits").alias("load"), F.countDistinct("group_key").alias("groups"))
     heavy = loads.join(curriculum, "curriculum_id", "left").filter((F.col("load") > most) & (F.col("groups") > 1)).select("curriculum_id", F.lit("term too heavy").alias("problem"), F.lit("load").alias("reason"), F.lit("").alias("course_key"))
-    return early.union(apart).union(heavy)
+    return wrong.union(heavy)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from syllagraph.functions.fields import number_text, scaled
-from syllagraph.storage import bucketed, dealt, saved
+from syllagraph.storage import bucketed, dealt, lean
+
+from . import local
 
 
 def ordered_list(order: str, value: str | Column, sep: str) -> Column:
@@ -38,15 +40,21 @@ def best_prereq(edges: DataFrame, delays: DataFrame) -> DataFrame:
     return pre.groupBy("curriculum_id", F.col("dst").alias("course_key")).agg(F.max_by("src", F.struct("delay", "ord")).alias("best"))
 
 
-def traced(ends: DataFrame, best: DataFrame) -> DataFrame:
-    """curriculum_id, course_key, path: from a course without prerequisites along best ones to each end course. Every
-    round each open row steps one course back, so there are as many rows as ends at all times."""
+def traced(ends: DataFrame, best: DataFrame, small: bool = False) -> DataFrame:
+    """curriculum_id, course_key, path: from a course without prerequisites along best ones to each end course. Curricula of few
+    courses are a row each; small: all are known to be so."""
+    return local.parted(local.traced, walked, small, ends.select("curriculum_id", "course_key"), best)
+
+
+def walked(ends: DataFrame, best: DataFrame) -> DataFrame:
+    """The same of large curricula: every round each open row steps one course back, so there are as many rows as ends at all
+    times."""
     open_, done = ends.select("curriculum_id", "course_key", F.col("course_key").alias("head"), F.array("course_key").alias("path")), None
     on = ("curriculum_id", "head")
     step = bucketed(dealt(best.select("curriculum_id", F.col("course_key").alias("head"), "best"), *on), "best", *on)
     while True:
         seen = Observation()
-        rows = saved(open_.join(step, list(on), "left").observe(seen, F.count("best").alias("open")), "traced")
+        rows = lean(open_.join(step, list(on), "left").observe(seen, F.count("best").alias("open")), "traced")
         over = rows.filter("best IS NULL").select("curriculum_id", "course_key", "path")
         done = over if done is None else done.union(over)
         open_ = rows.filter("best IS NOT NULL AND NOT array_contains(path, best)").select("curriculum_id", "course_key", F.col("best").alias("head"), F.array_prepend("path", F.col("best")).alias("path"))

@@ -136,5 +136,5 @@ class Batch:
     def reports(self) -> DataFrame:
         """curriculum_id, file_name, body."""
         header = report.report_header(self.curriculum, self.courses, self.summary, self.steps, self.schedule)
-        diagram = report.mermaid_terms(self.plan, self.edges, self.schedule, self.curriculum, schedule.TERMS)
+        diagram = report.mermaid_terms(self.plan, report.between(self.edges, self.schedule), self.schedule, self.curriculum, schedule.TERMS)
         return report.report_markdown(header, report.report_terms(self.schedule, self.courses), report.metrics_ranked(self.plan), diagram)

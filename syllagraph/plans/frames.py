@@ -7,9 +7,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllagraph.operators import keys, loops, metrics, schedule, summary
+from syllagraph.operators import keys, local, loops, metrics, schedule, summary
 from syllagraph.sources import tables
-from syllagraph.storage import saved
+from syllagraph.storage import bucketed, dealt, discard, lean
+
+#: Courses of the largest curriculum up to which all rows of a curriculum lie in one bucket.
+WHOLE = 100_000
 
 
 class Frames:
@@ -18,13 +21,43 @@ class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def largest(self) -> int:
+        return tables.largest(self.lines)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return lean(tables.numbered_lines(self.spark, self.sf_dir), "lines")
+
+    @property
+    def whole(self) -> bool:
+        """Whether tables lie in buckets by curriculum, so that what is joined or grouped inside curricula stays in place."""
+        return self.largest <= WHOLE
+
+    @property
+    def small(self) -> bool:
+        """Whether every curriculum can be a row."""
+        return self.largest <= local.SMALL
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.whole:
+            return lean(df, name)
+        # joins on more than the curriculum leave the buckets in place; lazy results are planned later, so this stays
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return bucketed(dealt(df, "curriculum_id"), name.replace("-", "_"), "curriculum_id")
+
     @cached_property
     def course(self) -> DataFrame:
-        return saved(tables.courses(self.spark, self.sf_dir), "courses").withColumn("plan_pos", F.col("course_id"))
+        rows = tables.gathered_courses(self.lines, tables.course_parts(self.spark, self.sf_dir)) if self.whole else tables.courses(self.spark, self.sf_dir)
+        found = self.table(rows, "courses").withColumn("plan_pos", F.col("course_id"))
+        discard(self.lines)
+        return found
 
     @cached_property
     def curriculum(self) -> DataFrame:
-        return tables.curricula(self.spark, self.sf_dir)
+        if "course" not in self.__dict__:
+            return tables.curricula(self.spark, self.sf_dir)
+        return self.table(tables.curricula(self.spark, self.sf_dir, self.course), "curricula")
 
     @cached_property
     def vertices(self) -> DataFrame:
@@ -33,7 +66,7 @@ class Frames:
     @cached_property
     def edges(self) -> DataFrame:
         """By course id, kinds prereq, coreq, strict."""
-        return saved(tables.listed_edges(self.course), "edges")
+        return self.table(tables.listed_edges(self.course), "edges")
 
     @cached_property
     def key_edges(self) -> DataFrame:
@@ -43,7 +76,7 @@ class Frames:
         rows = self.edges.withColumn("ord", F.struct((F.col("kind") == "strict").alias("strict"), "ord")).withColumn("kind", kind)
         rows = rows.groupBy("curriculum_id", "src", "dst", "kind").agg(F.min("ord").alias("ord"))
         rows = rows.join(ids.select("curriculum_id", F.col("course_id").alias("src"), F.col("course_key").alias("a")), ["curriculum_id", "src"]).join(ids.select("curriculum_id", F.col("course_id").alias("dst"), F.col("course_key").alias("b")), ["curriculum_id", "dst"])
-        return saved(rows.select("curriculum_id", F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "ord"), "key-edges")
+        return self.table(rows.select("curriculum_id", F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "ord"), "key-edges")
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -61,12 +94,12 @@ class Frames:
     @cached_property
     def metrics(self) -> DataFrame:
         """curriculum_id, course_id, the four metrics and longest_to."""
-        return saved(metrics.course_metrics(self.vertices, self.edges, numbers=True).withColumnRenamed("vertex", "course_id"), "metrics")
+        return self.table(metrics.course_metrics(self.vertices, self.edges, numbers=True, small=self.small).withColumnRenamed("vertex", "course_id"), "metrics")
 
     @cached_property
     def delays(self) -> DataFrame:
         # the same columns are in the metrics, where a query needs these anyway
-        rows = self.metrics if "metrics" in self.__dict__ else saved(metrics.delay_and_centrality(self.vertices, self.edges, numbers=True).withColumnRenamed("vertex", "course_id"), "delays")
+        rows = self.metrics if "metrics" in self.__dict__ else self.table(metrics.delay_and_centrality(self.vertices, self.edges, numbers=True, small=self.small).withColumnRenamed("vertex", "course_id"), "delays")
         return rows.join(self.course, ["curriculum_id", "course_id"])
 
     @cached_property
@@ -83,20 +116,30 @@ class Frames:
     @cached_property
     def longest(self) -> DataFrame:
         best = summary.best_prereq(self.key_edges, self.delays)
-        return summary.longest_path(summary.traced(summary.max_delay_courses(self.delays), best), self.course)
+        return summary.longest_path(summary.traced(summary.max_delay_courses(self.delays), best, self.small), self.course)
 
     @cached_property
     def steps(self) -> DataFrame:
-        return saved(summary.grouped_path(self.longest, self.key_edges), "steps")
+        return self.table(summary.grouped_path(self.longest, self.key_edges), "steps")
 
     @cached_property
     def priorities(self) -> DataFrame:
-        return schedule.chain_priority(self.course, self.key_edges, self.delays)
+        return self.ranked.drop("credits")
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """The same with credits. No edge turns back, so every course has its delay."""
+        return schedule.chain_priority(self.delays, self.key_edges, None, "credits")
 
     @cached_property
     def groups(self) -> DataFrame:
-        return schedule.coreq_groups(self.course, self.key_edges)
+        return schedule.with_group(self.course.select("curriculum_id", "course_key"), self.shared)
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        """The groups of more than one course, a row per course."""
+        return self.table(schedule.shared_groups(self.key_edges, self.small), "groups")
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return saved(schedule.term_schedule(self.course, self.key_edges, self.priorities, self.groups, self.curriculum), "schedule")
+        return self.table(schedule.term_schedule(self.course, self.key_edges, self.ranked, self.shared, self.curriculum), "schedule")

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 RUN = f"run-{uuid.uuid4().hex}"
 #: Names of its bucketed tables in the session's catalog.
 BUCKETED: list[str] = []
+#: Spark deletes a query's shuffle files when it has ended.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +41,43 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each write inside go when it has ended; what it made lies in a table by then."""
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+
+
+def lean(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of this run that leaves no shuffle files behind."""
+    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    with freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table of this run that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        assert RUN in folder
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH bytes, as lazy results are only planned when they are read; a smaller
+    bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(name).lower()).groups()
+    if not 0 < int(size) << 10 * " kmgtp".index(unit or " ") <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 class Rounds:
     """The tables of a loop's rounds in one folder, which one scan reads at the end."""
 
@@ -44,7 +87,8 @@ class Rounds:
     def add(self, df: DataFrame) -> DataFrame:
         """df as the next round's table."""
         path, self.n, self.schema = os.path.join(self.path, f"round={self.n}"), self.n + 1, df.schema
-        df.write.parquet(path)
+        with freed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(self.schema).parquet(path)
 
     def rows(self) -> DataFrame:
@@ -57,7 +101,8 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", os.path.join(shared_folder(spark), table)).bucketBy(n, keys[0], *keys[1:]).saveAsTable(table)
+    with freed(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", os.path.join(shared_folder(spark), table)).bucketBy(n, keys[0], *keys[1:]).saveAsTable(table)
     BUCKETED.append(table)
     return spark.table(table)
 
